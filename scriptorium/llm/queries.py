@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, exact_dedup, quality, simhash
+from scriptorium.llm import bpe, embedding, exact_dedup, langid, mixing, quality, secrets, shards, simhash, urls
 from scriptorium.runtime import read
 
 
@@ -12,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_groups(read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -20,9 +25,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return secrets.secret_scan(docs, path_cols=("doc_id",))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_ids(read(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.url_scores(pages, urls.seed_labels(pages))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_bpe, op8_simhash)}
-SQL = {"op1_exact_dedup": exact_dedup.ORACLE}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.placed(read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_quality, op4_bpe, op5_secrets, op6_langid, op7_url_filter, op8_simhash, op9_sharding, op10_mixing)}
+SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_secrets": secrets.oracle(), "op9_sharding": shards.oracle()}
