@@ -48,7 +48,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         upper = (cls == 1).astype(np.int64)
         pairs = upper[:-1] & upper[1:]
         shout = sums(doc_of[1:][pairs > 0], n) / some
-        out[a : a + n] = np.column_stack((np.log1p(size), shares, mean, spread, sums(doc[lens > 15], n) / count, count / some, sums(own_words, n) / count, np.log1p(size / lines), sums(own_lines, n) / lines, shout))
+        out[a : a + n] = np.column_stack((np.log1p(size), shares, mean, spread, sums(doc[lens > 15], n) / count, count / some, sums(own_words, n) / count, np.log1p(size / lines), sums(own_lines, n) / lines, shout)) * (size > 0)[:, None]
     return out
 
 
@@ -69,7 +69,7 @@ class Model:
         return np.column_stack((np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), np.ones(len(x))))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return np.round(self.features(x) @ self.weights, 9)  # so that a row's score doesn't depend on its batch
 
     def probabilities(self, s: np.ndarray) -> np.ndarray:
         return np.interp(s, self.knots, self.values)

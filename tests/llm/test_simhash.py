@@ -65,7 +65,7 @@ def test_empty_table_and_nothing_near(spark, prose):
 
 
 def test_allotment_sums_and_prefers_even_partitions():
-    h = [np.ones(1 << 8) for _ in range(3)] + [np.concatenate(([256.0], np.zeros(255)))]
+    h = [np.full(1 << 8, 1000.0) for _ in range(3)] + [np.concatenate(([256_000.0], np.zeros(255)))]
     ts = allotted(h, 5)
     assert sum(ts) == 5 - 4 + 1 and ts[3] == -1
 
