@@ -1,6 +1,431 @@
-"""All queries of the library itself, by name, with their SQL."""
+"""All queries of the library itself, by name, with their SQL where SQL can express them over whole tables.
+
+The driver's tables stand in for manuscripts: ``documents`` for transcriptions (source: folder, doc_id: stem) and for line images,
+``benchmark`` for a lexicon (first word: headword, others: variants), ``pages`` for marked-up corpora, ``conversations`` for lines of
+pages, ``lineitem`` for boxes (odd line numbers: truth, even: found).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scriptorium.functions import geometry as G
+from scriptorium.functions import similarity
+from scriptorium.functions import text as T
+from scriptorium.operators import alignment, corpus, detection, lexicon, lines, pages, tokenizer
+from scriptorium.runtime import Cut, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Lexicon
+
+_WORD = r"[\p{L}\p{N}_]+"
+_FREQ = rf"""freq AS (SELECT word, count(*) AS n, min(struct_pack(page := doc_id, pos := pos)) AS first FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM
+  (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents)) GROUP BY word)"""
+_NORMS = rf"""{_FREQ}, norms AS (SELECT norm, arg_min(word, first) AS original, CAST(sum(n) AS BIGINT) AS n FROM
+  (SELECT *, lower(regexp_replace(word, '[^\p{{L}}]', '', 'g')) AS norm FROM freq) WHERE norm <> '' GROUP BY norm)"""
+_FORMS = rf"""lex AS (SELECT item_id AS position, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark),
+ cand AS (SELECT w[1] AS word, w[1] AS headword, 0 AS kind, -position AS a, 0 AS b FROM lex WHERE len(w) > 0
+  UNION ALL SELECT w[i], w[1], 1, position, i FROM (SELECT position, w, unnest(range(2, len(w) + 1)) AS i FROM lex)),
+ forms AS (SELECT form, headword FROM (SELECT *, lower(regexp_replace(word, '[^\p{{L}}]', '', 'g')) AS form FROM cand) WHERE form <> ''
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY kind, a, b) = 1)"""
+
+
+def _freq(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.token_frequency(read(spark, d, "documents"), order_col="doc_id")
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    w = T.words(F.col("text"))
+    lex = read(spark, d, "benchmark").select(F.col("item_id").alias("position"), w.alias("w")).filter(F.size("w") > 0)
+    return lexicon.lexicon_forms(lex.select("position", F.col("w")[0].alias("headword"), F.expr("slice(w, 2, size(w))").alias("variants")))
+
+
+def _unknown(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.unknown_words(lexicon.vocabulary(_freq(spark, d)), _forms(spark, d))
+
+
+@_query(f"WITH {_FREQ} SELECT word, n FROM freq")
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.token_frequency(read(spark, d, "documents"))
+
+
+@_query(f"WITH {_NORMS} SELECT norm, original, n FROM norms WHERE length(norm) >= 2")
+def normalized_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.vocabulary(_freq(spark, d))
+
+
+@_query(f"WITH {_NORMS} SELECT CAST(coalesce(sum(n) FILTER (length(norm) < 2), 0) AS BIGINT) AS dropped_short_tokens FROM norms")
+def dropped_short_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.dropped_short(lexicon.token_frequency(read(spark, d, "documents")))
+
+
+@_query(f"WITH {_FORMS} SELECT form, headword FROM forms")
+def lexicon_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d)
+
+
+@_query(f"WITH {_NORMS}, {_FORMS} SELECT norm, original, n FROM norms SEMI JOIN forms ON norm = form WHERE length(norm) >= 2")
+def lexicon_exact_matches(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.exact_matches(lexicon.vocabulary(_freq(spark, d)), _forms(spark, d))
+
+
+@_query(f"WITH {_NORMS}, {_FORMS} SELECT norm, original, n FROM norms ANTI JOIN forms ON norm = form WHERE length(norm) >= 2")
+def lexicon_unknown(spark: SparkSession, d: str) -> DataFrame:
+    return _unknown(spark, d)
+
+
+@_query(f"""WITH {_NORMS}, {_FORMS}, m AS (SELECT count(*) FILTER (l) AS total_unique_words, CAST(coalesce(sum(n) FILTER (l), 0) AS BIGINT) AS total_tokens, count(*) FILTER (l AND form IS NOT NULL) AS known_words_exact,
+ CAST(coalesce(sum(n) FILTER (l AND form IS NOT NULL), 0) AS BIGINT) AS known_tokens_exact, CAST(coalesce(sum(n) FILTER (NOT l), 0) AS BIGINT) AS dropped_short_tokens
+ FROM (SELECT *, length(norm) >= 2 AS l FROM norms LEFT JOIN forms ON norm = form))
+ SELECT *, coalesce(known_words_exact / nullif(total_unique_words, 0), 0) AS word_accuracy_exact, coalesce(known_tokens_exact / nullif(total_tokens, 0), 0) AS token_accuracy_exact FROM m""")
+def lexicon_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.exact_metrics(lexicon.token_frequency(read(spark, d, "documents")), _forms(spark, d))
+
+
+@_query()
+def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.fuzzy_candidates(_unknown(spark, d), _forms(spark, d))
+
+
+@_query()
+def dictionary_metrics(spark: SparkSession, d: str) -> DataFrame:
+    freq = Cut(_freq(spark, d), "words")
+    return lexicon.dictionary_metrics(freq.df, _forms(spark, d))
+
+
+@_query()
+def top_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    unknown = Cut(_unknown(spark, d), "unknown")
+    return lexicon.unmatched(unknown.df, lexicon.fuzzy_candidates(unknown.df, _forms(spark, d)))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.fuzzy_scores(_unknown(spark, d), _forms(spark, d))
+
+
+@_query()
+def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+@_query()
+def coverage_by_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.coverage_by_threshold(_scores(spark, d))
+
+
+@_query()
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.score_histogram(_scores(spark, d))
+
+
+@_query()
+def score_rank(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.score_rank(_scores(spark, d))
+
+
+@_query()
+def indel_ratio(spark: SparkSession, d: str) -> DataFrame:
+    n, r = read(spark, d, "nation").select("n_name"), read(spark, d, "region").select("r_name")
+    return n.crossJoin(F.broadcast(r)).select("n_name", "r_name", similarity.indel_ratio("n_name", "r_name").alias("ratio"))
+
+
+# Corpus
+
+_CLEAN = rf"trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\[[^\n]*?\]', '', 'g'), '{T.BLANK}+', ' ', 'g'))"
+_CLEANED = f"clean AS (SELECT page_id, url, {_CLEAN} AS html FROM pages), kept AS (SELECT * FROM clean WHERE length(html) > 100)"
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.clean_corpus(read(spark, d, "pages"), "html")
+
+
+@_query(f"WITH {_CLEANED} SELECT page_id, url, html FROM kept")
+def corpus_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d)
+
+
+@_query(f"WITH {_CLEANED} SELECT count(html) AS files, CAST(coalesce(sum(length(html)), 0) AS BIGINT) AS chars, min(length(html)) AS shortest, max(length(html)) AS longest FROM kept")
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.corpus_summary(_cleaned(spark, d), "html")
+
+
+@_query("SELECT character, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS character FROM documents) WHERE character <> '' GROUP BY character")
+def char_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.char_inventory(read(spark, d, "documents"))
+
+
+@_query("SELECT count(*) AS total, count(DISTINCT character) AS unique_characters FROM (SELECT unnest(string_split(text, '')) AS character FROM documents) WHERE character <> ''")
+def char_totals(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.char_totals(read(spark, d, "documents"))
+
+
+@_query("SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(least(10, (length(text) + 499) // 500))) AS i FROM documents)")
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunk_text(read(spark, d, "documents"), "doc_id")
+
+
+_PLAIN = rf"trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '-{T.BLANK}*\n{T.BLANK}*', '', 'g'))), '[^a-z0-9{T.BLANK[1:-1]}]', ' ', 'g'), '{T.BLANK}+', ' ', 'g'))"
+
+
+@_query(f"SELECT doc_id, {_PLAIN} AS plain FROM documents")
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.plain_text(F.col("text")).alias("plain"))
+
+
+# Line images
+
+_LINES = r"""lines AS (SELECT source AS folder, CAST(doc_id AS VARCHAR) AS stem, CASE WHEN n_chars > 0 THEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) / n_chars ELSE 0 END AS density, n_chars AS size,
+ len(string_split(text, chr(10))) AS height, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS width FROM documents)"""
+_FLAGS = f"""{_LINES}, b AS (SELECT quantile_cont(density, 0.001) AS d0, quantile_cont(density, 0.997) AS d1, quantile_cont(size, 0.03) AS s0 FROM lines),
+ flags AS (SELECT folder, stem, density, size, height, width, density <= d0 AS density_low, density >= d1 AS density_high, size <= s0 AS size_low, false AS size_high, height > width AS long_img, NOT height > width AS clean FROM lines, b),
+ gone AS (SELECT *, long_img OR ((density_low OR density_high) AND (size_low OR size_high)) AS was_removed FROM flags)"""
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.split("text", "\n")
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    return read(spark, d, "documents").select(F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("stem"), G.share(letters, F.col("n_chars")).alias("density"), F.col("n_chars").alias("size"), F.size(rows).alias("height"), F.array_max(F.transform(rows, F.length)).alias("width"))
+
+
+def _describe(col: str, cuts: dict[str, float]) -> str:
+    return f"WITH {_LINES} SELECT count({col}) AS count, avg({col}) AS mean, stddev_samp({col}) AS std, min({col}) AS min, {', '.join(f'quantile_cont({col}, {p}) AS {n}' for n, p in cuts.items())}, max({col}) AS max FROM lines"
+
+
+@_query(_describe("density", {"p0_1": 0.001, "p50": 0.5, "p99_7": 0.997}))
+def density_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return lines.describe(_measures(spark, d), "density", lines.DENSITY)
+
+
+@_query(_describe("size", {"p3": 0.03, "p50": 0.5}))
+def size_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return lines.describe(_measures(spark, d), "size", lines.SIZE)
+
+
+@_query(f"WITH {_FLAGS} SELECT * FROM flags")
+def outlier_flags(spark: SparkSession, d: str) -> DataFrame:
+    return lines.outlier_flags(_measures(spark, d))
+
+
+_REASONS = "list_filter([" + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in lines.REASONS) + "], lambda x: x IS NOT NULL)"
+
+
+@_query(f"WITH {_FLAGS} SELECT folder, stem, density, size, height, width, {_REASONS} AS reasons, was_removed FROM gone")
+def filter_tracking(spark: SparkSession, d: str) -> DataFrame:
+    return lines.filter_tracking(_measures(spark, d))
+
+
+_STEPS = {"total": "true", "density": "d", "size": "s", "long": "l", "density_size": "d AND s", "density_long": "d AND l", "size_long": "s AND l", "all_three": "d AND s AND l", "removed": "l OR (d AND s)", "kept": "NOT (l OR (d AND s))"}
+
+
+@_query(f"WITH {_FLAGS}, f AS (SELECT density_low OR density_high AS d, size_low OR size_high AS s, long_img AS l FROM flags), n AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS step, count(*) FILTER ({c}) AS images FROM f' for k, c in _STEPS.items())}) SELECT step, images, repeat('█', CAST(floor(40 * images / greatest((SELECT images FROM n WHERE step = 'total'), 1)) AS BIGINT)) AS bar FROM n")
+def filter_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return lines.filter_funnel(_measures(spark, d))
+
+
+@_query(f"WITH {_FLAGS} SELECT folder, stem FROM gone WHERE NOT was_removed")
+def kept_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.kept_lines(lines.filter_tracking(_measures(spark, d))).select("folder", "stem")
+
+
+@_query(f"WITH {_LINES} SELECT folder, count(*) AS lines FROM lines GROUP BY folder")
+def folder_counts(spark: SparkSession, d: str) -> DataFrame:
+    return lines.folder_counts(_measures(spark, d))
+
+
+@_query("SELECT source AS folder, round(min(n_chars), 2) AS min, round(max(n_chars), 2) AS max, round(avg(n_chars), 2) AS avg FROM documents GROUP BY source")
+def group_threshold_summary(spark: SparkSession, d: str) -> DataFrame:
+    return lines.threshold_summary(read(spark, d, "documents").select(F.col("source").alias("folder"), "n_chars"), "n_chars")
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (s = 'ok') AS processed, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'empty') AS empty, 100.0 * count(*) FILTER (s = 'ok') / count(*) AS rate FROM (SELECT CASE WHEN text IS NULL THEN 'failed' WHEN length(text) <= 100 THEN 'empty' ELSE 'ok' END AS s FROM documents)")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("text").isNull(), "failed").when(F.length("text") <= 100, "empty").otherwise("ok")
+    return lines.run_counters(read(spark, d, "documents").select(status.alias("status")))
+
+
+@_query("SELECT avg(x) AS mean, stddev_pop(x) AS std FROM (SELECT (n_chars % 256) / 255.0::DOUBLE AS x FROM documents)")
+def dataset_mean_std(spark: SparkSession, d: str) -> DataFrame:
+    return lines.channel_statistics(read(spark, d, "documents").select((F.col("n_chars") % 256).alias("pixels")))
+
+
+# Pages
+
+@_query("SELECT conv_id, count(*) AS lines, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def page_text_assemble(spark: SparkSession, d: str) -> DataFrame:
+    return pages.page_text(read(spark, d, "conversations"), "conv_id", "turn")
+
+
+@_query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def pages_missing_segments(spark: SparkSession, d: str) -> DataFrame:
+    return pages.missing_segments(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
+
+
+@_query("SELECT conv_id, turn, words, CAST(coalesce(sum(words) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM (SELECT conv_id, turn, len(list_filter(string_split(trim(regexp_replace(text, '" + T.BLANK + "+', ' ', 'g')), ' '), lambda x: x <> '')) AS words FROM conversations)")
+def words_before(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.words_before(read(spark, d, "conversations"), "conv_id", "turn")
+
+
+@_query("SELECT doc_id, replace(replace(replace(CASE WHEN length(regexp_extract(name, '^[0-9]+')) = 1 THEN '0' || name ELSE name END, ' ', ''), '-', '_'), 'f.', 'f_') AS page FROM (SELECT doc_id, doc_id || ' - f. ' || source || '-' || lang AS name FROM documents)")
+def normalize_filename(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(" - f. "), "source", F.lit("-"), "lang")
+    return read(spark, d, "documents").select("doc_id", T.page_file_name(name).alias("page"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}, 'BT{i:03d}', '{x}')" for i, x in enumerate(pages.LAYOUT)) + ") t(index, tag, label)")
+def layout_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return pages.layout_dimension(spark)
+
+
+# Boxes
+
+_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+_BOXES = f"""boxes AS (SELECT l_orderkey AS image, l_linenumber % 2 = 1 AS truth, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS pos, CAST(l_partkey % 50 AS DOUBLE) AS x1, CAST(l_suppkey % 50 AS DOUBLE) AS y1,
+ l_partkey % 50 + 10 + l_quantity AS x2, l_suppkey % 50 + 10 + l_quantity AS y2, l_discount AS conf FROM lineitem)"""
+_PAIRS = f"""{_BOXES}, both AS (SELECT t.image, t.pos AS truth_pos, f.pos AS found_pos, f.conf, greatest(0, least(t.x2, f.x2) - greatest(t.x1, f.x1)) * greatest(0, least(t.y2, f.y2) - greatest(t.y1, f.y1)) AS o,
+ (t.x2 - t.x1) * (t.y2 - t.y1) + (f.x2 - f.x1) * (f.y2 - f.y1) AS a FROM boxes t JOIN boxes f ON t.image = f.image AND t.truth AND NOT f.truth),
+ pair AS (SELECT image, truth_pos, found_pos, conf, o / (a - o) AS iou FROM both WHERE o > 0)"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 50).cast("double")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") % 2 == 1).alias("truth"), pos.alias("pos"), x.alias("x1"), y.alias("y1"), (x + 10 + F.col("l_quantity")).alias("x2"), (y + 10 + F.col("l_quantity")).alias("y2"), F.col("l_discount").alias("conf"))
+
+
+@_query(f"WITH {_PAIRS} SELECT image, truth_pos, found_pos, iou FROM pair")
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    return detection.iou_pairs(b.filter("truth"), b.filter("not truth"))
+
+
+_GREEDY = f"""WITH RECURSIVE {_PAIRS}, ranked AS (SELECT image, pos, row_number() OVER (PARTITION BY image ORDER BY conf DESC, pos) AS r FROM boxes WHERE NOT truth),
+ cand AS (SELECT k.image, k.r, list(struct_pack(less := -p.iou, g := p.truth_pos) ORDER BY -p.iou, p.truth_pos) FILTER (p.iou IS NOT NULL) AS c FROM ranked k LEFT JOIN pair p ON p.image = k.image AND p.found_pos = k.pos GROUP BY k.image, k.r),
+ step AS (SELECT image, t, 0::BIGINT AS r, []::BIGINT[] AS used FROM (SELECT DISTINCT image FROM ranked), (VALUES (0.3), (0.5), (0.7)) v(t)
+  UNION ALL SELECT s.image, s.t, c.r, CASE WHEN coalesce(list_filter(c.c, lambda z: NOT list_contains(s.used, z.g))[1].less <= -s.t, false) THEN list_append(s.used, list_filter(c.c, lambda z: NOT list_contains(s.used, z.g))[1].g) ELSE s.used END
+  FROM step s JOIN cand c ON c.image = s.image AND c.r = s.r + 1),
+ hit AS (SELECT image, t, len(used) AS tp FROM step QUALIFY row_number() OVER (PARTITION BY image, t ORDER BY r DESC) = 1),
+ n AS (SELECT image, count(*) FILTER (truth) AS nt, count(*) FILTER (NOT truth) AS nf FROM boxes GROUP BY image),
+ per AS (SELECT n.image, CAST(v.t AS DOUBLE) AS iou_threshold, CAST(coalesce(h.tp, 0) AS BIGINT) AS tp, nf - coalesce(h.tp, 0) AS fp, nt - coalesce(h.tp, 0) AS fn FROM n CROSS JOIN (VALUES (0.3), (0.5), (0.7)) v(t) LEFT JOIN hit h ON h.image = n.image AND h.t = v.t)"""
+
+
+@_query(f"{_GREEDY} SELECT image, iou_threshold, tp, fp, fn FROM per")
+def box_matches(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    return detection.matched(b.filter("truth"), b.filter("not truth"))
+
+
+@_query(f"""{_GREEDY}, s AS (SELECT iou_threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per GROUP BY iou_threshold),
+ r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM s)
+ SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r""")
+def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    return detection.detection_metrics(b.filter("truth"), b.filter("not truth"))
+
+
+@_query(f"WITH {_BOXES} SELECT image, pos, printf('4 %.6f %.6f %.6f %.6f', (x1 + (x2 - x1) / 2) / 100, (y1 + (y2 - y1) / 2) / 100, (x2 - x1) / 100, (y2 - y1) / 100) AS label FROM boxes")
+def zone_labels(spark: SparkSession, d: str) -> DataFrame:
+    w, h, size = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(100.0)
+    return _boxes(spark, d).select("image", "pos", G.zone_label(G.centre_box(F.col("x1"), F.col("y1"), w, h, size, size)).alias("label"))
+
+
+@_query(f"WITH {_BOXES} SELECT image, min(x1) AS x0, min(y1) AS y0, max(x1) AS x1, max(y1) AS y1, max(x1) - min(x1) + 1 AS w, max(y1) - min(y1) + 1 AS h FROM boxes GROUP BY image")
+def polygon_crops(spark: SparkSession, d: str) -> DataFrame:
+    rows = _boxes(spark, d).groupBy("image").agg(F.collect_list(F.array("x1", "y1")).alias("points")).withColumn("box", G.bbox(F.col("points")))
+    crop = G.crop_size(F.col("box"), "polygon")
+    return rows.select("image", "box.x0", "box.y0", "box.x1", "box.y1", crop["w"].alias("w"), crop["h"].alias("h"))
+
+
+@_query(f"WITH {_BOXES}, o AS (SELECT image, min(x1) AS x0, min(y1) AS y0 FROM boxes GROUP BY image) SELECT image, pos, greatest(0.0, least(x2 - x0, 39.0)) AS x, greatest(0.0, least(y2 - y0, 29.0)) AS y FROM boxes JOIN o USING (image)")
+def clip_baseline(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    o = b.groupBy("image").agg(F.struct(F.min("x1").alias("x0"), F.min("y1").alias("y0")).alias("box"))
+    p = G.clip_line(F.array(F.array("x2", "y2")), F.col("box"), F.lit(40.0), F.lit(30.0))
+    return b.join(o, "image").select("image", "pos", p.alias("p")).select("image", "pos", F.col("p")[0][0].alias("x"), F.col("p")[0][1].alias("y"))
+
+
+@_query("""WITH s AS (SELECT p_partkey, p_size * 13 + 1 AS w, p_partkey % 700 + 1 AS h FROM part),
+ n AS (SELECT p_partkey, CASE WHEN w > h THEN 224 ELSE greatest(1, CAST(round_even(w * 224 / h, 0) AS INTEGER)) END AS w, CASE WHEN w > h THEN greatest(1, CAST(round_even(h * 224 / w, 0) AS INTEGER)) ELSE 224 END AS h FROM s)
+ SELECT p_partkey, w, h, (224 - w) // 2 AS "left", (224 - h) // 2 AS top, 224 - w - (224 - w) // 2 AS "right", 224 - h - (224 - h) // 2 AS bottom FROM n""")
+def resize_geometry(spark: SparkSession, d: str) -> DataFrame:
+    w, h = F.col("p_size") * 13 + 1, F.col("p_partkey") % 700 + 1
+    return read(spark, d, "part").select("p_partkey", G.fitted_size(w, h).alias("g")).select("p_partkey", "g.*")
+
+
+@_query("SELECT o_orderkey, CASE WHEN len(s) < 4 OR len(s) % 2 = 1 OR (s[-2] = s[1] AND s[-1] = s[2]) THEN p ELSE p || ' ' || s[1] || ' ' || s[2] END AS points FROM (SELECT o_orderkey, p, string_split(p, ' ') AS s FROM (SELECT o_orderkey, array_to_string(list_transform(range(o_orderkey % 7 + 1), lambda i: CAST((o_orderkey + i) % 3 AS VARCHAR)), ' ') AS p FROM orders))")
+def close_polygon(spark: SparkSession, d: str) -> DataFrame:
+    p = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 7), lambda i: ((F.col("o_orderkey") + i) % 3).cast("string")), " ")
+    return read(spark, d, "orders").select("o_orderkey", G.closed_polygon(p).alias("points"))
+
+
+# Alignment
+
+_GRAMS = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) ELSE []::VARCHAR[] END"
+
+
+@_query(f"""WITH g AS (SELECT item_id, {_GRAMS.format('text')} AS g FROM benchmark)
+ SELECT a.item_id AS item_a, b.item_id AS item_b, CASE WHEN len(a.g) > 0 AND len(b.g) > 0 THEN len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) ELSE 0 END AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1""")
+def ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    g = read(spark, d, "benchmark").select("item_id", T.char_ngrams(F.col("text")).alias("g"))
+    b = g.select(F.col("item_id").alias("item_b"), F.col("g").alias("h"))
+    return g.join(b, F.col("item_b") == F.col("item_id") + 1).select(F.col("item_id").alias("item_a"), "item_b", T.jaccard(F.col("g"), F.col("h")).alias("similarity"))
+
+
+def _edition(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    turns = read(spark, d, "conversations")
+    return turns, pages.page_text(turns, "conv_id", "turn").select("conv_id", "text")
+
+
+@_query()
+def anchor_candidates(spark: SparkSession, d: str) -> DataFrame:
+    turns, whole = _edition(spark, d)
+    return alignment.anchor_candidates(turns, whole, "conv_id", "turn")
+
+
+@_query()
+def align_pages(spark: SparkSession, d: str) -> DataFrame:
+    turns, whole = _edition(spark, d)
+    return alignment.align_pages(turns, whole, "conv_id", "turn")
+
+
+@_query()
+def line_best_match(spark: SparkSession, d: str) -> DataFrame:
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    return alignment.line_best_match(n.select("n_nationkey", F.col("n_name").alias("text")), r.select("r_regionkey", F.col("r_name").alias("text")), "n_nationkey", "r_regionkey")
+
+
+# Tokenizers
+
+@_query(f"SELECT CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(w)) AS BIGINT) AS tokens, sum(length(text)) / greatest(sum(len(w)), 1) AS compression_ratio FROM (SELECT text, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents)")
+def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.compression_ratio(read(spark, d, "documents").select("text", T.words(F.col("text")).alias("ids")))
+
+
+@_query("""WITH m AS (SELECT DISTINCT substr(lower(n_name), i, 1) AS l, substr(lower(n_name), i + 1, 1) AS r FROM (SELECT n_name, unnest(range(1, length(n_name))) AS i FROM nation))
+ SELECT l || r AS token, CAST(coalesce(sum((length(text) - length(replace(text, l || r, ''))) // 2), 0) AS BIGINT) AS n FROM m, documents GROUP BY l, r""")
+def merge_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    name = F.lower("n_name")
+    pairs = read(spark, d, "nation").select(F.explode(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.struct(F.substring(name, i, F.lit(1)).alias("left"), F.substring(name, i + 1, F.lit(1)).alias("right")))).alias("p")).select("p.*").distinct()
+    return tokenizer.merge_frequencies(pairs.withColumn("rank", F.lit(0)), read(spark, d, "documents")).select("token", "n")
+
+
+@_query("SELECT min(50 * (r_regionkey + 1)) FILTER (r_regionkey = 2) AS vocab_size FROM region")
+def size_elbow(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("r_regionkey")
+    sweep = read(spark, d, "region").select((50 * (k + 1)).alias("vocab_size_requested"), (50 * (k + 1) - k).alias("vocab_size_actual"), (1 + 0.1 * F.least(k, F.lit(2))).alias("compression_ratio"))
+    return tokenizer.size_elbow(sweep)
