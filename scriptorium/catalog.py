@@ -297,9 +297,9 @@ def layout_dimension(spark: SparkSession, d: str) -> DataFrame:
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
 _BOXES = f"""boxes AS (SELECT l_orderkey AS image, l_linenumber % 2 = 1 AS truth, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS pos, CAST(l_partkey % 50 AS DOUBLE) AS x1, CAST(l_suppkey % 50 AS DOUBLE) AS y1,
  l_partkey % 50 + 10 + l_quantity AS x2, l_suppkey % 50 + 10 + l_quantity AS y2, l_discount AS conf FROM lineitem)"""
-_PAIRS = f"""{_BOXES}, both AS (SELECT t.image, t.pos AS truth_pos, f.pos AS found_pos, f.conf, greatest(0, least(t.x2, f.x2) - greatest(t.x1, f.x1)) * greatest(0, least(t.y2, f.y2) - greatest(t.y1, f.y1)) AS o,
+_PAIRS = f"""{_BOXES}, duo AS (SELECT t.image, t.pos AS truth_pos, f.pos AS found_pos, f.conf, greatest(0, least(t.x2, f.x2) - greatest(t.x1, f.x1)) * greatest(0, least(t.y2, f.y2) - greatest(t.y1, f.y1)) AS o,
  (t.x2 - t.x1) * (t.y2 - t.y1) + (f.x2 - f.x1) * (f.y2 - f.y1) AS a FROM boxes t JOIN boxes f ON t.image = f.image AND t.truth AND NOT f.truth),
- pair AS (SELECT image, truth_pos, found_pos, conf, o / (a - o) AS iou FROM both WHERE o > 0)"""
+ pair AS (SELECT image, truth_pos, found_pos, conf, o / (a - o) AS iou FROM duo WHERE o > 0)"""
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:

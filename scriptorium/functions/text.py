@@ -68,13 +68,18 @@ def plain_words(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Set of the substrings of ``n`` characters."""
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Set of the substrings of ``n`` characters. Shifted character arrays are zipped, which is linear in the text."""
+    chars = F.split(text, "")
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(out, lambda g: F.length(g) == n))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets held as arrays; 0 where either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
 def length_aware_threshold(word: Column, base: float) -> Column:

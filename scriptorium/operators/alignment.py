@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.runtime import broadcast_if
+from scriptorium.runtime import broadcast_if, spread
 
 _BREAK, _OTHER = re.compile(r"-\s*\n\s*"), re.compile(r"[^a-z0-9\s]")
 
@@ -44,29 +44,47 @@ def find_anchor(page: list[str], ref: list[str], start: int = 0, probe: int = 30
     return (best, top) if top >= least else (start, top)
 
 
-def similarity(a: str, b: str, known: dict) -> float:
+def _matching(a: str, b: str) -> int:
+    """Letters in the longest common block (the first in a, then in b) and, again, left and right of it."""
+    for size in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - size + 1):
+            j = b.find(a[i : i + size])
+            if j >= 0:
+                left = _matching(a[:i], b[:j]) if i and j else 0
+                return size + left + (_matching(a[i + size :], b[j + size :]) if i + size < len(a) and j + size < len(b) else 0)
+    return 0
+
+
+def similarity(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio. Words of usual length are compared by substring search, which is several times faster."""
     if a == b:
         return 1.0
-    got = known.get((a, b))
-    if got is None:
-        got = known[a, b] = SequenceMatcher(None, a, b).ratio()
-    return got
+    if max(len(a), len(b)) > 30:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * _matching(a, b) / (len(a) + len(b))
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    return np.array([sum(1 << (ord(c) % 37) for c in set(w)) for w in words], dtype=np.uint64)
 
 
 def align_words(page: list[str], ref: list[str], match: float = 2.0, mismatch: float = -1.0, gap: float = -0.5, enough: float = 0.6) -> list[tuple[int | None, int | None]]:
     """Pairs (page word, reference word) of the best alignment; None is a gap. The reference's ends are free.
     Of equal choices a pair goes before a gap in the reference, that before a gap in the page."""
-    m, n, known = len(page), len(ref), {}
+    m, n = len(page), len(ref)
     word_id: dict[str, int] = {}
     cols = np.array([word_id.setdefault(w, len(word_id)) for w in ref], dtype=np.int64)
     distinct = list(word_id)
+    masks = _letters(distinct)
     best, way = np.zeros(n + 1), np.zeros((m + 1, n + 1), dtype=np.int8)  # 0 pair, 1 gap in the reference, 2 gap in the page
     way[0, 1:], way[1:, 0] = 2, 1
     rows: dict[str, np.ndarray] = {}
     for i, w in enumerate(page, 1):
         score = rows.get(w)
         if score is None:
-            sim = np.array([similarity(w, x, known) for x in distinct])
+            sim = np.zeros(len(distinct))  # words without a common letter aren't compared
+            for x in np.flatnonzero(masks & _letters([w])).tolist():
+                sim[x] = similarity(w, distinct[x])
             score = rows[w] = np.where(sim >= enough, match, mismatch * (1 - sim)) if len(sim) else sim
         diag, up = best[:-1] + (score[cols] if n else 0.0), best[1:] + gap
         row = np.empty(n + 1)
@@ -155,19 +173,22 @@ def align_pages(pages: DataFrame, references: DataFrame, edition: str, order: st
         rows = [(key[0], names[p], line, a, b, lo, hi) for p, line, a, b, lo, hi in align_edition(texts, ref, corrected=corrected, **params)]
         return pd.DataFrame(rows, columns=kinds)
 
-    return pages.select(edition, order, text_col).groupBy(edition).cogroup(references.select(edition, text_col).groupBy(edition)).applyInPandas(run, shape)
+    left, right = spread(pages.select(edition, order, text_col), edition), spread(references.select(edition, text_col), edition)
+    return left.groupBy(edition).cogroup(right.groupBy(edition)).applyInPandas(run, shape)
 
 
 def anchor_candidates(pages: DataFrame, references: DataFrame, edition: str, page: str, probe: int = 30, step: int = 10, window: int = 6, forward: int = 3, text_col: str = "text") -> DataFrame:
     """(edition, page, at, score): the best place of each page in its reference, searched from the reference's start."""
     p = pages.select(edition, page, T.plain_words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     r = references.select(edition, T.plain_words(F.col(text_col)).alias("r"))
-    size = F.least(F.lit(probe), F.size("w"))
-    both = p.join(r, edition).withColumn("probe", size)
+    both = p.join(r, edition).withColumn("probe", F.least(F.lit(probe), F.size("w")))
     end = F.least(F.size("r") - F.col("probe"), forward * F.size("w"))
-    at = F.explode(F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(step))))
-    rows = both.select(edition, page, T.char_ngrams(F.array_join(F.slice("w", 1, F.col("probe")), " ")).alias("own"), "r", "probe", at.alias("at"))
-    scored = rows.select(edition, page, "at", T.jaccard(F.col("own"), T.char_ngrams(F.array_join(F.slice("r", F.col("at") + 1, F.col("probe") * window), " "))).alias("score"))
+    places = F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(step)))
+    # only the window's text goes along, not the whole reference
+    there = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("r", i + 1, F.col("probe") * window), " ").alias("text")))
+    rows = both.select(edition, page, F.array_join(F.slice("w", 1, F.col("probe")), " ").alias("own"), F.explode(there).alias("x"))
+    rows = rows.select(edition, page, "x.at", T.char_ngrams(F.col("own")).alias("own"), T.char_ngrams(F.col("x.text")).alias("there"))
+    scored = rows.select(edition, page, "at", T.jaccard(F.col("own"), F.col("there")).alias("score"))
     return scored.groupBy(edition, page).agg(F.min_by("at", F.struct(-F.col("score"), "at")).alias("at"), F.max("score").alias("score"))
 
 

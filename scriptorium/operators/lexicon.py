@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions.geometry import share
 from scriptorium.functions.similarity import Forms
+from scriptorium.runtime import spread
 
 #: Forms that one pass of the fuzzy search holds in each task; larger lexicons are searched in so many parts.
 FORMS = 50_000
@@ -70,7 +71,7 @@ def _searched(unknown: DataFrame, forms: list[str], least: Column) -> DataFrame:
                 hit = np.flatnonzero(at >= 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([index.forms[i] for i in at[hit]], pa.string()), pa.array(score[hit])], ["norm", "matched_form", "fuzzy_score"])
 
-    return unknown.select("norm", least.alias("least")).filter("least is not null").mapInArrow(run, "norm string, matched_form string, fuzzy_score double")
+    return spread(unknown.select("norm", least.alias("least")).filter("least is not null"), "norm").mapInArrow(run, "norm string, matched_form string, fuzzy_score double")
 
 
 def best_forms(unknown: DataFrame, forms: DataFrame, least: Column) -> DataFrame:

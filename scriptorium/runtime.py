@@ -52,6 +52,11 @@ def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` over all shuffle partitions by ``cols``: for heavy work on few bytes, which adaptive coalescing would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, ignoring case."""
     taken = {c.lower() for c in df.columns}

@@ -93,3 +93,11 @@ def test_best_lines_and_running_words(spark):
     assert got[1] == (2, SequenceMatcher(None, "lo reis", "lo rei").ratio()) and set(got) == {1, 2} and got[2][0] == 1
     p = spark.createDataFrame([("e", 1, "a b c"), ("e", 2, ""), ("e", 3, " d ")], "ed string, page int, text string")
     assert [(r.words, r.words_before) for r in A.words_before(p, "ed", "page").orderBy("page").collect()] == [(3, 0), (0, 3), (1, 3)]
+
+
+def test_similarity_is_the_block_ratio():
+    r = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abcde") for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert A.similarity(a, b) == (1.0 if a == b else SequenceMatcher(None, a, b).ratio())
+    assert A.similarity("ab" * 30, "ba" * 30) == SequenceMatcher(None, "ab" * 30, "ba" * 30).ratio()
