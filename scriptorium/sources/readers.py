@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from scriptorium.functions.imaging import gray
+
 IMAGES, EVALUATED = r"(?i)\.(jpe?g|png|tiff?)$", r"(?i)\.(jpe?g|png|bmp)$"
 
 POINTS = "array<array<double>>"
@@ -83,20 +89,16 @@ def image_files(spark: SparkSession, path: str, names: str = IMAGES, recursive:
 
 def gray_images(spark: SparkSession, path: str) -> DataFrame:
     """(folder, stem, height, width, pixels) of images that Spark's own decoder reads; colours become gray."""
-    from scriptorium.functions.imaging import gray
-
-    import numpy as np
-    import pyarrow as pa
-
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path)
 
     @F.arrow_udf("binary")
-    def flat(data: pa.Array, h: pa.Array, w: pa.Array, n: pa.Array) -> pa.Array:
-        out = []
-        for d, a, b, c in zip(data.to_pylist(), h.to_pylist(), w.to_pylist(), n.to_pylist(), strict=True):
-            x = np.frombuffer(d, dtype=np.uint8).reshape(a, b, c)
-            out.append(x.tobytes() if c == 1 else gray(x[..., 2::-1]).tobytes())
-        return pa.array(out, pa.binary())
+    def flat(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in parts:
+            out = []
+            for d, a, b, c in zip(*(x.to_pylist() for x in columns), strict=True):
+                x = np.frombuffer(d, dtype=np.uint8).reshape(a, b, c)
+                out.append(x.tobytes() if c == 1 else gray(x[..., 2::-1]).tobytes())
+            yield pa.array(out, pa.binary())
 
     i = F.col("image")
     parts = F.split(i["origin"], "/")
