@@ -206,7 +206,8 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     used = pieces.filter(F.col("skey").isin(names)) if len(names) < len(tokens) else pieces
     blocks = used.groupBy("skey", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "text", "rest")), lambda p, q: (p["seq"] - q["seq"]).cast("int")).alias("pieces"))
     blocks = blocks.withColumn("pieces", F.transform("pieces", lambda p: F.struct(p["text"].alias("text"), p["rest"].alias("rest"))))
-    out = blocks.join(plan, ["skey", "block"])
+    # the plan has a row for every block: it is hashed part by part, never broadcast on the strength of an estimate
+    out = blocks.join(plan.hint("shuffle_hash"), ["skey", "block"])
     return out.select("shard", "slot", F.expr("CASE WHEN skey <> 'null' THEN substring(skey, 2) END").alias("source"), "epoch", "block", "n_tokens", "pieces")
 
 
