@@ -5,44 +5,67 @@ Measures have columns (folder, stem, density, size, height, width).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DENSITY, SIZE = (0.001, 0.997), (0.03,)
 REASONS = ("clean", "density_high", "density_low", "long_img", "size_high", "size_low")
 
 
+def exact_percentiles(rows: DataFrame, col: str, percentiles: tuple[float, ...], bins: int = 4096) -> list[float | None]:
+    """Linearly interpolated percentiles of the values that aren't null, None where there are none.
+
+    Two levels keep tasks small at any size: a histogram of ``bins`` equal bins says which bins hold the ranks in question, then only
+    the distinct values of those bins are counted and summed up in order. The driver sees the histogram and two values a percentile.
+    """
+    x = F.col(col).cast("double")
+    rows = rows.select(x.alias("x")).filter("x is not null")
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n or not percentiles:
+        return [None] * len(percentiles)
+    at = F.least(F.floor((F.col("x") - low) * (bins / (high - low))), F.lit(bins - 1)) if high > low else F.lit(0).cast("long")
+    rows = rows.withColumn("bin", at)
+    before, start = {}, 0
+    for r in sorted(rows.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: r.bin):
+        before[r.bin] = start
+        start += r.n
+    where = [(p * (n - 1), int(p * (n - 1))) for p in percentiles]
+    ranks = sorted({k for _, lo in where for k in (lo, min(lo + 1, n - 1))})
+    bin_of = {k: max((b for b, s in before.items() if s <= k), key=before.__getitem__) for k in ranks}
+    counts = rows.filter(F.col("bin").isin(sorted(set(bin_of.values())))).groupBy("bin", "x").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("bin").orderBy("x")))
+    hit = None
+    for k, b in bin_of.items():
+        one = (F.col("bin") == b) & (F.col("upto") > k - before[b]) & (F.col("upto") - F.col("n") <= k - before[b])
+        hit = one if hit is None else hit | one
+    found = upto.filter(hit).collect()
+    value = {k: next(r.x for r in found if r.bin == b and r.upto - r.n <= k - before[b] < r.upto) for k, b in bin_of.items()}
+    return [value[lo] + (value[min(lo + 1, n - 1)] - value[lo]) * (r - lo) for r, lo in where]
+
+
 def describe(measures: DataFrame, col: str, percentiles: tuple[float, ...]) -> DataFrame:
     """One row: count, mean, sample deviation, min, interpolated percentiles (the median always), max."""
-    cuts = sorted({*percentiles, 0.5})
+    cuts = tuple(sorted({*percentiles, 0.5}))
     x = F.col(col)
-    p = F.percentile(x, F.array(*(F.lit(c) for c in cuts)))
-    names = [f"p{format(c * 100, '.10g').replace('.', '_')}" for c in cuts]
-    out = measures.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), p.alias("p"), F.max(x).alias("max"))
-    return out.select("count", "mean", "std", "min", *(F.col("p")[i].alias(n) for i, n in enumerate(names)), "max")
-
-
-def _bounds(measures: DataFrame, density: tuple[float, ...], size: tuple[float, ...]) -> DataFrame:
-    def cut(c: str, ps: tuple[float, ...]) -> Column:
-        return F.percentile(F.col(c), F.array(*map(F.lit, ps))) if ps else F.array().cast("array<double>")
-
-    return measures.agg(cut("density", density).alias("_d"), cut("size", size).alias("_s"))
+    named = [F.lit(v).cast("double").alias(f"p{format(c * 100, '.10g').replace('.', '_')}") for c, v in zip(cuts, exact_percentiles(measures, col, cuts), strict=True)]
+    out = measures.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return out.select("count", "mean", "std", "min", *named, "max")
 
 
 def outlier_flags(measures: DataFrame, density: tuple[float, ...] = DENSITY, size: tuple[float, ...] = SIZE) -> DataFrame:
     """``measures`` with a flag for each reason. The first threshold is a lower bound, the second an upper one; both are inclusive."""
     if len(density) > 2 or len(size) > 2:
         raise ValueError("at most a lower and an upper threshold")
-    rows = measures.crossJoin(F.broadcast(_bounds(measures, density, size)))  # one row
+    bounds = {"density": exact_percentiles(measures, "density", density), "size": exact_percentiles(measures, "size", size)}
 
-    def flag(c: str, name: str, ps: tuple[float, ...], i: int) -> Column:
-        if len(ps) <= i:
+    def flag(c: str, i: int) -> Column:
+        edge = bounds[c][i] if len(bounds[c]) > i else None
+        if edge is None:
             return F.lit(False)
-        edge = F.col(name)[i]
         return F.coalesce((F.col(c) <= edge) if i == 0 else (F.col(c) >= edge), F.lit(False))
 
-    flags = {"density_low": flag("density", "_d", density, 0), "density_high": flag("density", "_d", density, 1), "size_low": flag("size", "_s", size, 0), "size_high": flag("size", "_s", size, 1), "long_img": F.coalesce(F.col("height") > F.col("width"), F.lit(False))}
-    return rows.withColumns(flags).withColumn("clean", ~F.col("long_img")).drop("_d", "_s")
+    flags = {"density_low": flag("density", 0), "density_high": flag("density", 1), "size_low": flag("size", 0), "size_high": flag("size", 1), "long_img": F.coalesce(F.col("height") > F.col("width"), F.lit(False))}
+    return measures.withColumns(flags).withColumn("clean", ~F.col("long_img"))
 
 
 def removed(density_low="density_low", density_high="density_high", size_low="size_low", size_high="size_high", long_img="long_img") -> Column:

@@ -44,6 +44,14 @@ def test_thresholds_decide_which_bounds_there_are(measures):
         lines.outlier_flags(df, (0.1, 0.2, 0.3), ())
 
 
+@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [1.0, 5.0], [0.0] * 50 + [1e9], list(range(100)) + [None], [-3.5, 7.25, -3.5, 0.0]])
+def test_percentiles_equal_numpy(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    ps = (0.0, 0.001, 0.03, 0.5, 0.997, 1.0)
+    assert lines.exact_percentiles(df, "x", ps) == pytest.approx(np.quantile([v for v in values if v is not None], ps))
+    assert lines.exact_percentiles(df.filter("false"), "x", ps) == [None] * 6
+
+
 def test_empty_measures(spark):
     df = spark.createDataFrame([], MEASURES)
     assert lines.filter_tracking(df).count() == 0
