@@ -80,8 +80,8 @@ def buckets(x: np.ndarray, k: int, tables: int, width: float, seed: int) -> np.n
     return key
 
 
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Columns of each run of equal first columns, over the bounds of batches."""
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+    """(columns, bounds of the runs of equal first columns) of stretches of sorted batches; no run is split between stretches."""
     held: list | None = None
     for b in batches:
         if not b.num_rows:
@@ -90,12 +90,31 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         if held is not None:
             cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
         cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-        edges = [0, *cut.tolist()]
+        if len(cut):
+            yield [c[: cut[-1]] for c in cols], np.concatenate(([0], cut))
+        held = [c[cut[-1] if len(cut) else 0 :].copy() for c in cols]
+    if held is not None:
+        yield held, np.array([0, len(held[0])])
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Columns of each run of equal first columns, over the bounds of batches."""
+    for cols, edges in whole_keys(batches):
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             yield [c[lo:hi] for c in cols]
-        held = [c[edges[-1] :].copy() for c in cols]
-    if held is not None:
-        yield held
+
+
+def live_runs(sketch: np.ndarray, edges: np.ndarray, bound: int, few: int = 8) -> np.ndarray:
+    """Which runs hold a pair of sketches within ``bound``. Runs of up to ``few`` rows are compared all at once, by shifting;
+    longer ones count as live and are looked at one by one."""
+    size = np.diff(edges)
+    out, run = size > few, np.repeat(np.arange(len(size)), size)
+    for s in range(1, few):
+        same = (run[s:] == run[:-s]) & ~out[run[s:]]
+        near = np.flatnonzero(same)
+        near = near[np.bitwise_count(sketch[near] ^ sketch[near + s]) <= bound]
+        out[run[near]] = True
+    return np.flatnonzero(out)
 
 
 def linked(sketch: np.ndarray, bound: int, cells: int = 1 << 22) -> np.ndarray:
@@ -181,18 +200,19 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, width: float =
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets():
-            for key, ids, sk in by_key(batches):
-                if len(key) < 2:
-                    continue
-                label = linked(sk.view(np.uint64), bound)
-                order = np.lexsort((ids, label))
-                lab, own = label[order], ids[order]
-                edges = np.concatenate(([0], np.flatnonzero(lab[1:] != lab[:-1]) + 1, [len(lab)]))
-                size = np.diff(edges)
-                with np.errstate(over="ignore"):
-                    sums = np.add.reduceat(mix(own.astype(np.uint64), 5), edges[:-1])
-                live = np.repeat(size > 1, size)
-                yield np.repeat(sums.view(np.int64), size)[live], own[live]
+            for (_, every_id, every_sketch), bounds in whole_keys(batches):
+                every_sketch = every_sketch.view(np.uint64)
+                for r in live_runs(every_sketch, bounds, bound):
+                    ids, sk = every_id[bounds[r] : bounds[r + 1]], every_sketch[bounds[r] : bounds[r + 1]]
+                    label = linked(sk, bound)
+                    order = np.lexsort((ids, label))
+                    lab, own = label[order], ids[order]
+                    edges = np.concatenate(([0], np.flatnonzero(lab[1:] != lab[:-1]) + 1, [len(lab)]))
+                    size = np.diff(edges)
+                    with np.errstate(over="ignore"):
+                        sums = np.add.reduceat(mix(own.astype(np.uint64), 5), edges[:-1])
+                    live = np.repeat(size > 1, size)
+                    yield np.repeat(sums.view(np.int64), size)[live], own[live]
 
         yield from _emitted(sets(), ["set", "id"])
 

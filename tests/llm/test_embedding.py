@@ -1,8 +1,8 @@
 import numpy as np
-
-from scriptorium.llm.embedding import collision, embedding_dedup, embedding_groups, planned, unit_rows
 import pyarrow as pa
 
+from scriptorium.llm.embedding import collision, embedding_dedup, embedding_groups, live_runs, planned, unit_rows
+
 SHAPE = "vec_id long, embedding array<float>, key string, id int"
 
 
@@ -66,3 +66,14 @@ def test_plan_and_collision_chances():
 def test_unit_rows():
     got = list(unit_rows(pa.array([[3.0, 4.0], None, [0.0, 0.0], [1.0]], pa.list_(pa.float64()))))
     assert {len(x[0]) for _, x in got if len(x)} == {1, 2}
+
+
+def test_live_runs_are_those_with_a_near_pair():
+    r = np.random.default_rng(6)
+    size = r.integers(1, 12, 400)
+    edges = np.concatenate(([0], np.cumsum(size)))
+    sk = r.integers(0, 2**63, edges[-1], dtype=np.uint64)
+    for e in edges[:-1][size > 1][::3]:
+        sk[e + 1] = sk[e] ^ np.uint64(5)
+    want = [i for i in range(400) if size[i] > 8 or any(int(sk[a] ^ sk[b]).bit_count() <= 10 for a in range(edges[i], edges[i + 1]) for b in range(edges[i], a))]
+    assert live_runs(sk, edges, 10).tolist() == want
