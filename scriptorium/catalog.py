@@ -115,8 +115,8 @@ def top_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.unmatched(unknown.df, lexicon.fuzzy_candidates(unknown.df, _forms(spark, d)))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.fuzzy_scores(_unknown(spark, d), _forms(spark, d))
+def _scores(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
+    return lexicon.fuzzy_scores(_unknown(spark, d), _forms(spark, d), least)
 
 
 @_query()
@@ -126,7 +126,7 @@ def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def coverage_by_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.coverage_by_threshold(_scores(spark, d))
+    return lexicon.coverage_by_threshold(_scores(spark, d, 60.0))
 
 
 @_query()

@@ -67,7 +67,8 @@ class Forms:
 
     def best(self, words: list[str], least: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """(index of the most similar form or -1, its ratio) of each word, where the ratio is at least ``least``; the smallest form
-        on ties. Two lossless bounds come first: lengths, and letters in common."""
+        on ties. Two lossless bounds come first: lengths, and letters in common. Both are held against the best ratio so far, which
+        is soon high: the likeliest lengths come first, and in each the form with most letters in common."""
         k = len(self.code)
         out, score = np.full(len(words), -1), np.full(len(words), -1.0)
         lens = np.array([len(w) for w in words], dtype=np.int64)
@@ -77,9 +78,9 @@ class Forms:
             counts = np.zeros((len(of_len), k + 1), dtype=np.int16)
             np.add.at(counts, (np.arange(len(of_len))[:, None], codes), 1)
             counts[:, k] = 0
-            for fl, forms in self.by_len.items():
+            for fl, forms in sorted(self.by_len.items(), key=lambda x: -min(m, x[0]) / (m + x[0])):
                 bound = 200.0 * min(m, fl) / (m + fl)
-                live = np.flatnonzero(least[of_len] <= bound + 1e-9)
+                live = np.flatnonzero(np.maximum(least[of_len], score[of_len]) <= bound + 1e-9)
                 step = max(1, cells // (len(forms) * (k + 1)))
                 for lo in range(0, len(live), step):
                     rows = live[lo : lo + step]
@@ -87,6 +88,10 @@ class Forms:
                     for c in np.flatnonzero(counts[rows].any(axis=0)).tolist():
                         common += np.minimum(counts[rows, c][:, None], self.counts[forms, c][None, :])
                     need = np.maximum(least[of_len[rows]], score[of_len[rows]])
+                    if fl <= 64:
+                        top = common.argmax(axis=1)
+                        seed = lcs_small(codes[rows], np.full(len(rows), m), self.masks[forms[top]], np.full(len(rows), fl))
+                        need = np.maximum(need, 200.0 * seed / (m + fl))
                     a, b = np.nonzero(200.0 * common / (m + fl) >= need[:, None] - 1e-9)
                     if not len(a):
                         continue

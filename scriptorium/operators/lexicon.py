@@ -128,8 +128,9 @@ def dictionary_metrics(freq: DataFrame, forms: DataFrame, threshold: float = 82.
     return every.select("word_accuracy_exact", "token_accuracy_exact", share(known_w, words).alias("word_accuracy_with_fuzzy"), share(known_t, tokens).alias("token_accuracy_with_fuzzy"), "total_unique_words", "total_tokens", "known_words_exact", "fuzzy_match_words", (words - known_w).alias("oov_words"), (tokens - known_t).alias("oov_tokens"), "dropped_short_tokens")
 
 
-def fuzzy_scores(unknown: DataFrame, forms: DataFrame, least: float = 60.0) -> DataFrame:
-    """(norm, n, matched_form, fuzzy_score) of unknown words over four letters whose best ratio is at least ``least``."""
+def fuzzy_scores(unknown: DataFrame, forms: DataFrame, least: float = 0.0) -> DataFrame:
+    """(norm, n, matched_form, fuzzy_score) of unknown words over four letters whose best ratio is at least ``least``: by default all of
+    them. Histogram and rank curve need every best score; coverage from a threshold on needs those that reach it."""
     best = best_forms(unknown, forms, F.when(F.length("norm") > 4, F.lit(least)))
     return unknown.select("norm", "n").join(best, "norm")
 
@@ -142,10 +143,18 @@ def coverage_by_threshold(scores: DataFrame, low: int = 60, high: int = 100) ->
     return every.select("threshold", F.coalesce(F.sum("at").over(down), F.lit(0)).alias("accepted"))
 
 
-def score_histogram(scores: DataFrame, bins: int = 25, low: float = 60.0, high: float = 100.0) -> DataFrame:
-    """(bin, words): equal bins from ``low`` to ``high``; the last holds its upper bound."""
-    b = F.least(F.floor((F.col("fuzzy_score") - low) / ((high - low) / bins)).cast("int"), F.lit(bins - 1))
-    return scores.groupBy(b.alias("bin")).agg(F.count("*").alias("words"))
+def score_histogram(scores: DataFrame, bins: int = 25) -> DataFrame:
+    """(bin, low, high, words): equal bins from the least score to the greatest; the last holds its upper bound. Scores that are all equal
+    lie in bins around them, one wide together. Words of one score are counted first, so that the bounds need no second pass over words."""
+    by = scores.groupBy("fuzzy_score").agg(F.count("*").alias("words"))
+    ends = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # distinct scores only
+    least, most = F.min("fuzzy_score").over(ends), F.max("fuzzy_score").over(ends)
+    same = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
+    rows = by.select("words", "fuzzy_score", (least - same).alias("from"), ((most + same - least + same) / bins).alias("width"))
+    b = F.least(F.floor((F.col("fuzzy_score") - F.col("from")) / F.col("width")).cast("int"), F.lit(bins - 1))
+    low = F.col("from") + F.col("bin") * F.col("width")
+    out = rows.groupBy(b.alias("bin"), "from", "width").agg(F.sum("words").alias("words"))
+    return out.select("bin", low.alias("low"), (low + F.col("width")).alias("high"), "words")
 
 
 def score_rank(scores: DataFrame) -> DataFrame:

@@ -144,6 +144,24 @@ def test_curves(spark, frames):
     assert sum(r.words for r in lexicon.score_histogram(s).collect()) == len(scores)
 
 
+def test_curves_hold_every_best_score(spark):
+    words = ["castell", "xxxxxx", "qqqqzzzz", "regnnaxx", "four", "xyzxyzo"]
+    unknown = spark.createDataFrame([(w, 1) for w in words], "norm string, n long")
+    forms = spark.createDataFrame([("castel", "castel"), ("regina", "regina"), ("lo", "lo")], "form string, headword string")
+    every = sorted((max(200 * plain_lcs(w, f) / (len(w) + len(f)) for f in ("castel", "regina", "lo")) for w in words if len(w) > 4), reverse=True)
+    assert min(every) < 60
+    s = lexicon.fuzzy_scores(unknown, forms)
+    rank = lexicon.score_rank(s).orderBy("first_rank").collect()
+    assert [r.score for r in rank for _ in range(r.words)] == pytest.approx(every)
+    counts, edges = np.histogram(every, bins=25)
+    bins = {r.bin: r for r in lexicon.score_histogram(s).collect()}
+    assert [bins[i].words if i in bins else 0 for i in range(25)] == counts.tolist()
+    assert all(r.low == pytest.approx(edges[i]) and r.high == pytest.approx(edges[i + 1]) for i, r in bins.items())
+    one = lexicon.score_histogram(s.filter("norm = 'castell'")).collect()
+    assert [r.words for r in one] == [1]
+    assert lexicon.coverage_by_threshold(s).orderBy("threshold").collect() == lexicon.coverage_by_threshold(lexicon.fuzzy_scores(unknown, forms, 60.0)).orderBy("threshold").collect()
+
+
 def test_empty_corpus(spark, frames):
     empty = lexicon.token_frequency(spark.createDataFrame([], "text string"))
     m = lexicon.dictionary_metrics(empty, frames[1]).first()
