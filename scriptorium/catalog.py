@@ -180,6 +180,11 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return corpus.chunk_text(read(spark, d, "documents"), "doc_id")
 
 
+@_query("SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range((length(text) + 499) // 500)) AS i FROM documents)")
+def chunk_whole_text(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunk_whole_text(read(spark, d, "documents"), "doc_id")
+
+
 _PLAIN = rf"trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '-{T.BLANK}*\n{T.BLANK}*', '', 'g'))), '[^a-z0-9{T.BLANK[1:-1]}]', ' ', 'g'), '{T.BLANK}+', ' ', 'g'))"
 
 

@@ -94,6 +94,11 @@ def chunked(text: Column, size: int = 500, most: int = 10) -> Column:
     return F.slice(whole, 1, most)
 
 
+def slices(text: Column, size: int = 500) -> Column:
+    """All slices of ``size`` characters, in one pass over the text; null of null."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def page_file_name(name: Column) -> Column:
     """Pads leading digits to two, drops blanks, and joins by underscores."""
     digits = F.regexp_extract(name, r"^([0-9]+)", 1)

@@ -40,6 +40,11 @@ def chunk_text(files: DataFrame, key: str, text_col: str = "text", size: int = 5
     return files.select(key, F.posexplode(T.chunked(F.col(text_col), size, most)).alias("chunk", "text"))
 
 
+def chunk_whole_text(files: DataFrame, key: str, text_col: str = "text", size: int = 500) -> DataFrame:
+    """(key, chunk, text): all slices of ``size`` characters of each file."""
+    return files.select(key, F.posexplode(T.slices(F.col(text_col), size)).alias("chunk", "text"))
+
+
 def unified(files: DataFrame, order: str, text_col: str = "text", separator: str = SEPARATOR) -> DataFrame:
     """One row, the whole corpus as one text in order: for a corpus that is to be one file."""
     return files.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text_col))), lambda r: r[text_col]), separator).alias("text"))

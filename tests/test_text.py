@@ -81,3 +81,12 @@ def test_block_ratio(spark):
 
     assert one(spark, T.block_ratio("a", "b"), a="abcd", b="bcde") == SequenceMatcher(None, "abcd", "bcde").ratio()
     assert one(spark, T.block_ratio("a", "b"), a=None, b="x") is None and math.isclose(one(spark, T.block_ratio("a", "b"), a="", b=""), 1.0)
+
+
+def test_whole_texts_are_cut_into_slices(spark):
+    from scriptorium.operators import corpus
+
+    texts = {1: "é\n😀x" * 3_001, 2: "", 3: None, 4: "a" * 500, 5: "\r\n" * 251, 6: "b" * 501}
+    rows = corpus.chunk_whole_text(spark.createDataFrame(list(texts.items()), "doc int, text string"), "doc").collect()
+    assert sorted((r.doc, r.chunk, r.text) for r in rows) == [(k, i // 500, t[i : i + 500]) for k, t in texts.items() for i in range(0, len(t or ""), 500)]
+    assert max(r.chunk for r in rows) == 24
