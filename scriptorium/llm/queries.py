@@ -30,6 +30,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(docs, path_cols=("doc_id",))
 
 
+def op5_secrets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return secrets.secret_scan(docs, rules=secrets.WHOLE_RULES, path_cols=("doc_id",))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_ids(read(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_blocks(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_quality, op4_bpe, op5_secrets, op6_langid, op7_url_filter, op8_simhash, op9_sharding, op10_mixing)}
-SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_secrets": secrets.oracle(), "op9_sharding": shards.oracle()}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_quality, op4_bpe, op5_secrets, op5_secrets_whole, op6_langid, op7_url_filter, op8_simhash, op9_sharding, op10_mixing)}
+SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_secrets": secrets.oracle(), "op5_secrets_whole": secrets.oracle(secrets.WHOLE_RULES), "op9_sharding": shards.oracle()}

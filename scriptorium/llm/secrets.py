@@ -12,7 +12,7 @@ ASCII classes, bounded repeats); a literal that every match must hold lets most
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,19 @@ RULES = (
     Rule("assigned_secret", 1, "(?:" + "|".join(map(_any_case, _NAMES)) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([0-9A-Za-z+/_-]{12,200})", ("password", "passwd", "secret", "token", "api"), True),
 )
 
+#: Rules without upper repeat bounds: secrets of any length are found, and found whole. The bounded ``RULES`` stay as they are,
+#: since the registered SQL of op5_secrets is made from them.
+_OPEN = {
+    "github_token": _START + r"(gh[pousr]_[0-9A-Za-z]{36,})",
+    "slack_token": _START + r"(xox[abprs]-[0-9A-Za-z-]{10,})",
+    "payment_key": _START + r"([rs]k_(?:live|test)_[0-9A-Za-z]{10,})",
+    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
+    "json_web_token": _START + r"(eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,})",
+    "url_password": r"[a-z]://([^ \t\n/:@]+:[^ \t\n/:@]+)@",
+    "assigned_secret": "(?:" + "|".join(map(_any_case, _NAMES)) + r")[\"']?[ \t]*[:=][ \t]*[\"']?([0-9A-Za-z+/_-]{12,})",
+}
+WHOLE_RULES = tuple(replace(r, version=r.version + 1, pattern=_OPEN[r.name]) if r.name in _OPEN else r for r in RULES)
+
 FINDINGS = "blob binary, rule string, rule_version int, ordinal int, secret string"
 SCANS = "blob binary, scanned array<string>"
 
