@@ -410,8 +410,8 @@ def align_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def line_best_match(spark: SparkSession, d: str) -> DataFrame:
-    n, r = read(spark, d, "nation"), read(spark, d, "region")
-    return alignment.line_best_match(n.select("n_nationkey", F.col("n_name").alias("text")), r.select("r_regionkey", F.col("r_name").alias("text")), "n_nationkey", "r_regionkey")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return alignment.line_best_match(rows.select(F.struct("conv_id", "turn", "at").alias("line"), "text"), read(spark, d, "benchmark"), "line", "item_id").select("line.*", "ocr_text", "item_id", "ref_text", "similarity")
 
 
 # Tokenizers

@@ -13,11 +13,13 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from scriptorium.functions import text as T
-from scriptorium.runtime import broadcast_if, spread
+from scriptorium.runtime import spread
 
 _BREAK, _OTHER = re.compile(r"-\s*\n\s*"), re.compile(r"[^a-z0-9\s]")
 
@@ -192,14 +194,64 @@ def anchor_candidates(pages: DataFrame, references: DataFrame, edition: str, pag
     return scored.groupBy(edition, page).agg(F.min_by("at", F.struct(-F.col("score"), "at")).alias("at"), F.max("score").alias("score"))
 
 
+class BlockIndex:
+    """Reference texts in order, ready to be searched for the most similar to many lines."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.code = {c: i for i, c in enumerate(sorted({c for t in texts for c in t}))}
+        self.lens = np.array([len(t) for t in texts], dtype=np.int64)
+        self.counts = np.zeros((len(texts), len(self.code)), dtype=np.int32)
+        for i, t in enumerate(texts):
+            for c in t:
+                self.counts[i, self.code[c]] += 1
+        self.matchers = [SequenceMatcher(None, "", t) for t in texts]
+
+    def best(self, line: str) -> tuple[int, float]:
+        """(index of the most similar text, its block ratio); the first on ties. Letters in common, and with them lengths, bound the ratio;
+        texts are taken by bound until none left can reach the best."""
+        own = np.zeros(len(self.code), dtype=np.int32)
+        for c in line:
+            if c in self.code:
+                own[self.code[c]] += 1
+        total = self.lens + len(line)
+        bound = np.where(total > 0, 2.0 * np.minimum(own, self.counts).sum(axis=1) / np.maximum(total, 1), 1.0)
+        at, top = -1, -1.0
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < top - 1e-12:
+                break
+            if line == self.texts[i]:
+                r = 1.0
+            else:
+                self.matchers[i].set_seq1(line)
+                r = self.matchers[i].ratio()
+            if r > top or (r == top and i < at):
+                at, top = i, r
+        return at, top
+
+
 def line_best_match(lines: DataFrame, references: DataFrame, line: str, ref: str, text_col: str = "text") -> DataFrame:
     """(line, ocr_text, ref, ref_text, similarity): each line's most similar reference line by block ratio; the first on ties. The
-    smaller table goes to the other where its counted size allows, else both are paired in the shuffle."""
+    references go to the lines where their counted size allows, else both are paired in the shuffle."""
     a = lines.select(line, F.col(text_col).alias("ocr_text")).filter("ocr_text is not null")
     b = references.select(ref, F.col(text_col).alias("ref_text")).filter("ref_text is not null")
-    pairs = a.crossJoin(broadcast_if(b, b.count(), 20_000)).withColumn("similarity", T.block_ratio("ocr_text", "ref_text"))
-    best = pairs.groupBy(line, "ocr_text").agg(F.min_by(F.struct(ref, "ref_text", "similarity"), F.struct(-F.col("similarity"), ref)).alias("b"))
-    return best.select(line, "ocr_text", f"b.{ref}", "b.ref_text", "b.similarity")
+    if b.count() > 20_000:
+        pairs = a.crossJoin(b).withColumn("similarity", T.block_ratio("ocr_text", "ref_text"))
+        best = pairs.groupBy(line, "ocr_text").agg(F.min_by(F.struct(ref, "ref_text", "similarity"), F.struct(-F.col("similarity"), ref)).alias("b"))
+        return best.select(line, "ocr_text", f"b.{ref}", "b.ref_text", "b.similarity")
+    rows = b.orderBy(ref, "ref_text").collect()
+    texts = [r.ref_text for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = BlockIndex(texts)
+        for x in batches:
+            found = [index.best(t) for t in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([i for i, _ in found], pa.int32()), pa.array([s for _, s in found], pa.float64())], [line, "ocr_text", "at", "similarity"])
+
+    shape = StructType([*a.schema.fields, StructField("at", IntegerType()), StructField("similarity", DoubleType())])
+    found = spread(a, "ocr_text").mapInArrow(run, shape)
+    place = lines.sparkSession.createDataFrame([(i, r[ref], r.ref_text) for i, r in enumerate(rows)], StructType([StructField("at", IntegerType()), *b.schema.fields]))
+    return found.join(F.broadcast(place), "at").select(line, "ocr_text", ref, "ref_text", "similarity")
 
 
 def words_before(pages: DataFrame, edition: str, order: str, text_col: str = "text") -> DataFrame:

@@ -101,3 +101,21 @@ def test_similarity_is_the_block_ratio():
         a, b = ("".join(r.choice("abcde") for _ in range(r.randint(0, 9))) for _ in range(2))
         assert A.similarity(a, b) == (1.0 if a == b else SequenceMatcher(None, a, b).ratio())
     assert A.similarity("ab" * 30, "ba" * 30) == SequenceMatcher(None, "ab" * 30, "ba" * 30).ratio()
+
+
+def test_best_lines_are_those_of_all_conversations(spark, tmp_path):
+    from scriptorium import catalog
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdeéxy ") for _ in range(r.randint(0, 60)))
+    turns = [(c, t, "user", None if (c, t) == (2, 1) else "\n".join(word() for _ in range(r.randint(1, 4)))) for c in range(6) for t in range(3)]
+    refs = [(i, word()) for i in range(30)] + [(30, "ab" * 150), (31, "ab" * 150), (32, ""), (33, None)]
+    spark.createDataFrame([*turns, (9, 0, "user", "ab" * 150), turns[0]], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(refs, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = []
+    for c, t, _, text in [*turns, (9, 0, "user", "ab" * 150), turns[0]]:
+        for k, x in enumerate([] if text is None else text.split("\n")):
+            s, i = max((1.0 if x == y else SequenceMatcher(None, x, y).ratio(), -i) for i, y in refs if y is not None)
+            want.append((c, t, k, x, -i, s))
+    got = [(x.conv_id, x.turn, x.at, x.ocr_text, x.item_id, x.similarity) for x in catalog.QUERIES["line_best_match"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
