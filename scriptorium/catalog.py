@@ -7,6 +7,9 @@ pages, ``lineitem`` for boxes (odd line numbers: truth, even: found).
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions import geometry as G
 from scriptorium.functions import similarity
 from scriptorium.functions import text as T
+from scriptorium.functions import imaging
 from scriptorium.operators import alignment, corpus, detection, lexicon, lines, pages, tokenizer
-from scriptorium.runtime import Cut, read
+from scriptorium.runtime import Cut, own_folder, read
+from scriptorium.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,13 +181,13 @@ def char_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(least(10, (length(text) + 499) // 500))) AS i FROM documents)")
-def chunk_text(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chunk_text(read(spark, d, "documents"), "doc_id")
+def validation_sample(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.validation_sample(read(spark, d, "documents"), "doc_id")
 
 
 @_query("SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range((length(text) + 499) // 500)) AS i FROM documents)")
-def chunk_whole_text(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chunk_whole_text(read(spark, d, "documents"), "doc_id")
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunk_text(read(spark, d, "documents"), "doc_id")
 
 
 _PLAIN = rf"trim(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '-{T.BLANK}*\n{T.BLANK}*', '', 'g'))), '[^a-z0-9{T.BLANK[1:-1]}]', ' ', 'g'), '{T.BLANK}+', ' ', 'g'))"
@@ -264,11 +269,6 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
     return lines.run_counters(read(spark, d, "documents").select(status.alias("status")))
 
 
-@_query("SELECT avg(x) AS mean, stddev_pop(x) AS std FROM (SELECT (n_chars % 256) / 255.0::DOUBLE AS x FROM documents)")
-def dataset_mean_std(spark: SparkSession, d: str) -> DataFrame:
-    return lines.channel_statistics(read(spark, d, "documents").select((F.col("n_chars") % 256).alias("pixels")))
-
-
 # Pages
 
 @_query("SELECT conv_id, count(*) AS lines, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
@@ -307,6 +307,14 @@ _PAIRS = f"""{_BOXES}, duo AS (SELECT t.image, t.pos AS truth_pos, f.pos AS foun
  pair AS (SELECT image, truth_pos, found_pos, conf, o / (a - o) AS iou FROM duo WHERE o > 0)"""
 
 
+_ANNOTATED = "SELECT o_orderkey AS image FROM orders WHERE o_orderstatus <> 'P'"
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Images with an annotation file: some have no box at all, and some boxes lie on images without one."""
+    return read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("image"))
+
+
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 50).cast("double")
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)).cast("long")
@@ -325,14 +333,14 @@ _GREEDY = f"""WITH RECURSIVE {_PAIRS}, ranked AS (SELECT image, pos, row_number(
   UNION ALL SELECT s.image, s.t, c.r, CASE WHEN coalesce(list_filter(c.c, lambda z: NOT list_contains(s.used, z.g))[1].less <= -s.t, false) THEN list_append(s.used, list_filter(c.c, lambda z: NOT list_contains(s.used, z.g))[1].g) ELSE s.used END
   FROM step s JOIN cand c ON c.image = s.image AND c.r = s.r + 1),
  hit AS (SELECT image, t, len(used) AS tp FROM step QUALIFY row_number() OVER (PARTITION BY image, t ORDER BY r DESC) = 1),
- n AS (SELECT image, count(*) FILTER (truth) AS nt, count(*) FILTER (NOT truth) AS nf FROM boxes GROUP BY image),
+ n AS (SELECT a.image, count(*) FILTER (truth) AS nt, count(*) FILTER (NOT truth) AS nf FROM ({_ANNOTATED}) a LEFT JOIN boxes USING (image) GROUP BY a.image),
  per AS (SELECT n.image, CAST(v.t AS DOUBLE) AS iou_threshold, CAST(coalesce(h.tp, 0) AS BIGINT) AS tp, nf - coalesce(h.tp, 0) AS fp, nt - coalesce(h.tp, 0) AS fn FROM n CROSS JOIN (VALUES (0.3), (0.5), (0.7)) v(t) LEFT JOIN hit h ON h.image = n.image AND h.t = v.t)"""
 
 
 @_query(f"{_GREEDY} SELECT image, iou_threshold, tp, fp, fn FROM per")
 def box_matches(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
-    return detection.matched(b.filter("truth"), b.filter("not truth"))
+    return detection.matched(b.filter("truth"), b.filter("not truth"), annotated=_annotated(spark, d))
 
 
 @_query(f"""{_GREEDY}, s AS (SELECT iou_threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per GROUP BY iou_threshold),
@@ -340,7 +348,7 @@ def box_matches(spark: SparkSession, d: str) -> DataFrame:
  SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r""")
 def detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
-    return detection.detection_metrics(b.filter("truth"), b.filter("not truth"))
+    return detection.detection_metrics(b.filter("truth"), b.filter("not truth"), annotated=_annotated(spark, d))
 
 
 @_query(f"WITH {_BOXES} SELECT image, pos, printf('4 %.6f %.6f %.6f %.6f', (x1 + (x2 - x1) / 2) / 100, (y1 + (y2 - y1) / 2) / 100, (x2 - x1) / 100, (y2 - y1) / 100) AS label FROM boxes")
@@ -396,7 +404,17 @@ def _edition(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return turns, pages.page_text(turns, "conv_id", "turn").select("conv_id", "text")
 
 
-@_query()
+_PLAIN_WORDS = f"list_filter(string_split({_PLAIN}, ' '), lambda x: x <> '')"
+
+
+@_query(f"""WITH p AS (SELECT conv_id, turn, {_PLAIN_WORDS} AS w FROM conversations),
+ r AS (SELECT conv_id, {_PLAIN_WORDS} AS r FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)),
+ b AS (SELECT conv_id, turn, w, r, least(30, len(w)) AS probe, least(len(r) - least(30, len(w)), 3 * len(w)) AS stop FROM p LEFT JOIN r USING (conv_id) WHERE len(w) > 0),
+ c AS (SELECT conv_id, turn, array_to_string(w[1:probe], ' ') AS own, i AS pos, array_to_string(r[i + 1:i + probe * 6], ' ') AS there FROM (SELECT *, unnest(range(0, stop, 10)) AS i FROM b WHERE stop > 0)),
+ g AS (SELECT conv_id, turn, pos, {_GRAMS.format('own')} AS g, {_GRAMS.format('there')} AS h FROM c),
+ s AS (SELECT conv_id, turn, pos, CASE WHEN len(g) > 0 AND len(h) > 0 THEN len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) ELSE 0 END AS score FROM g)
+ SELECT conv_id, turn, CAST(pos AS INTEGER) AS "at", score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pos) = 1
+ UNION ALL SELECT conv_id, turn, 0, -1.0 FROM b WHERE coalesce(stop, 0) <= 0""")
 def anchor_candidates(spark: SparkSession, d: str) -> DataFrame:
     turns, whole = _edition(spark, d)
     return alignment.anchor_candidates(turns, whole, "conv_id", "turn")
@@ -416,21 +434,310 @@ def line_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 # Tokenizers
 
-@_query(f"SELECT CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(w)) AS BIGINT) AS tokens, sum(length(text)) / greatest(sum(len(w)), 1) AS compression_ratio FROM (SELECT text, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents)")
+#: Requested sizes: specials, all 256 bytes, and the first merges of the public vocabulary.
+SIZES = (300, 350, 400, 450, 500, 550)
+_COUNTS = [n - 260 for n in SIZES]
+
+
+def _public_merges() -> list[tuple[str, str]]:
+    """The first merges of the public vocabulary file, for the SQL; none where the file isn't there."""
+    if not os.path.exists(tokenizer.VOCABULARY):
+        return []
+    with open(tokenizer.VOCABULARY, encoding="utf-8") as f:
+        rules = json.load(f)["model"]["merges"][: _COUNTS[-1]]
+    return [tuple(r.split(" ", 1)) if isinstance(r, str) else tuple(r) for r in rules]
+
+
+_MERGES = _public_merges()
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _replaced(column: str, rules: list[tuple[str, str]]) -> str:
+    for a, b in rules:
+        x, y = tokenizer.as_hex(a), tokenizer.as_hex(b)
+        column = f"replace({column}, '<{x}><{y}>', '<{x}{y}>')"
+    return column
+
+
+def _sweep_sql() -> str:
+    """The sweep in SQL. Blank runs are parted by a private character first, since its expressions don't look ahead."""
+    b, mark = T.BLANK[1:-1], "\ue000"
+    led = "CASE WHEN text = '' OR starts_with(text, ' ') THEN text ELSE ' ' || text END"
+    marked = f"regexp_replace({led}, '([{b}]+)([{b}][^{b}])', '\\1{mark}\\2', 'g')"
+    cut = rf"''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{b}\p{{L}}\p{{N}}{mark}]+|[{b}]+"
+    steps, before = [], 0
+    for i, k in enumerate(_COUNTS):
+        for lo in range(before, k, 25):
+            name = f"x{len(steps)}"
+            steps.append((name, _MERGES[lo : min(lo + 25, k)], i))
+        before = k
+    out, last = [], "start"
+    ends = {}
+    for name, rules, i in steps:
+        out.append(f"{name} AS MATERIALIZED (SELECT n, {_replaced('s', rules)} AS s FROM {last})")
+        last, ends[i] = name, name
+    sizes = " UNION ALL ".join(f"SELECT {SIZES[i]} AS size, sum(n * (length(s) - length(replace(s, '<', '')))) AS t FROM {name}" for i, name in ends.items())
+    return f"""piece AS (SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all({marked}, '{cut}')) AS piece FROM documents) GROUP BY piece),
+ start AS (SELECT n, regexp_replace(hex(piece), '(..)', '<\\1>', 'g') AS s FROM piece), {', '.join(out)}, sizes AS ({sizes}),
+ whole AS (SELECT CAST(sum(length(text)) AS BIGINT) AS chars, count(text) AS texts FROM documents),
+ sweep AS (SELECT CAST(size AS INTEGER) AS vocab_size_requested, CAST(size AS INTEGER) AS vocab_size_actual, chars, CAST(t + texts AS BIGINT) AS tokens, chars / (t + texts) AS compression_ratio FROM sizes, whole)"""
+
+
+_SWEEP = _sweep_sql() if _MERGES else None
+_TOKENS = ", ".join(f"({i}, {_sql(a + b)})" for i, (a, b) in enumerate(_MERGES))
+_MERGE_FREQ = f"m(rank, token) AS (VALUES {_TOKENS}), f AS (SELECT rank, token, CAST(coalesce(sum((length(text) - length(replace(text, token, ''))) // length(token)), 0) AS BIGINT) AS n FROM m, documents GROUP BY rank, token)" if _MERGES else None
+
+
+def _merge_table(spark: SparkSession) -> DataFrame:
+    folder, name = os.path.split(tokenizer.VOCABULARY)
+    return tokenizer.merge_table(readers.tokenizer_files(spark, folder).filter(F.col("name") == name.removesuffix(".json"))).filter(F.col("rank") < _COUNTS[-1])
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.size_sweep(read(spark, d, "documents"), _merge_table(spark), SIZES, alphabet=256)
+
+
+@_query(_SWEEP and f"WITH {_SWEEP} SELECT * FROM sweep")
+def size_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _sweep(spark, d)
+
+
+@_query(_SWEEP and f"""WITH {_SWEEP}, g AS (SELECT *, lag(vocab_size_requested) OVER w AS before, vocab_size_actual - lag(vocab_size_actual) OVER w AS grown, compression_ratio - lag(compression_ratio) OVER w AS gain FROM sweep WINDOW w AS (ORDER BY vocab_size_requested))
+ SELECT coalesce(arg_min(before, vocab_size_requested) FILTER (grown > 0 AND gain < 0.02), max(vocab_size_requested)) AS vocab_size FROM g""")
+def size_elbow(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.size_elbow(_sweep(spark, d))
+
+
+@_query(_SWEEP and f"WITH {_SWEEP} SELECT chars, tokens, compression_ratio FROM sweep WHERE vocab_size_requested = {SIZES[-1]}")
 def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.compression_ratio(read(spark, d, "documents").select("text", T.words(F.col("text")).alias("ids")))
+    return _sweep(spark, d).filter(F.col("vocab_size_requested") == SIZES[-1]).select("chars", "tokens", "compression_ratio")
 
 
-@_query("""WITH m AS (SELECT DISTINCT substr(lower(n_name), i, 1) AS l, substr(lower(n_name), i + 1, 1) AS r FROM (SELECT n_name, unnest(range(1, length(n_name))) AS i FROM nation))
- SELECT l || r AS token, CAST(coalesce(sum((length(text) - length(replace(text, l || r, ''))) // 2), 0) AS BIGINT) AS n FROM m, documents GROUP BY l, r""")
+@_query(_MERGE_FREQ and f"WITH {_MERGE_FREQ} SELECT CAST(rank AS INTEGER) AS rank, token, n FROM f")
 def merge_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    name = F.lower("n_name")
-    pairs = read(spark, d, "nation").select(F.explode(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.struct(F.substring(name, i, F.lit(1)).alias("left"), F.substring(name, i + 1, F.lit(1)).alias("right")))).alias("p")).select("p.*").distinct()
-    return tokenizer.merge_frequencies(pairs.withColumn("rank", F.lit(0)), read(spark, d, "documents")).select("token", "n")
+    return tokenizer.merge_frequencies(_merge_table(spark), read(spark, d, "documents"))
 
 
-@_query("SELECT min(50 * (r_regionkey + 1)) FILTER (r_regionkey = 2) AS vocab_size FROM region")
-def size_elbow(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("r_regionkey")
-    sweep = read(spark, d, "region").select((50 * (k + 1)).alias("vocab_size_requested"), (50 * (k + 1) - k).alias("vocab_size_actual"), (1 + 0.1 * F.least(k, F.lit(2))).alias("compression_ratio"))
-    return tokenizer.size_elbow(sweep)
+@_query(_MERGE_FREQ and f"WITH {_MERGE_FREQ} SELECT CAST(rank AS INTEGER) AS rank, token, n FROM f WHERE n < 10")
+def rare_merges(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.rare_merges(merge_frequencies(spark, d))
+
+
+@_query(_MERGE_FREQ and f"""WITH {_MERGE_FREQ}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, rank) AS a, row_number() OVER (ORDER BY n, rank DESC) AS b FROM f)
+ SELECT 'top' AS side, CAST(a AS INTEGER) AS place, token, n FROM r WHERE a <= 10 UNION ALL SELECT 'bottom', CAST(b AS INTEGER), token, n FROM r WHERE b <= 10""")
+def top_merges(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.top_merges(merge_frequencies(spark, d))
+
+
+# Files: what a sink writes and a reader reads again
+
+def _folder(spark: SparkSession) -> str:
+    return f"{own_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _text_folder(spark: SparkSession, d: str) -> str:
+    """Every document as a text file of its own."""
+    out = _folder(spark)
+    sinks.write_files(read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content")), out)
+    return out
+
+
+@_query("SELECT doc_id || '.txt' AS name, CAST(doc_id AS VARCHAR) AS stem, text FROM documents WHERE text IS NOT NULL")
+def text_scan(spark: SparkSession, d: str) -> DataFrame:
+    return readers.text_files(spark, _text_folder(spark, d))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS stem, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))")
+def line_scan(spark: SparkSession, d: str) -> DataFrame:
+    return readers.text_lines(spark, _text_folder(spark, d))
+
+
+@_query(f"WITH {_FLAGS} SELECT folder, stem, density, size, height, width, {_REASONS} AS reasons, was_removed FROM gone")
+def tracking_scan(spark: SparkSession, d: str) -> DataFrame:
+    out = _folder(spark)
+    sinks.write_tracking(lines.filter_tracking(_measures(spark, d)), out)
+    return readers.tracking_file(spark, out)
+
+
+@_query(f"WITH {_FORMS} SELECT form, headword FROM forms")
+def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon as one JSON file (headwords that occur again get their place as a suffix of digits, which forms don't have)."""
+    w = T.words(F.col("text"))
+    rows = read(spark, d, "benchmark").select("item_id", w.alias("w")).filter(F.size("w") > 0)
+    rows = rows.select("item_id", F.concat(F.to_json(F.array(F.concat(F.col("w")[0], F.lit("\u2063"), F.col("item_id").cast("string")))), F.lit(":"), F.to_json(F.expr("slice(w, 2, size(w))"))).alias("entry"))
+    entry = F.regexp_replace("entry", r'^\[("(?:[^"\\]|\\.)*")\]', "$1")
+    whole = rows.select("item_id", entry.alias("entry")).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "entry"))), lambda r: r["entry"]), ","), F.lit("}")).alias("content"))
+    out = _folder(spark)
+    sinks.write_files(whole.select(F.lit("lexicon.json").alias("name"), "content"), out)
+    back = readers.lexicon_file(spark, f"{out}/lexicon.json")
+    return lexicon.lexicon_forms(back.withColumn("headword", F.regexp_replace("headword", "\u2063.*$", "")))
+
+
+@_query(f"WITH {_BOXES} SELECT CAST(image AS VARCHAR) AS stem, CAST(row_number() OVER (PARTITION BY image ORDER BY pos) - 1 AS BIGINT) AS pos, CAST(pos AS VARCHAR) AS id, x1, y1, x2, y2 FROM boxes WHERE truth")
+def page_xml_scan(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).filter("truth").select(F.col("image").cast("string").alias("stem"), F.lit(100.0).alias("page_width"), F.lit(100.0).alias("page_height"), F.col("pos").cast("string").alias("id"), "x1", "y1", "x2", "y2", F.lit("0 0 1 1").alias("points"))
+    out = _folder(spark)
+    sinks.write_files(sinks.page_xml(b), out)
+    return readers.page_blocks(spark, out).select("stem", "pos", "id", "x1", "y1", "x2", "y2")
+
+
+@_query("""SELECT conv_id AS imagename, turn AS idx, text FROM conversations WHERE text IS NOT NULL""")
+def segmentation_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation as a segmentation file whose lines are its turns; turns with texts have a boundary."""
+    rows = read(spark, d, "conversations")
+    line = F.struct(F.col("turn").cast("string").alias("id"), F.array(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(9.0), F.lit(1.0))).alias("baseline"), F.when(F.col("text").isNotNull(), F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(9.0), F.lit(4.0)))).alias("boundary"), "text")
+    files = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("l"))
+    content = F.to_json(F.struct(F.col("conv_id").cast("string").alias("imagename"), F.transform("l", lambda x: x["l"]).alias("lines")))
+    out = _folder(spark)
+    sinks.write_files(files.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), out)
+    found = pages.page_lines(readers.segmentations(spark, out))
+    return found.select(F.col("imagename").cast("long").alias("imagename"), F.col("id").cast(rows.schema["turn"].dataType).alias("idx"), "text")
+
+
+@_query(_MERGES and f"SELECT CAST(rank AS INTEGER) AS rank, l AS \"left\", r AS \"right\" FROM (VALUES {', '.join(f'({i}, {_sql(a)}, {_sql(b)})' for i, (a, b) in enumerate(_MERGES))}) t(rank, l, r)")
+def tokenizer_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _merge_table(spark).select("rank", "left", "right")
+
+
+@_query("SELECT string_agg(text, chr(10) || chr(10) || '<doc>' || chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10) || '<doc>' || chr(10) || chr(10) AS text FROM documents WHERE text IS NOT NULL")
+def corpus_file(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus file, its parts read again in the order of their names: one text, as the reference's file is."""
+    out = _folder(spark)
+    sinks.write_corpus(read(spark, d, "documents").filter("text is not null"), out, "doc_id")
+    parts = spark.read.text(out, wholetext=True).select(F.col("_metadata.file_name").alias("part"), "value")
+    return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "value"))), lambda r: r["value"]), "").alias("text"))
+
+
+@_query("SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def page_text_files(spark: SparkSession, d: str) -> DataFrame:
+    """A text file for each turn and one for each conversation; the latter read again."""
+    out, turns = _folder(spark), read(spark, d, "conversations")
+    sinks.write_line_and_page_texts(turns.select(F.col("conv_id").cast("string").alias("folder"), F.concat_ws("_", "conv_id", F.lit("line"), "turn").alias("stem"), F.col("turn").alias("idx"), "text"), out)
+    return readers.text_files(spark, out).select(F.replace("stem", F.lit("_full"), F.lit("")).cast("long").alias("conv_id"), "text").filter("text <> ''")
+
+
+# Smaller operators
+
+@_query(f"SELECT doc_id, {_PLAIN_WORDS} AS words FROM documents")
+def plain_words(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.plain_words(F.col("text")).alias("words"))
+
+
+@_query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(source || '_line_' || doc_id), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') AND length(p) < 12 THEN lpad(p, 12, '0') ELSE p END), '') AS key, CAST(doc_id AS INTEGER) AS idx FROM documents")
+def natural_keys(spark: SparkSession, d: str) -> DataFrame:
+    stem = F.concat("source", F.lit("_line_"), F.col("doc_id").cast("string"))
+    return read(spark, d, "documents").select("doc_id", T.natural_key(stem).alias("key"), T.line_index(stem).alias("idx"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey < 10 THEN '0' ELSE '' END || p_partkey || '_f_' || p_size || '.json' AS filename, '/out/' || CASE WHEN p_partkey < 10 THEN '0' ELSE '' END || p_partkey || '_f_' || p_size || '.json' AS path, 'data/' || p_brand || '/x' AS posix FROM part")
+def output_paths(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.col("p_partkey").cast("string"), F.lit(" - f."), F.col("p_size").cast("string"))
+    made = T.output_path(name, F.lit("/out/"))
+    return read(spark, d, "part").select("p_partkey", made["filename"].alias("filename"), made["path"].alias("path"), T.posix_path(F.concat(F.lit("data//./"), "p_brand", F.lit("/x/"))).alias("posix"))
+
+
+@_query("WITH s AS (SELECT p_partkey, p_size * 13 + 1 AS w, p_partkey % 700 + 1 AS h FROM part) SELECT p_partkey, CAST(w - 1 AS DOUBLE) AS x1, CAST(greatest(1, least(CAST(floor(h * 0.75) AS INTEGER), h - 2)) AS DOUBLE) AS y FROM s")
+def middle_baseline(spark: SparkSession, d: str) -> DataFrame:
+    line = G.middle_line(F.col("p_size") * 13 + 1, F.col("p_partkey") % 700 + 1)
+    return read(spark, d, "part").select("p_partkey", line[1][0].alias("x1"), line[0][1].alias("y"))
+
+
+@_query("SELECT count(*) AS images, CAST(coalesce(sum(z), 0) AS BIGINT) AS zones, count(z) AS images_with_zones, count(*) FILTER (z IS NULL) AS images_no_detections FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS z FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
+def mask_summary(spark: SparkSession, d: str) -> DataFrame:
+    zones = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class"))
+    return detection.mask_summary(read(spark, d, "orders").select(F.col("o_orderkey").alias("image")), zones, "R")
+
+
+def _inventory(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Inventory rows (orders and numbers up to three beyond their lines), segmentations of two lines in three, and image files of numbers not divisible by five."""
+    items = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("folder"), "l_linenumber")
+    most = items.groupBy("folder").agg(F.max("l_linenumber").alias("m"))
+    inv = most.select("folder", F.explode(F.sequence(F.lit(0), F.col("m") + 2)).alias("i")).select("folder", F.concat_ws("_", "folder", F.lit("line"), "i").alias("stem"), (F.col("i") % 4 == 3).alias("was_removed"))
+    line = F.struct(F.col("i").cast("string").alias("id"), F.lit(None).cast(readers.POINTS).alias("baseline"), F.lit(None).cast(readers.POINTS).alias("boundary"))
+    seg = most.filter("cast(folder as bigint) % 3 <> 0").select("folder", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i")).groupBy(F.col("folder").alias("imagename")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    files = inv.filter("cast(substring_index(stem, '_', -1) as int) % 5 <> 0").select("folder", "stem")
+    return inv, seg, files
+
+
+_INVENTORY = """inv AS (SELECT l_orderkey AS o, unnest(range(0, max(l_linenumber) + 3)) AS i, max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey),
+ kept AS (SELECT CAST(o AS VARCHAR) AS folder, o || '_line_' || i AS stem, CAST(i AS INTEGER) AS idx, o % 3 <> 0 AND i < m AS found, i % 5 <> 0 AS image_found, o % 3 <> 0 AS page_found, m FROM inv WHERE i % 4 <> 3)"""
+
+
+@_query(f"WITH {_INVENTORY} SELECT folder, stem, idx, found FROM kept")
+def inventory_lines(spark: SparkSession, d: str) -> DataFrame:
+    inv, seg, _ = _inventory(spark, d)
+    return pages.with_lines(lines.kept_lines(inv).select("folder", "stem"), seg).select("folder", "stem", "idx", "found")
+
+
+@_query(f"WITH {_INVENTORY} SELECT folder, stem, image_found FROM kept")
+def inventory_images(spark: SparkSession, d: str) -> DataFrame:
+    inv, _, files = _inventory(spark, d)
+    return pages.with_images(lines.kept_lines(inv).select("folder", "stem"), files)
+
+
+@_query(f"WITH {_INVENTORY}, s AS (SELECT *, CASE WHEN NOT found OR NOT image_found OR idx % 7 = 4 THEN 'failed' WHEN idx % 3 = 1 THEN 'empty' ELSE 'ok' END AS status FROM kept WHERE page_found) SELECT folder, stem, idx, status, CASE WHEN status = 'ok' THEN 'line ' || idx END AS text FROM s")
+def transcription_status(spark: SparkSession, d: str) -> DataFrame:
+    """The transcription's bookkeeping, with a stand-in for the recogniser that gives nothing for some lines and fails for others."""
+    inv, seg, files = _inventory(spark, d)
+    kept = lines.kept_lines(inv).select("folder", "stem").join(seg.select(F.col("imagename").alias("folder")), "folder", "left_semi")
+    rows = pages.with_images(pages.with_lines(kept, seg), files)
+    i = F.col("idx")
+    texts = rows.filter("found and image_found").select("folder", "stem", F.when(i % 3 != 1, F.concat(F.lit("line "), i.cast("string"))).alias("text"), F.when(i % 7 == 4, F.lit("error")).alias("error"))
+    return pages.transcribed(rows, texts)
+
+
+@_query("SELECT s_suppkey, s_suppkey || ' - f.' || s_nationkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN '/masks/' || s_suppkey || '.png' END AS mask, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS v FROM supplier")
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the mask and the segmentation of their normalised name."""
+    rows = read(spark, d, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.lit(" - f."), F.col("s_nationkey").cast("string")).alias("name"))
+    masks = rows.filter("s_suppkey % 2 = 0").select(T.page_file_name(F.col("name")).alias("stem"), F.concat(F.lit("/masks/"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("path"))
+    other = rows.filter("s_suppkey % 3 = 0").select(F.replace("name", F.lit(" "), F.lit("")).alias("name"), F.col("s_suppkey").alias("v"))
+    return pages.join_by_file_name(pages.with_masks(rows, masks), other)
+
+
+@_query(f"WITH {_BOXES}, n AS (SELECT image, count(*) AS k, min(pos) AS p FROM boxes GROUP BY image) SELECT image, pos, k = 2 AS drawn, greatest(0, CAST(floor(x1) AS INTEGER) - 20) AS label_x, greatest(0, CAST(floor(y1) AS INTEGER) - 20) AS label_y FROM boxes JOIN n USING (image) WHERE pos = p")
+def plot_marks(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    rows = b.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("pos", "x1", "y1"))).alias("b"))
+    rows = rows.select(F.col("image").alias("imagename"), F.col("b")[0]["pos"].alias("idx"), F.transform("b", lambda p: F.array(p["x1"], p["y1"])).alias("baseline"), F.lit(None).cast(readers.POINTS).alias("boundary"))
+    return pages.plot_marks(rows).select(F.col("imagename").alias("image"), F.col("idx").alias("pos"), F.col("baseline").isNotNull().alias("drawn"), "label_x", "label_y")
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a gray image of one row: its ASCII letters and digits as they are, all else black."""
+    flat = F.regexp_replace("text", r"(?s)[^0-9A-Za-z]", "\x00")
+    return read(spark, d, "documents").filter("length(text) > 0").select(F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("stem"), F.lit(1).alias("height"), F.length(flat).alias("width"), F.encode(flat, "UTF-8").alias("pixels"))
+
+
+@_query("SELECT source AS folder, CAST(doc_id AS VARCHAR) AS stem, 1 - length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) / length(text) AS density, length(text) AS size, 1 AS height, CAST(length(text) AS INTEGER) AS width FROM documents WHERE length(text) > 0")
+def text_density(spark: SparkSession, d: str) -> DataFrame:
+    return imaging.line_measures(_images(spark, d))
+
+
+@_query("""WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END AS v FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''),
+ h AS (SELECT doc_id, v, count(*) AS n FROM c GROUP BY doc_id, v), w AS (SELECT doc_id, v, sum(n) OVER a AS b, sum(n * v) OVER a AS m, sum(n) OVER p AS t, sum(n * v) OVER p AS mm FROM h WINDOW a AS (PARTITION BY doc_id ORDER BY v), p AS (PARTITION BY doc_id)),
+ s AS (SELECT doc_id, v, CASE WHEN b < t THEN power(CAST(mm * b - t * m AS DOUBLE), 2) / (CAST(b AS DOUBLE) * (t - b)) ELSE -1 END AS x FROM w)
+ SELECT CAST(doc_id AS VARCHAR) AS stem, CAST(CASE WHEN max(x) <= 0 THEN 0 ELSE arg_max(v, struct_pack(x := x, less := -v)) END AS INTEGER) AS threshold FROM s GROUP BY doc_id""")
+def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return imaging.binarized(_images(spark, d), "otsu").select("stem", "threshold")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS stem, length(regexp_replace(text, '[^o-z]', '', 'g')) AS bright FROM documents WHERE length(text) > 0")
+def fixed_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels above level 110 (the letters from o to z) of every image."""
+    done = imaging.binarized(_images(spark, d), "fixed", 110)
+    return done.select("stem", (F.length(F.hex("pixels")) / 2 - F.length(F.regexp_replace(F.hex("pixels"), "FF", "")) / 2).cast("long").alias("bright"))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS stem, round((sum(CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END) / 255.0::DOUBLE - 0.5 * count(*)) / 0.25, 2) AS total FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id")
+def standardized_pixels(spark: SparkSession, d: str) -> DataFrame:
+    done = imaging.standardized(_images(spark, d), 0.5, 0.25)
+    return done.select("stem", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
+@_query("SELECT avg(v / 255.0::DOUBLE) AS mean, stddev_pop(v / 255.0::DOUBLE) AS std FROM (SELECT CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END AS v FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '')")
+def dataset_mean_std(spark: SparkSession, d: str) -> DataFrame:
+    return lines.channel_statistics(imaging.channel_sums(_images(spark, d)), weight="weight")

@@ -88,10 +88,9 @@ def length_aware_threshold(word: Column, base: float) -> Column:
     return F.when(n <= 4, F.lit(None).cast("double")).when(n == 5, F.lit(float(min(base + 10, 100)))).otherwise(F.lit(float(base)))
 
 
-def chunked(text: Column, size: int = 500, most: int = 10) -> Column:
-    """The first ``most`` slices of ``size`` characters."""
-    whole = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return F.slice(whole, 1, most)
+def first_slices(text: Column, size: int = 500, most: int = 10) -> Column:
+    """A validation sample: the first ``most`` slices of ``size`` characters."""
+    return slices(F.substring(text, 1, size * most), size)
 
 
 def slices(text: Column, size: int = 500) -> Column:
@@ -99,13 +98,28 @@ def slices(text: Column, size: int = 500) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
-def page_file_name(name: Column) -> Column:
-    """Pads leading digits to two, drops blanks, and joins by underscores."""
-    digits = F.regexp_extract(name, r"^([0-9]+)", 1)
-    padded = F.when(F.length(digits) == 1, F.concat(F.lit("0"), name)).otherwise(name)
+def page_file_name(name: Column, padding: int = 2) -> Column:
+    """Pads leading digits to ``padding``, drops blanks, and joins by underscores."""
+    digits = F.length(F.regexp_extract(name, r"^([0-9]+)", 1))
+    padded = F.when((digits > 0) & (digits < padding), F.concat(F.repeat(F.lit("0"), F.lit(padding) - digits), name)).otherwise(name)
     return F.replace(F.replace(F.replace(padded, F.lit(" "), F.lit("")), F.lit("-"), F.lit("_")), F.lit("f."), F.lit("f_"))
 
 
+def posix_path(path: Column) -> Column:
+    """A path with single slashes, without "." steps and without a slash at the end; the empty path is "."."""
+    steps = F.filter(F.split(path, "/+"), lambda x: (x != "") & (x != "."))
+    root = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    out = F.concat(root, F.array_join(steps, "/"))
+    return F.when(out == "", F.lit(".")).otherwise(out)
+
+
+def output_path(name: Column, folder: Column, padding: int = 2, suffix: str = "json") -> Column:
+    """struct path, filename, page of what a page's segmentation is written to."""
+    page = page_file_name(name, padding)
+    file = F.concat(page, F.lit(f".{suffix}"))
+    return F.struct(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), file).alias("path"), file.alias("filename"), page.alias("page"))
+
+
 def line_index(stem: Column) -> Column:
     """Number after the last underscore, or null."""
     return F.substring_index(stem, "_", -1).try_cast("int")

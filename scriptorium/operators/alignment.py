@@ -180,17 +180,18 @@ def align_pages(pages: DataFrame, references: DataFrame, edition: str, order: st
 
 
 def anchor_candidates(pages: DataFrame, references: DataFrame, edition: str, page: str, probe: int = 30, step: int = 10, window: int = 6, forward: int = 3, text_col: str = "text") -> DataFrame:
-    """(edition, page, at, score): the best place of each page in its reference, searched from the reference's start."""
+    """(edition, page, at, score): the best place of each page in its reference, searched from the reference's start. A page whose
+    reference is missing or no longer than the probe has no place to try: at is 0 and the score -1. Pages without words have no row."""
     p = pages.select(edition, page, T.plain_words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     r = references.select(edition, T.plain_words(F.col(text_col)).alias("r"))
-    both = p.join(r, edition).withColumn("probe", F.least(F.lit(probe), F.size("w")))
+    both = p.join(r, edition, "left").withColumn("probe", F.least(F.lit(probe), F.size("w")))
     end = F.least(F.size("r") - F.col("probe"), forward * F.size("w"))
     places = F.when(end > 0, F.sequence(F.lit(0), end - 1, F.lit(step)))
     # only the window's text goes along, not the whole reference
     there = F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("r", i + 1, F.col("probe") * window), " ").alias("text")))
-    rows = both.select(edition, page, F.array_join(F.slice("w", 1, F.col("probe")), " ").alias("own"), F.explode(there).alias("x"))
-    rows = rows.select(edition, page, "x.at", T.char_ngrams(F.col("own")).alias("own"), T.char_ngrams(F.col("x.text")).alias("there"))
-    scored = rows.select(edition, page, "at", T.jaccard(F.col("own"), F.col("there")).alias("score"))
+    rows = both.select(edition, page, F.array_join(F.slice("w", 1, F.col("probe")), " ").alias("own"), F.explode_outer(there).alias("x"))
+    rows = rows.select(edition, page, F.coalesce("x.at", F.lit(0)).alias("at"), F.col("x").isNull().alias("none"), T.char_ngrams(F.col("own")).alias("own"), T.char_ngrams(F.col("x.text")).alias("there"))
+    scored = rows.select(edition, page, "at", F.when(F.col("none"), -1.0).otherwise(T.jaccard(F.col("own"), F.col("there"))).alias("score"))
     return scored.groupBy(edition, page).agg(F.min_by("at", F.struct(-F.col("score"), "at")).alias("at"), F.max("score").alias("score"))
 
 

@@ -35,12 +35,12 @@ def char_totals(files: DataFrame, text_col: str = "text") -> DataFrame:
     return char_inventory(files, text_col).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_characters"))
 
 
-def chunk_text(files: DataFrame, key: str, text_col: str = "text", size: int = 500, most: int = 10) -> DataFrame:
-    """(key, chunk, text): up to ``most`` slices of ``size`` characters from each file's start."""
-    return files.select(key, F.posexplode(T.chunked(F.col(text_col), size, most)).alias("chunk", "text"))
+def validation_sample(files: DataFrame, key: str, text_col: str = "text", size: int = 500, most: int = 10) -> DataFrame:
+    """(key, chunk, text): a sample for judging tokenizers, the first ``most`` slices of ``size`` characters of each file."""
+    return files.select(key, F.posexplode(T.first_slices(F.col(text_col), size, most)).alias("chunk", "text"))
 
 
-def chunk_whole_text(files: DataFrame, key: str, text_col: str = "text", size: int = 500) -> DataFrame:
+def chunk_text(files: DataFrame, key: str, text_col: str = "text", size: int = 500) -> DataFrame:
     """(key, chunk, text): all slices of ``size`` characters of each file."""
     return files.select(key, F.posexplode(T.slices(F.col(text_col), size)).alias("chunk", "text"))
 

@@ -21,12 +21,15 @@ def iou_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
     return t.join(f, "image").filter(overlap(F.col("t"), F.col("f")) > 0).select("image", "truth_pos", "found_pos", iou(F.col("t"), F.col("f")).alias("iou"))
 
 
-def matched(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(image, iou_threshold, tp, fp, fn). An image's predictions, surest first, each take the free true box with the highest IoU (the
+def matched(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, annotated: DataFrame | None = None) -> DataFrame:
+    """(image, iou_threshold, tp, fp, fn) of the annotated images: those of ``annotated`` (image), which may have no true box at all, or
+    those with a true box. Boxes of other images are left out, since nothing says what is true there. An image's predictions, surest first, each take the free true box with the highest IoU (the
     first on ties) if that reaches the threshold. Boxes meet per image, in one shuffle; the choice is a fold over sorted arrays."""
     t = truth.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("pos", *BOX))).alias("t"))
     f = found.groupBy("image").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("less"), "pos", *BOX))).alias("f"))
-    both = t.join(f, "image", "full").select("image", F.coalesce("t", F.array().cast(t.schema["t"].dataType)).alias("t"), F.coalesce("f", F.array().cast(f.schema["f"].dataType)).alias("f"))
+    if annotated is not None:
+        t = annotated.select("image").distinct().join(t, "image", "left")
+    both = t.join(f, "image", "left").select("image", F.coalesce("t", F.array().cast(t.schema["t"].dataType)).alias("t"), F.coalesce("f", F.array().cast(f.schema["f"].dataType)).alias("f"))
     near = F.transform("f", lambda p: F.sort_array(F.filter(F.transform("t", lambda g: F.struct((-iou(g, p)).alias("less"), g["pos"].alias("g"))), lambda z: z["less"] < 0)))
     rows = both.select("image", F.size("t").alias("n_t"), F.size("f").alias("n_f"), near.alias("near")).withColumn("iou_threshold", F.explode(F.array(*map(F.lit, thresholds))))
 
@@ -39,9 +42,9 @@ def matched(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] =
     return rows.select("image", "iou_threshold", tp.alias("tp"), (F.col("n_f") - tp).alias("fp"), (F.col("n_t") - tp).alias("fn"))
 
 
-def detection_metrics(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+def detection_metrics(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, annotated: DataFrame | None = None) -> DataFrame:
     """(iou_threshold, tp, fp, fn, precision, recall, f1), summed over all images before the ratios are taken."""
-    s = matched(truth, found, thresholds).groupBy("iou_threshold").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    s = matched(truth, found, thresholds, annotated).groupBy("iou_threshold").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     out = s.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
     p, r = F.col("precision"), F.col("recall")
     return out.withColumn("f1", share(2 * p * r, p + r))

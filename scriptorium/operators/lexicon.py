@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions.geometry import share
 from scriptorium.functions.similarity import Forms
-from scriptorium.runtime import spread
+from scriptorium.runtime import Cut, spread
 
 #: Forms that one pass of the fuzzy search holds in each task; larger lexicons are searched in so many parts.
 FORMS = 50_000
 
 
 def token_frequency(pages: DataFrame, text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(word, n): every lower-cased word and how often it occurs; with ``order_col`` also ``first``, where it occurs first."""
+    """(word, n): every lower-cased word and how often it occurs; with ``order_col`` also ``first``, where it occurs first. Places in pages that
+    are numbered are one number, whose minimum a hash aggregate can keep; others are structs, which have to be sorted."""
     if order_col is None:
         return pages.select(F.explode(T.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     rows = pages.select(F.col(order_col).alias("page"), F.posexplode(T.words(F.col(text_col))).alias("pos", "word"))
-    return rows.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("page", "pos")).alias("first"))
+    numbered = pages.schema[order_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    place = (F.col("page").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)") if numbered else F.struct("page", "pos")
+    return rows.select("word", place.alias("place")).groupBy("word").agg(F.count("*").alias("n"), F.min("place").alias("first"))
 
 
 def all_norms(freq: DataFrame) -> DataFrame:
@@ -81,6 +84,7 @@ def best_forms(unknown: DataFrame, forms: DataFrame, least: Column) -> DataFrame
     if count <= FORMS:
         return _searched(unknown, [r.form for r in forms.select("form").collect()], least)
     parts = -(-count // FORMS)
+    unknown = Cut(unknown.select("norm"), "words").df  # each part reads it
     slot = F.pmod(F.xxhash64("form"), F.lit(parts))
     found = None
     for i in range(parts):

@@ -8,55 +8,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.runtime import Cut
+
 DENSITY, SIZE = (0.001, 0.997), (0.03,)
 REASONS = ("clean", "density_high", "density_low", "long_img", "size_high", "size_low")
 
 
-def exact_percentiles(rows: DataFrame, col: str, percentiles: tuple[float, ...], bins: int = 4096) -> list[float | None]:
-    """Linearly interpolated percentiles of the values that aren't null, None where there are none.
+def exact_percentiles(rows: DataFrame, wanted: dict[str, tuple[float, ...]], bins: int = 4096, few: int = 50_000) -> dict[str, list[float | None]]:
+    """Linearly interpolated percentiles of each column's values that aren't null or NaN, None where there are none.
 
-    Two levels keep tasks small at any size: a histogram of ``bins`` equal bins says which bins hold the ranks in question, then only
-    the distinct values of those bins are counted and summed up in order. The driver sees the histogram and two values a percentile.
+    All columns share each pass. A histogram of equal bins says which bins hold the ranks in question, and their least and greatest
+    values bound the next histogram, until no such bin holds more than ``few`` values or more than one distinct value; those few are then
+    counted. So an outlier that squeezes all others into one bin costs one more pass, and neither a task nor the driver ever holds more
+    than the bins and ``few`` values a rank. ``rows`` is read three times or more: give a written table.
     """
-    x = F.col(col).cast("double")
-    rows = rows.select(x.alias("x")).filter("x is not null")
-    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n or not percentiles:
-        return [None] * len(percentiles)
-    at = F.least(F.floor((F.col("x") - low) * (bins / (high - low))), F.lit(bins - 1)) if high > low else F.lit(0).cast("long")
-    rows = rows.withColumn("bin", at)
-    before, start = {}, 0
-    for r in sorted(rows.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: r.bin):
-        before[r.bin] = start
-        start += r.n
-    where = [(p * (n - 1), int(p * (n - 1))) for p in percentiles]
-    ranks = sorted({k for _, lo in where for k in (lo, min(lo + 1, n - 1))})
-    bin_of = {k: max((b for b, s in before.items() if s <= k), key=before.__getitem__) for k in ranks}
-    counts = rows.filter(F.col("bin").isin(sorted(set(bin_of.values())))).groupBy("bin", "x").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("bin").orderBy("x")))
-    hit = None
-    for k, b in bin_of.items():
-        one = (F.col("bin") == b) & (F.col("upto") > k - before[b]) & (F.col("upto") - F.col("n") <= k - before[b])
-        hit = one if hit is None else hit | one
-    found = upto.filter(hit).collect()
-    value = {k: next(r.x for r in found if r.bin == b and r.upto - r.n <= k - before[b] < r.upto) for k, b in bin_of.items()}
-    return [value[lo] + (value[min(lo + 1, n - 1)] - value[lo]) * (r - lo) for r, lo in where]
+    cols = list(wanted)
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)))).alias("e")).select("e.c", "e.x").filter("x is not null and not isnan(x)")
+    ends = {r.c: r for r in each.groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    ranks = {(i, k): (0, ends[i].n, ends[i].low, ends[i].high) for i, c in enumerate(cols) if i in ends for p in wanted[c] for k in (int(p * (ends[i].n - 1)), min(int(p * (ends[i].n - 1)) + 1, ends[i].n - 1))}
+
+    def spans(held: dict) -> tuple[dict, DataFrame]:
+        """The distinct spans of ranks by number, and the rows in them."""
+        found = {s: j for j, s in enumerate(dict.fromkeys((i, *v) for (i, _), v in held.items()))}
+        at = F.lit(None).cast("int")
+        for (i, _, _, low, high), j in found.items():
+            at = F.when((F.col("c") == i) & F.col("x").between(low, high), j).otherwise(at)
+        return found, each.withColumn("span", at).filter("span is not null")
+
+    while wide := {r: v for r, v in ranks.items() if v[1] > few and v[2] < v[3]}:
+        found, inside = spans(wide)
+        low, step = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for (_, _, _, lo, hi), j in found.items():
+            low, step = F.when(F.col("span") == j, lo).otherwise(low), F.when(F.col("span") == j, hi / bins - lo / bins).otherwise(step)
+        at = F.least(F.floor((F.col("x") - low) / F.greatest(step, F.lit(5e-324))), F.lit(bins - 1))
+        got = inside.groupBy("span", at.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("span", "bin").collect()
+        upto: dict[int, list] = {}
+        for r in got:
+            before = upto[r.span][-1] if upto.get(r.span) else None
+            upto.setdefault(r.span, []).append((before[0] + before[1] if before else 0, r.n, r.low, r.high))
+        for (i, k), v in wide.items():
+            start, n, lo, hi = next(b for b in upto[found[i, *v]] if b[0] <= k - v[0] < b[0] + b[1])
+            ranks[i, k] = (v[0] + start, n, lo, hi)
+    value = {r: v[2] for r, v in ranks.items() if v[2] == v[3]}
+    if left := {r: v for r, v in ranks.items() if r not in value}:
+        found, inside = spans(left)
+        seen: dict[int, list] = {}
+        for r in inside.groupBy("span", "x").agg(F.count("*").alias("n")).orderBy("span", "x").collect():
+            before = seen[r.span][-1][0] if seen.get(r.span) else 0
+            seen.setdefault(r.span, []).append((before + r.n, r.x))
+        for (i, k), v in left.items():
+            value[i, k] = next(x for upto_, x in seen[found[i, *v]] if k - v[0] < upto_)
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n = ends[i].n if i in ends else 0
+        out[c] = [None if not n else value[i, lo] + (value[i, min(lo + 1, n - 1)] - value[i, lo]) * (r - lo) for r, lo in ((p * (n - 1), int(p * (n - 1))) for p in wanted[c])]
+    return out
 
 
 def describe(measures: DataFrame, col: str, percentiles: tuple[float, ...]) -> DataFrame:
     """One row: count, mean, sample deviation, min, interpolated percentiles (the median always), max."""
     cuts = tuple(sorted({*percentiles, 0.5}))
-    x = F.col(col)
-    named = [F.lit(v).cast("double").alias(f"p{format(c * 100, '.10g').replace('.', '_')}") for c, v in zip(cuts, exact_percentiles(measures, col, cuts), strict=True)]
-    out = measures.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    x, held = F.col(col), Cut(measures.select(col), "measure")
+    named = [F.lit(v).cast("double").alias(f"p{format(c * 100, '.10g').replace('.', '_')}") for c, v in zip(cuts, exact_percentiles(held.df, {col: cuts})[col], strict=True)]
+    out = held.df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
     return out.select("count", "mean", "std", "min", *named, "max")
 
 
 def outlier_flags(measures: DataFrame, density: tuple[float, ...] = DENSITY, size: tuple[float, ...] = SIZE) -> DataFrame:
-    """``measures`` with a flag for each reason. The first threshold is a lower bound, the second an upper one; both are inclusive."""
+    """``measures`` with a flag for each reason. The first threshold is a lower bound, the second an upper one; both are inclusive.
+    The measures are written first, so that what they are made from is read once."""
     if len(density) > 2 or len(size) > 2:
         raise ValueError("at most a lower and an upper threshold")
-    bounds = {"density": exact_percentiles(measures, "density", density), "size": exact_percentiles(measures, "size", size)}
+    measures = Cut(measures, "measures").df
+    bounds = exact_percentiles(measures, {"density": density, "size": size})
 
     def flag(c: str, i: int) -> Column:
         edge = bounds[c][i] if len(bounds[c]) > i else None

@@ -23,11 +23,15 @@ def missing_segments(pages: DataFrame, segments: DataFrame, page: str) -> DataFr
     return pages.join(segments.select(page), page, "left_anti")
 
 
-def page_lines(segments: DataFrame) -> DataFrame:
-    """(imagename, idx, id, baseline, boundary, text) of each line of a segmentation, numbered from 0. Lines without a
-    boundary are left out and keep their number."""
+def numbered_lines(segments: DataFrame) -> DataFrame:
+    """(imagename, idx, id, baseline, boundary, text) of each line of a segmentation, numbered from 0."""
     rows = segments.select("imagename", F.posexplode("lines").alias("idx", "line"))
-    return rows.select("imagename", "idx", "line.id", "line.baseline", "line.boundary", "line.text").filter("boundary is not null")
+    return rows.select("imagename", "idx", "line.id", "line.baseline", "line.boundary", "line.text")
+
+
+def page_lines(segments: DataFrame) -> DataFrame:
+    """:func:`numbered_lines` without those that have no boundary; the others keep their number."""
+    return numbered_lines(segments).filter("boundary is not null")
 
 
 def line_crops(lines: DataFrame, kind: str = "polygon") -> DataFrame:
@@ -45,6 +49,32 @@ def with_lines(inventory: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.join(lines, ["folder", "idx"], "left").select("folder", "stem", "idx", F.col("line").isNotNull().alias("found"), "line.id", "line.baseline", "line.boundary")
 
 
+def with_images(inventory: DataFrame, images: DataFrame) -> DataFrame:
+    """``inventory`` (folder, stem, ...) with ``image_found``: whether ``images`` (folder, stem) has the line's image file."""
+    have = images.select("folder", "stem").distinct().withColumn("image_found", F.lit(True))
+    return inventory.join(have, ["folder", "stem"], "left").withColumn("image_found", F.coalesce("image_found", F.lit(False)))
+
+
+def with_masks(pages: DataFrame, masks: DataFrame, name: str = "name") -> DataFrame:
+    """``pages`` (name, ...) with ``mask``: the path of the mask (stem, path) whose stem is the page's normalised name; null where there is none."""
+    return pages.join(masks.select(F.col("stem").alias("_page"), F.col("path").alias("mask")), T.page_file_name(F.col(name)) == F.col("_page"), "left").drop("_page")
+
+
+def transcribed(kept: DataFrame, texts: DataFrame) -> DataFrame:
+    """(folder, stem, idx, status, text) of inventory rows with found (its line) and image_found: failed where either is missing or the
+    recogniser reported an error, empty where it gave no text, else ok. ``texts`` has (folder, stem, text, error)."""
+    rows = kept.join(texts.select("folder", "stem", "text", "error"), ["folder", "stem"], "left")
+    bad = ~F.col("found") | ~F.col("image_found") | F.col("error").isNotNull()
+    return rows.select("folder", "stem", "idx", F.when(bad, "failed").when(F.col("text").isNull(), "empty").otherwise("ok").alias("status"), F.when(~bad, F.col("text")).alias("text"))
+
+
+def plot_marks(lines: DataFrame, off: int = 20) -> DataFrame:
+    """(imagename, idx, baseline, boundary, label_x, label_y): what a plot of a page's lines draws. Baselines of other than two points aren't
+    drawn; the line's number stands ``off`` up and left of the baseline's start, within the page."""
+    start = F.when(F.size("baseline") > 0, F.col("baseline")[0])
+    return lines.select("imagename", "idx", F.when(F.size("baseline") == 2, F.col("baseline")).alias("baseline"), "boundary", *(F.greatest(F.lit(0), start[i].cast("int") - off).alias(c) for i, c in enumerate(("label_x", "label_y"))))
+
+
 def join_by_file_name(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
     """Left join of two tables by the normalised form of their file names."""
     r = right.withColumn("_page", T.page_file_name(F.col(name))).drop(name)

@@ -1,13 +1,23 @@
 """Reading and judging byte-pair tokenizers: merges, vocabulary, compression, merge frequencies, the size where gains end.
 
-Tokenizers come from files; none is trained here.
+Tokenizers come from files; none is trained here. A smaller tokenizer of the same kind is the first merges of a larger one: a merge never needs a
+later one, so that applying the first n merges in order gives what a tokenizer of n merges gives.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
+from scriptorium.runtime import Cut, broadcast_if, spread
+
+#: The cut of texts before merging, as byte-level tokenizers make it.
+PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^" + T.BLANK[1:-1] + r"\p{L}\p{N}]+|" + T.BLANK + "+(?!" + T.BLANK.replace("[", "[^", 1) + ")|" + T.BLANK + "+"
+#: A public byte-level tokenizer file on this machine; a parameter everywhere.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def vocabulary_table(files: DataFrame) -> DataFrame:
@@ -37,16 +47,125 @@ def compression_ratio(encoded: DataFrame, text_col: str = "text", ids_col: str =
 
 
 def merge_frequencies(merges: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(rank, token, n): how often each merged token occurs in the texts, without overlap. The merges are a small table and go to the texts."""
+    """(rank, token, n): how often each merged token occurs in the texts, without overlap.
+
+    A token without blanks lies within one run of other characters: those are counted for each distinct run, not for each text. The few
+    tokens with blanks are counted in the texts. The merges (rank, left, right) are a tokenizer's: few, and held against the broadcast bound.
+    """
     m = merges.select("rank", F.concat("left", "right").alias("token"))
-    hits = texts.select(F.col(text_col).alias("t")).crossJoin(F.broadcast(m)).select("rank", "token", ((F.length("t") - F.length(F.replace("t", F.col("token"), F.lit("")))) / F.length("token")).cast("long").alias("n"))
-    return hits.groupBy("rank", "token").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    size = m.agg(F.count("*").alias("n"), F.avg(F.octet_length("token")).alias("w")).first()
+    runs = texts.select(F.explode(F.split(F.col(text_col), T.BLANK + "+")).alias("t")).filter("t <> ''").groupBy("t").agg(F.count("*").alias("times"))
+
+    def counted(rows: DataFrame, own: DataFrame) -> DataFrame:
+        times = ((F.length("t") - F.length(F.replace("t", F.col("token"), F.lit("")))) / F.length("token")).cast("long") * F.col("times")
+        hits = spread(rows, "t").join(broadcast_if(own, size.n, 24 + (size.w or 0)), F.contains("t", "token"))
+        return hits.groupBy("rank", "token").agg(F.sum(times).alias("n"))
+
+    blank = F.col("token").rlike(T.BLANK)
+    found = counted(runs, m.filter(~blank)).unionByName(counted(texts.select(F.col(text_col).alias("t"), F.lit(1).alias("times")), m.filter(blank)))
+    return m.join(found, ["rank", "token"], "left").select("rank", "token", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rare_merges(frequencies: DataFrame, under: int = 10) -> DataFrame:
     return frequencies.filter(F.col("n") < under)
 
 
+def top_merges(frequencies: DataFrame, most: int = 10) -> DataFrame:
+    """(side, place, token, n): the ``most`` most frequent merges and the ``most`` least frequent ones, the report's two lists."""
+    up = frequencies.orderBy(F.desc("n"), "rank").limit(most).select(F.lit("top").alias("side"), "rank", "token", "n")
+    low = frequencies.orderBy("n", F.desc("rank")).limit(most).select(F.lit("bottom").alias("side"), "rank", "token", "n")
+    key = F.when(F.col("side") == "top", -F.col("n")).otherwise(F.col("n"))
+    place = F.row_number().over(Window.partitionBy("side").orderBy(key, F.when(F.col("side") == "top", F.col("rank")).otherwise(-F.col("rank"))))
+    return up.unionByName(low).select("side", place.alias("place"), "token", "n")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level tokenizer files."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+_LETTERS = byte_letters()
+
+
+def as_hex(token: str) -> str:
+    """A byte-level token as upper-case hexadecimal bytes."""
+    return "".join(f"{_LETTERS[c]:02X}" for c in token)
+
+
+def pieces(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(piece, n): the distinct pieces of the texts, each text with a blank put before it where it has none."""
+    t = F.col(text_col)
+    led = F.when((t == "") | t.startswith(" "), t).otherwise(F.concat(F.lit(" "), t))
+    return texts.select(F.explode(F.regexp_extract_all(led, F.lit(PIECE), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+def symbols(piece: Column) -> Column:
+    """Every byte of a piece as a symbol: "<61><62>"."""
+    return F.regexp_replace(F.hex(piece), "(..)", "<$1>")
+
+
+def _rules(pairs: list[tuple[str, str]]) -> Column:
+    """A constant array of replacements, sent as one text."""
+    return F.from_json(F.lit(json.dumps([{"find": a, "put": b} for a, b in pairs])), "array<struct<find:string,put:string>>")
+
+
+def merged(syms: Column, merges: list[tuple[str, str]]) -> Column:
+    """Symbols after these merges of hexadecimal tokens, each wherever it applies, from the left."""
+    if not merges:
+        return syms
+    rules = _rules([(f"<{a}><{b}>", f"<{a}{b}>") for a, b in merges])
+    return F.aggregate(rules, syms, lambda s, r: F.replace(s, r["find"], r["put"]))
+
+
+def hex_merges(merges: DataFrame, count: int) -> list[tuple[str, str]]:
+    """The first ``count`` merges (rank, left, right) of a byte-level tokenizer, in order."""
+    rows = merges.filter(F.col("rank") < count).select("rank", "left", "right").orderBy("rank").collect()
+    return [(as_hex(r.left), as_hex(r.right)) for r in rows]
+
+
+def encoded(texts: DataFrame, merges: DataFrame, count: int, text_col: str = "text", name: str = "tokens") -> DataFrame:
+    """``texts`` with ``name``: the tokens (hexadecimal bytes) of each text by the first ``count`` merges. Meant for small vocabularies."""
+    t = F.col(text_col)
+    led = F.when((t == "") | t.startswith(" "), t).otherwise(F.concat(F.lit(" "), t))
+    rules = hex_merges(merges, count)
+    each = F.transform(F.regexp_extract_all(led, F.lit(PIECE), F.lit(0)), lambda p: F.regexp_extract_all(merged(symbols(p), rules), F.lit("<([0-9A-F]+)>"), F.lit(1)))
+    return texts.withColumn(name, F.flatten(each))
+
+
+def size_sweep(texts: DataFrame, merges: DataFrame, sizes: tuple[int, ...] = (50, 100, 150, 200, 250, 300), specials: int = 4, alphabet: int | None = None, end: bool = True, text_col: str = "text") -> DataFrame:
+    """(vocab_size_requested, vocab_size_actual, chars, tokens, compression_ratio) for every size: the specials, the alphabet (that of the
+    texts, or ``alphabet`` symbols) and as many of the first merges as then fit. With ``end`` every text has one more token.
+
+    Texts are cut and counted once; merges are applied to distinct pieces alone, each size going on from the one before.
+    """
+    sizes = tuple(sorted(set(sizes)))
+    seen = Cut(pieces(texts, text_col), "pieces")
+    if alphabet is None:
+        alphabet = seen.df.select(F.explode(F.regexp_extract_all(F.hex("piece"), F.lit(".."), F.lit(0))).alias("b")).distinct().count()
+    rules, before, steps = hex_merges(merges, max(0, sizes[-1] - specials - alphabet)), 0, []
+    counts = [min(len(rules), max(0, s - specials - alphabet)) for s in sizes]
+    for k in counts:
+        steps += [(f"<{a}><{b}>", f"<{a}{b}>") for a, b in rules[before:k]] + [("", "")]  # the empty rule notes the number of symbols
+        before = k
+    fold = _rules(steps)
+
+    def step(acc: Column, r: Column) -> Column:
+        s, note = acc["s"], r["find"] == ""
+        n = F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))
+        return F.struct(F.when(note, s).otherwise(F.replace(s, r["find"], r["put"])).alias("s"), F.when(note, F.concat(acc["c"], F.array(n))).otherwise(acc["c"]).alias("c"))
+
+    start = F.struct(symbols(F.col("piece")).alias("s"), F.array().cast("array<int>").alias("c"))
+    rows = spread(seen.df, "piece").select("n", F.posexplode(F.aggregate(fold, start, step, lambda acc: acc["c"])).alias("i", "c"))
+    sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("n") * F.col("c"))), F.lit(0)).alias(f"t{i}") for i in range(len(sizes))))
+    whole = texts.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.count(text_col).alias("texts"))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.lit(specials + alphabet + k).alias("actual"), F.col(f"t{i}").alias("t")) for i, (s, k) in enumerate(zip(sizes, counts, strict=True)))))
+    out = sums.crossJoin(F.broadcast(whole)).select("chars", "texts", each.alias("e"))  # one row each
+    out = out.select(F.col("e.size").alias("vocab_size_requested"), F.col("e.actual").alias("vocab_size_actual"), "chars", (F.col("e.t") + (F.col("texts") if end else F.lit(0))).alias("tokens"))
+    return out.withColumn("compression_ratio", F.col("chars") / F.greatest("tokens", F.lit(1)))
+
+
 def size_elbow(sweep: DataFrame, least: float = 0.02) -> DataFrame:
     """One row, the vocabulary size before the first step whose compression gains under ``least`` though the vocabulary grows; else the last.
 

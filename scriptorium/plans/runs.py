@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.geometry import fitted_size
-from scriptorium.functions.imaging import binarized, line_measures
-from scriptorium.operators import alignment, corpus, detection, lexicon, lines, pages
+from scriptorium.functions.imaging import binarized, crop_files, line_measures, mask_files, overlay_files
+from scriptorium.functions.text import page_file_name
+from scriptorium.operators import alignment, corpus, detection, lexicon, lines, models, pages, tokenizer
 from scriptorium.runtime import Cut
 from scriptorium.sources import readers, sinks
 
@@ -85,11 +86,13 @@ def binarization(spark: SparkSession, images: str, out: str, method: str = "otsu
 
 
 def detection_evaluation(spark: SparkSession, page_xml: str, found: DataFrame, out: str, kind: str = "MainZone", least: float = 0.25, thresholds: tuple[float, ...] = detection.THRESHOLDS) -> dict[str, DataFrame]:
-    """Detections (image, class, x1, y1, x2, y2, conf, pos) of one class against all blocks of the page XML files."""
+    """Detections (image, class, x1, y1, x2, y2, conf, pos) of one class against all blocks of the page XML files, in document order.
+    Images without a page XML file are left out."""
     blocks = readers.page_blocks(spark, page_xml)
-    truth = blocks.select(F.col("stem").alias("image"), "x1", "y1", "x2", "y2", F.xxhash64("id").alias("pos"))
+    truth = blocks.select(F.col("stem").alias("image"), "x1", "y1", "x2", "y2", "pos")
+    annotated = readers.annotated_pages(spark, page_xml)
     sure = found.filter((F.col("class") == kind) & (F.col("conf") >= least))
-    got = {"metrics": detection.detection_metrics(truth, sure, thresholds), "masks": detection.mask_summary(blocks.select(F.col("stem").alias("image")), found, kind)}
+    got = {"metrics": detection.detection_metrics(truth, sure, thresholds, annotated), "masks": detection.mask_summary(annotated, found, kind)}
     sinks.write_json(got["metrics"], f"{out}/metrics")
     return got
 
@@ -101,6 +104,69 @@ def page_crops(spark: SparkSession, segments: str, out: str, kind: str = "polygo
     return crops
 
 
+def zone_masks(spark: SparkSession, pages_: DataFrame, zones: DataFrame, out: str, kind: str = "MainZone") -> dict[str, DataFrame]:
+    """A PNG mask for every page (image, height, width) from the zones of a layout model, and the summary."""
+    named = pages_.withColumn("image", page_file_name(F.col("image")))
+    drawn = mask_files(named, zones.withColumn("image", page_file_name(F.col("image"))), kind)
+    sinks.write_files(drawn.select(F.concat("stem", F.lit(".png")).alias("name"), "content"), f"{out}/masks")
+    got = {"summary": detection.mask_summary(pages_, zones, kind)}
+    sinks.write_json(got["summary"], f"{out}/summary")
+    return got
+
+
+def page_segmentation(spark: SparkSession, images: DataFrame, masks: DataFrame, load, sizes: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Runs a segmenter (see :func:`models.apply_model`) over images (name, path) with their masks (stem, path): its JSON per page, the same
+    as page XML where the page's size (imagename, width, height) is known, and counters."""
+    rows = pages.with_masks(images, masks).withColumn("page", page_file_name(F.col("name")))
+    done = Cut(models.apply_model(rows, load, ["path", "mask"], "json", keep=["name", "page"]), "segmented").df
+    fine = done.filter("error is null")
+    sinks.write_files(fine.select(F.concat("page", F.lit(".json")).alias("name"), F.col("json").alias("content")), out)
+    segments = fine.select(F.col("page").alias("imagename"), F.from_json("json", readers.SEGMENTS)["lines"].alias("lines"))
+    sinks.write_files(sinks.line_page_xml(segments, sizes), f"{out}/alto_format")
+    got = {"pages": done, "counters": models.counters(done)}
+    sinks.write_json(got["counters"], f"{out}/counters")
+    return got
+
+
+def transcription(spark: SparkSession, inventory: DataFrame, segments: DataFrame, images: DataFrame, load, out: str) -> dict[str, DataFrame]:
+    """Recognises the kept lines of an inventory (folder, stem, was_removed) by a model over (path, baseline, boundary), see
+    :func:`models.apply_model`. Folders without a segmentation are skipped; a line without image or number in its page fails. Writes a
+    file for each line and page, and the counters."""
+    kept = lines.kept_lines(inventory).select("folder", "stem")
+    known = kept.join(segments.select(F.col("imagename").alias("folder")).distinct(), "folder", "left_semi")
+    rows = Cut(pages.with_images(pages.with_lines(known, segments), images), "inventory").df
+    ready = rows.filter("found and image_found").join(images.select("folder", "stem", "path"), ["folder", "stem"])
+    texts = models.apply_model(ready, load, ["path", "baseline", "boundary"], "text", keep=["folder", "stem"])
+    done = Cut(pages.transcribed(rows, texts), "transcribed").df
+    sinks.write_line_and_page_texts(done.filter("status <> 'failed'"), f"{out}/texts")
+    got = {"lines": done, "counters": lines.run_counters(done), "skipped": pages.missing_segments(kept.select("folder").distinct(), segments.select(F.col("imagename").alias("folder")), "folder")}
+    sinks.write_json(got["counters"], f"{out}/counters")
+    return got
+
+
+def plot_bounds(spark: SparkSession, images: DataFrame, segments: DataFrame, out: str) -> int:
+    """A PNG for each page (folder, stem, height, width, pixels) with its lines drawn on; how many."""
+    marks = pages.plot_marks(pages.numbered_lines(segments))
+    return sinks.write_files(overlay_files(images, marks).select(F.concat("stem", F.lit(".png")).alias("name"), "content"), out)
+
+
+def line_crops_as_files(spark: SparkSession, images: DataFrame, segments: DataFrame, out: str, kind: str = "polygon") -> int:
+    """A PNG for each line with a boundary: page folder / page_line_number; how many."""
+    made = crop_files(images, pages.page_lines(segments), kind)
+    return sinks.write_files(made.select(F.concat_ws("/", "folder", F.concat("stem", F.lit(".png"))).alias("name"), "content"), out)
+
+
+def export_tokenizer(spark: SparkSession, files: DataFrame, name: str, merges: int, out: str, specials: tuple[str, ...] = ("[PAD]", "[UNK]", "[CLS]", "[EOS]")) -> None:
+    """The first ``merges`` merges of a tokenizer file as a tokenizer file of their own, with specials and end-of-text template, and its special
+    tokens' map. A tokenizer's merges are few; they are collected."""
+    some = [(r.left, r.right) for r in tokenizer.merge_table(files.filter(F.col("name") == name)).filter(F.col("rank") < merges).orderBy("rank").collect()]
+    letters = sorted(r.token for r in tokenizer.vocabulary_table(files.filter(F.col("name") == name)).filter(F.length("token") == 1).collect())
+    whole = sinks.tokenizer_json([*letters, *(a + b for a, b in some)], some, specials)
+    names = {k: v for k, v in (("pad_token", "[PAD]"), ("unk_token", "[UNK]"), ("cls_token", "[CLS]"), ("sep_token", "[SEP]"), ("eos_token", "[EOS]")) if v in specials}
+    made = [("tokenizer.json", whole), ("special_tokens_map.json", json.dumps(names)), ("tokenizer_config.json", json.dumps({"tokenizer_class": "PreTrainedTokenizerFast", **names}))]
+    sinks.write_files(spark.createDataFrame(made, "name string, content string"), out)
+
+
 def resize_manifest(images: DataFrame, out: str, target: int = 224) -> DataFrame:
     """(folder, stem, original, final) of images (folder, stem, height, width)."""
     rows = images.select("folder", "stem", F.struct("width", "height").alias("original"), fitted_size(F.col("width"), F.col("height"), target).alias("final"))

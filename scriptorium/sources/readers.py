@@ -63,15 +63,21 @@ def tracking_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, page_width, page_height, id, x1, y1, x2, y2, points) of all text blocks of page XML files, with or without a name space."""
+    """(stem, page_width, page_height, pos, id, x1, y1, x2, y2, points) of all text blocks of page XML files, with or without a name space;
+    pos is the block's place in its page. Pages without blocks have no row: see :func:`annotated_pages`."""
     block = S.StructType([*(S.StructField(f"_{c}", S.DoubleType()) for c in ("HPOS", "VPOS", "WIDTH", "HEIGHT")), S.StructField("_ID", S.StringType()), S.StructField("Shape", S.StructType([S.StructField("Polygon", S.StructType([S.StructField("_POINTS", S.StringType())]))]))])
     blocks = S.ArrayType(block)
     page = S.StructType([S.StructField("_WIDTH", S.DoubleType()), S.StructField("_HEIGHT", S.DoubleType()), S.StructField("PrintSpace", S.StructType([S.StructField("TextBlock", blocks)])), S.StructField("TextBlock", blocks)])
     rows = spark.read.format("xml").option("rowTag", "Page").option("pathGlobFilter", "*.xml").option("ignoreNamespace", True).schema(page).load(path)
     some = F.concat(F.coalesce("PrintSpace.TextBlock", F.array().cast(blocks)), F.coalesce("TextBlock", F.array().cast(blocks)))
-    each = rows.select(_stem(_name()).alias("stem"), F.coalesce("_WIDTH", F.lit(1.0)).alias("page_width"), F.coalesce("_HEIGHT", F.lit(1.0)).alias("page_height"), F.explode(some).alias("b"))
+    each = rows.select(_stem(_name()).alias("stem"), F.coalesce("_WIDTH", F.lit(1.0)).alias("page_width"), F.coalesce("_HEIGHT", F.lit(1.0)).alias("page_height"), F.posexplode(some).alias("pos", "b"))
     x, y = F.col("b._HPOS"), F.col("b._VPOS")
-    return each.select("stem", "page_width", "page_height", F.col("b._ID").alias("id"), x.alias("x1"), y.alias("y1"), (x + F.col("b._WIDTH")).alias("x2"), (y + F.col("b._HEIGHT")).alias("y2"), F.col("b.Shape.Polygon._POINTS").alias("points"))
+    return each.select("stem", "page_width", "page_height", F.col("pos").cast("long").alias("pos"), F.col("b._ID").alias("id"), x.alias("x1"), y.alias("y1"), (x + F.col("b._WIDTH")).alias("x2"), (y + F.col("b._HEIGHT")).alias("y2"), F.col("b.Shape.Polygon._POINTS").alias("points"))
+
+
+def annotated_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(image): the stems of all page XML files, also of those without any block. No content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path).select(_stem(F.element_at(F.split("path", "/"), -1)).alias("image"))
 
 
 def image_files(spark: SparkSession, path: str, names: str = IMAGES, recursive: bool = True) -> DataFrame:

@@ -1,12 +1,14 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium import catalog
 from scriptorium.functions import geometry as G
 from scriptorium.functions import imaging
-from scriptorium.operators import corpus, detection, lines, pages, tokenizer
+from scriptorium.operators import corpus, detection, lines, models, pages, tokenizer
 
 MEASURES = "folder string, stem string, density double, size long, height int, width int"
 
@@ -48,8 +50,18 @@ def test_thresholds_decide_which_bounds_there_are(measures):
 def test_percentiles_equal_numpy(spark, values):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
     ps = (0.0, 0.001, 0.03, 0.5, 0.997, 1.0)
-    assert lines.exact_percentiles(df, "x", ps) == pytest.approx(np.quantile([v for v in values if v is not None], ps))
-    assert lines.exact_percentiles(df.filter("false"), "x", ps) == [None] * 6
+    for few in (50_000, 3):  # counted at once, and by histograms of histograms
+        assert lines.exact_percentiles(df, {"x": ps}, bins=8, few=few)["x"] == pytest.approx(np.quantile([v for v in values if v is not None], ps))
+    assert lines.exact_percentiles(df.filter("false"), {"x": ps})["x"] == [None] * 6
+
+
+def test_percentiles_of_two_columns_with_an_outlier(spark):
+    r = np.random.default_rng(8)
+    a, b = np.append(r.random(999), 1e9), np.append(r.integers(0, 4, 999).astype(float), -1e9)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    ps = (0.001, 0.25, 0.5, 0.9, 0.997)
+    got = lines.exact_percentiles(df, {"a": ps, "b": ps}, bins=16, few=20)
+    assert got["a"] == pytest.approx(np.quantile(a, ps)) and got["b"] == pytest.approx(np.quantile(b, ps))
 
 
 def test_empty_measures(spark):
@@ -80,13 +92,25 @@ def test_greedy_matching(spark):
     found = {f"i{k}": [(*box(), float(r.integers(1, 4)) / 4) for _ in range(r.integers(0, 6))] for k in range(25)}
     t = spark.createDataFrame([(k, *b, i) for k, v in truth.items() for i, b in enumerate(v)], "image string, x1 double, y1 double, x2 double, y2 double, pos long")
     f = spark.createDataFrame([(k, *b, i) for k, v in found.items() for i, b in enumerate(v)], "image string, x1 double, y1 double, x2 double, y2 double, conf double, pos long")
-    for m in detection.detection_metrics(t, f).collect():
+    annotated = spark.createDataFrame([(k,) for k in truth], "image string")  # also those without a true box
+    for m in detection.detection_metrics(t, f, annotated=annotated).collect():
         tp = sum(greedy(truth[k], found[k], m.iou_threshold) for k in truth)
         assert (m.tp, m.fp, m.fn) == (tp, sum(map(len, found.values())) - tp, sum(map(len, truth.values())) - tp)
         p, q = tp / (tp + m.fp), tp / (tp + m.fn)
         assert m.precision == pytest.approx(p) and m.f1 == pytest.approx(2 * p * q / (p + q) if p + q else 0)
 
 
+def test_only_annotated_images_count(spark):
+    shape = "image string, x1 double, y1 double, x2 double, y2 double, pos long"
+    t = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0, 0), ("a", 5.0, 5.0, 9.0, 9.0, 1)], shape)
+    f = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0, 0.9, 0), ("a", 5.0, 5.0, 9.0, 9.0, 0.8, 1), ("b", 0.0, 0.0, 1.0, 1.0, 0.9, 0), ("c", 0.0, 0.0, 1.0, 1.0, 0.9, 0)], shape.replace("pos", "conf double, pos"))
+    m = detection.detection_metrics(t, f, (0.5,)).first()
+    assert (m.tp, m.fp, m.fn) == (2, 0, 0)
+    annotated = spark.createDataFrame([("a",), ("c",), ("d",)], "image string")
+    m = detection.detection_metrics(t, f, (0.5,), annotated).first()
+    assert (m.tp, m.fp, m.fn) == (2, 1, 0)
+
+
 def test_boxes_that_only_touch_never_match(spark):
     b = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0, 0.9, 0)], "image string, x1 double, y1 double, x2 double, y2 double, conf double, pos long")
     c = b.withColumns({"x1": F.lit(1.0), "x2": F.lit(2.0)})
@@ -174,6 +198,18 @@ def test_imaging(spark):
     assert out["a"].threshold == t and bytes(out["a"].pixels) == b.tobytes() and out["b"].threshold is None
     mask = imaging.zone_mask(5, 5, [(1.9, 1, 3, 2), (-2, 4, 9, 9)])
     assert (mask == 0).sum() == 3 * 2 + 5
+    assert imaging.linear(np.array([[0, 75, 100, 250]], np.uint8)).tolist() == [[150, 0, 50, 255]]
+    flat = np.full((12, 12), 90, np.uint8)
+    assert len(np.unique(imaging.equalized(flat))) == 1 and imaging.equalized(img, 3.0, (3, 1)).shape == img.shape
+    assert np.ptp(imaging.equalized((img // 8 + 100).astype(np.uint8)).astype(int)) > np.ptp((img // 8 + 100).astype(int))
+    square = [(1, 1), (4, 1), (4, 3), (1, 3)]
+    assert imaging.polygon_mask(6, 6, square).sum() == 4 * 3 and imaging.cropped(img, square).shape == (3, 4) and imaging.cropped(img, square, "rectangle").shape == (2, 3)
+    assert imaging.polygon_mask(5, 5, [(0, 0), (4, 0), (0, 4)]).tolist() == [[x + y <= 4 for x in range(5)] for y in range(5)]
+    with pytest.raises(ValueError):
+        imaging.cropped(img, square, "circle")
+    assert imaging.png(img)[:8] == b"\x89PNG\r\n\x1a\n"
+    drawn = imaging.overlaid(img, [([(0, 0), (9, 0)], [(1, 5), (8, 5)]), (None, None)])
+    assert drawn[1, 3].tolist() == [255, 0, 0] and drawn[5, 2].tolist() == [0, 0, 255]
     assert imaging.fitted(img, 224, 149, 0, 37, 224).shape == (224, 224)
     assert (imaging.fitted(np.full((9, 9), 77, np.uint8), 4, 4, 0, 0, 4) == 77).all()
     assert (imaging.blurred(np.full((4, 4), 9, np.uint8)) == 9).all()
@@ -197,8 +233,101 @@ def test_tokenizers(spark):
     freq = tokenizer.merge_frequencies(tokenizer.merge_table(files).filter("name = 'a'"), texts)
     assert {r.token: r.n for r in freq.collect()} == {"ab": 3, "ab ": 0}
     assert tokenizer.rare_merges(freq, 1).count() == 1
+    assert {(r.side, r.place, r.token) for r in tokenizer.top_merges(freq, 1).collect()} == {("top", 1, "ab"), ("bottom", 1, "ab ")}
     ids = spark.createDataFrame([("abcd", [1, 2])], "text string, ids array<int>")
     assert tokenizer.compression_ratio(ids.withColumn("ids", tokenizer.with_end(F.col("ids"), 9))).first().compression_ratio == pytest.approx(4 / 3)
     shape = "vocab_size_requested int, vocab_size_actual int, compression_ratio double"
     assert tokenizer.size_elbow(spark.createDataFrame([(50, 50, 1.0), (100, 100, 1.5), (150, 150, 1.51)], shape)).first()[0] == 100
     assert tokenizer.size_elbow(spark.createDataFrame([(50, 50, 1.0), (100, 50, 1.0), (150, 150, 1.5)], shape)).first()[0] == 150
+
+
+def _library(merges):
+    """The public library's encoder with some merges of the public vocabulary."""
+    from tokenizers import Tokenizer
+
+    from scriptorium.sources import sinks
+
+    letters = sorted(tokenizer.byte_letters())
+    return Tokenizer.from_str(sinks.tokenizer_json([*letters, *(a + b for a, b in merges)], merges))
+
+
+@pytest.mark.skipif(not os.path.exists(tokenizer.VOCABULARY), reason="no vocabulary here")
+def test_size_sweep_equals_the_public_encoder(spark):
+    texts = ["the theatre's  thing \n\n and don't, there", "", " ünïcode ça 中文 123 the", "x", None, "tab\t\tend  "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = catalog._MERGES[:200]
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rules)], "rank int, left string, right string")
+    got = {r.vocab_size_requested: r for r in tokenizer.size_sweep(df, table, (100, 260, 300, 400, 900), alphabet=256).collect()}
+    for size, k in ((100, 0), (260, 0), (300, 40), (400, 140), (900, 200)):
+        library = _library(rules[:k])
+        assert got[size].tokens == sum(len(library.encode(t).ids) for t in texts if t is not None), size
+        assert got[size].vocab_size_actual == 260 + k and got[size].chars == sum(len(t or "") for t in texts)
+    shown = tokenizer.encoded(df, table, 140).collect()
+    for r in shown:
+        if r.text:
+            assert [bytes.fromhex(t) for t in r.tokens] == [bytes(tokenizer._LETTERS[c] for c in t) for t in _library(rules[:140]).encode(r.text).tokens[:-1]]
+    own = tokenizer.size_sweep(df, table, (60,)).first()
+    assert own.vocab_size_actual == 60 and own.chars == got[100].chars
+    assert tokenizer.size_sweep(df.filter("false"), table, (300,)).first().tokens == 0
+
+
+def test_images_masks_and_transcripts_meet(spark):
+    inv = spark.createDataFrame([("p", "p_line_0", 0, True), ("p", "p_line_1", 1, True), ("p", "p_line_9", 9, False)], "folder string, stem string, idx int, found boolean")
+    files = spark.createDataFrame([("p", "p_line_0"), ("p", "p_line_9")], "folder string, stem string")
+    rows = pages.with_images(inv, files)
+    assert {r.stem: r.image_found for r in rows.collect()} == {"p_line_0": True, "p_line_1": False, "p_line_9": True}
+    texts = spark.createDataFrame([("p", "p_line_0", None, None), ("p", "p_line_9", "x", None)], "folder string, stem string, text string, error string")
+    assert {r.stem: (r.status, r.text) for r in pages.transcribed(rows, texts).collect()} == {"p_line_0": ("empty", None), "p_line_1": ("failed", None), "p_line_9": ("failed", None)}
+
+
+def _half(x):
+    if x["n"] == 3:
+        raise ValueError("three")
+    return None if x["n"] == 2 else x["n"] / 2
+
+
+def test_models_fail_by_row(spark):
+    df = spark.createDataFrame([(i, f"k{i}") for i in range(5)], "n long, k string")
+    got = {r.k: (r.half, r.error) for r in models.apply_model(df, lambda: _half, ["n"], "half", "double").collect()}
+    assert got["k4"] == (2.0, None) and got["k2"] == (None, None) and got["k3"] == (None, "ValueError: three")
+    slow = models.apply_model(df.limit(1), models.command(lambda x: ["sleep", "5"], 0.2), ["n"], "out")
+    assert "TimeoutExpired" in slow.first().error
+    assert models.counters(models.apply_model(df, models.command(lambda x: ["echo", str(x["n"])]), ["n"], "out")).first().success == 5
+
+
+def test_files_and_runs(spark, tmp_path):
+    from scriptorium.plans import runs
+    from scriptorium.sources import readers, sinks
+
+    img = np.full((6, 8), 200, np.uint8)
+    images = spark.createDataFrame([("f", "p", 6, 8, img.tobytes())], "folder string, stem string, height int, width int, pixels binary")
+    seg = spark.createDataFrame([("p", [("a", [[0.0, 3.0], [7.0, 3.0]], [[1.0, 1.0], [5.0, 1.0], [5.0, 4.0]], "t<&"), ("b", None, None, None)])], "imagename string, lines array<struct<id:string,baseline:array<array<double>>,boundary:array<array<double>>,text:string>>")
+    assert runs.plot_bounds(spark, images, seg, f"{tmp_path}/plot") == 1 and runs.line_crops_as_files(spark, images, seg, f"{tmp_path}/crops") == 1
+    assert (tmp_path / "crops/p/p_line_0.png").read_bytes()[:4] == b"\x89PNG"
+    zones = spark.createDataFrame([("p", "MainZone", 1.0, 1.0, 2.0, 2.0)], "image string, class string, x1 double, y1 double, x2 double, y2 double")
+    pages_ = spark.createDataFrame([("p", 6, 8), ("q", 6, 8)], "image string, height int, width int")
+    got = runs.zone_masks(spark, pages_, zones, f"{tmp_path}/m")["summary"].first()
+    assert (got.images, got.images_no_detections) == (2, 1) and (tmp_path / "m/masks/q.png").exists()
+    sizes = spark.createDataFrame([("p", 8, 6)], "imagename string, width int, height int")
+    xml = sinks.line_page_xml(seg, sizes).first()
+    assert xml.name == "p.xml" and 'CONTENT="t&lt;&amp;"' in xml.content and 'BASELINE="0 3 7 3"' in xml.content and xml.content.count("<TextLine") == 2
+    made = '{"imagename": "p", "lines": [{"id": "a", "baseline": [[0, 3]], "boundary": [[1, 1], [2, 2]], "text": "t"}]}'
+    names = spark.createDataFrame([("1 - f.2", "/x/1.png"), ("3", "/x/3.png")], "name string, path string")
+    masks = spark.createDataFrame([("01_f_2", "/m/1.png")], "stem string, path string")
+    done = runs.page_segmentation(spark, names, masks, lambda: lambda x: made if x["mask"] else 1 / 0, spark.createDataFrame([("01_f_2", 8, 6)], "imagename string, width int, height int"), f"{tmp_path}/s")
+    assert tuple(done["counters"].first()) == (2, 1, 1) and (tmp_path / "s/alto_format/01_f_2.xml").exists() and (tmp_path / "s/01_f_2.json").exists()
+    inv = spark.createDataFrame([("p", "p_line_0", False), ("p", "p_line_1", False), ("p", "p_line_5", False), ("p", "p_line_0x", True), ("z", "z_line_0", False)], "folder string, stem string, was_removed boolean")
+    found = spark.createDataFrame([("p", "p_line_0", "/i/0.png"), ("p", "p_line_1", "/i/1.png")], "folder string, stem string, path string")
+    out = runs.transcription(spark, inv, seg, found, lambda: lambda x: "hello" if x["baseline"] else None, f"{tmp_path}/t")
+    c = out["counters"].first()
+    assert (c.total, c.processed, c.failed, c["empty"]) == (3, 1, 1, 1) and [r.folder for r in out["skipped"].collect()] == ["z"]
+    assert (tmp_path / "t/texts/p_full.txt").read_text() == "hello\n" and (tmp_path / "t/texts/p/p_line_1.txt").read_text() == "\n"
+    kept = spark.createDataFrame([("p", "a", False), ("p", "b", True)], "folder string, stem string, was_removed boolean")
+    raw = spark.createDataFrame([("p", "a", "/i/a.png", b"1"), ("p", "b", "/i/b.png", b"2")], "folder string, stem string, path string, content binary")
+    assert sinks.copy_kept_and_removed(kept, raw, f"{tmp_path}/k") == 2 and (tmp_path / "k/removed/p/b.png").read_bytes() == b"2"
+    if os.path.exists(tokenizer.VOCABULARY):
+        from tokenizers import Tokenizer
+
+        runs.export_tokenizer(spark, readers.tokenizer_files(spark, os.path.dirname(tokenizer.VOCABULARY)), "byte_bpe_50k", 30, f"{tmp_path}/tok", ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[EOS]"))
+        t = Tokenizer.from_file(str(tmp_path / "tok/tokenizer.json"))
+        assert t.encode("the").tokens[-1] == "[EOS]" and t.get_vocab_size() == 5 + 256 + 30 and t.decode(t.encode(" the cat").ids) == " the cat"

@@ -58,10 +58,10 @@ def test_threshold(spark, word, base, want):
 
 
 def test_chunks(spark):
-    got = one(spark, T.chunked(F.col("t")), t="x" * 5600)
+    got = one(spark, T.first_slices(F.col("t")), t="x" * 5600)
     assert [len(c) for c in got] == [500] * 10
-    assert one(spark, T.chunked(F.col("t")), t="") == []
-    assert [len(c) for c in one(spark, T.chunked(F.col("t")), t="y" * 501)] == [500, 1]
+    assert one(spark, T.first_slices(F.col("t")), t="") == []
+    assert [len(c) for c in one(spark, T.first_slices(F.col("t")), t="y" * 501)] == [500, 1]
 
 
 @pytest.mark.parametrize(("name", "want"), [("8 - f. 003v", "08_f_003v"), ("15-f.1", "15_f_1"), ("123 x", "123x"), ("x 1", "x1")])
@@ -87,6 +87,6 @@ def test_whole_texts_are_cut_into_slices(spark):
     from scriptorium.operators import corpus
 
     texts = {1: "é\n😀x" * 3_001, 2: "", 3: None, 4: "a" * 500, 5: "\r\n" * 251, 6: "b" * 501}
-    rows = corpus.chunk_whole_text(spark.createDataFrame(list(texts.items()), "doc int, text string"), "doc").collect()
+    rows = corpus.chunk_text(spark.createDataFrame(list(texts.items()), "doc int, text string"), "doc").collect()
     assert sorted((r.doc, r.chunk, r.text) for r in rows) == [(k, i // 500, t[i : i + 500]) for k, t in texts.items() for i in range(0, len(t or ""), 500)]
     assert max(r.chunk for r in rows) == 24
