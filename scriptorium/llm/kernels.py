@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
 
@@ -107,3 +110,35 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1)
+
+
+def sampled(h: Column, most: int, rows: int) -> Column:
+    """Whether a row with the 64-bit hash ``h`` is among about ``most`` of ``rows``, at any number of rows: all, if they are fewer."""
+    if rows <= most:
+        return F.lit(True)
+    return h < F.lit(-(1 << 63) + max(1, (most << 64) // rows))
+
+
+def summed(df: DataFrame, of, arrays: int) -> list[np.ndarray] | None:
+    """Adds up the flat float64 arrays that ``of(batch)`` gives: in tasks, then in 16 groups, then here. A task's group is its partition's
+    number and sums are added in that order, so that a task that runs again changes nothing."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                got = of(b)
+                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
+        if total is not None:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int32()), pa.array([part], pa.int64())] + [pa.array([x.tobytes()]) for x in total], ["g", "part"] + names)
+
+    names = [f"a{i}" for i in range(arrays)]
+    shape = ", ".join(f"{x} binary" for x in names)
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        return pa.table({"g": t.column("g").slice(0, 1), **{x: [sum(np.frombuffer(v, dtype=np.float64) for v in t.column(x).to_pylist()).tobytes()] for x in names}})
+
+    rows = df.mapInArrow(run, f"g int, part long, {shape}").groupBy("g").applyInArrow(add, f"g int, {shape}").orderBy("g").collect()
+    return [sum(np.frombuffer(r[i + 1], dtype=np.float64) for r in rows) for i in range(arrays)] if rows else None

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.kernels import chunks, mix
+from scriptorium.llm.kernels import chunks, mix, sampled
 from scriptorium.runtime import free_name
 
 BUCKETS = 1 << 16
@@ -65,12 +65,12 @@ class Model:
         return out, count
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = 20_000, smoothing: float = 0.5, seed: int = 3) -> Model | None:
-    """Model from about ``train_rows`` labelled documents, chosen by a hash of their id (all, if fewer); their whole texts are
-    counted. None where no document has both a label and a text."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = 20_000, smoothing: float = 0.5, seed: int = 3, most_languages: int = 1024) -> Model | None:
+    """Model from about ``train_rows`` labelled documents, chosen by a hash of their id and text (all, if fewer); their whole texts are
+    counted. None where no document has both a label and a text: also for an empty table. Repeated rows count each; an empty text
+    counts for its language's share alone. More than ``most_languages`` labels (a quarter of a megabyte each) are an error."""
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    share = min(1.0, train_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    rows = rows.filter(sampled(F.xxhash64("id", "text", F.lit(seed)), train_rows, rows.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -93,6 +93,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         return None
     names = np.array(got.column("lang").to_pylist(), dtype=object)
     langs = sorted(set(names.tolist()))
+    if len(langs) > most_languages:
+        raise ValueError(f"{len(langs)} languages, {most_languages} at the most")
     counts = np.zeros((len(langs), BUCKETS + 1))
     counts[np.searchsorted(np.array(langs, dtype=object), names), got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     some = counts[:, :BUCKETS] + smoothing
@@ -102,8 +104,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "predicted_lang", sure_col: str = "confidence") -> DataFrame:
     """``docs`` with the likeliest language and its posterior probability (columns of these names are replaced).
 
-    A text without any character, null or empty, gets null for both; so does every text where there is no model.
-    Of equally likely languages the first by name is taken.
+    A text without any character, null or empty, gets null for both; so does every text where there is no model. Texts of any length are
+    read whole. Of equally likely languages the first by name is taken. Repeated rows give a row each, an empty table an empty table;
+    further columns pass through under any name.
     """
     x = free_name(docs, "language")
     if model is None:
