@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from scriptorium.llm.kernels import chunks, distinct, hashes, runs, sums, words
-from scriptorium.runtime import Cut, broadcast_if, free_name
+from scriptorium.llm.exact_dedup import content_hash
+from scriptorium.llm.kernels import chunks, distinct, hashes, runs, sampled, summed, sums, words
+from scriptorium.runtime import Cut, broadcast_if, free_name, without_keys
 
 _CLASS = np.full(256, 9, dtype=np.int64)
 for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r", b"\n", b".,;:'\"?-()", b"!", b"|", b"#$%&*@^~<>{}[]\\/+=_`")):
@@ -89,71 +91,55 @@ def isotonic(x: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.ndarray
 
 
 def _stats_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, x): id, content hash and statistics of every text that isn't null. Texts are read here alone."""
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), content_hash(text).alias("h"), text.alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(b.column(1)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))], ["id", "x"])
+            x = statistics(b.column(2)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))], ["id", "h", "x"])
 
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, x array<float>")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("x", ArrayType(FloatType()))]))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)).astype(np.float64)
 
 
-def _summed(df: DataFrame, of, arrays: int) -> list[np.ndarray] | None:
-    """Adds up the flat float64 arrays that ``of(batch)`` gives: in tasks, then in 16 groups, then here."""
-
-    def run(batches):
-        total = None
-        for b in batches:
-            if b.num_rows:
-                got = of(b)
-                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng().integers(16)], pa.int32())] + [pa.array([x.tobytes()]) for x in total], ["g"] + [f"a{i}" for i in range(arrays)])
-
-    names = [f"a{i}" for i in range(arrays)]
-    shape = ", ".join(f"{x} binary" for x in names)
-
-    def add(t: pa.Table) -> pa.Table:
-        return pa.table({x: [sum(np.frombuffer(v, dtype=np.float64) for v in t.column(x).to_pylist()).tobytes()] for x in names})
-
-    rows = df.mapInArrow(run, f"g int, {shape}").groupBy("g").applyInArrow(add, shape).collect()
-    return [sum(np.frombuffer(r[i], dtype=np.float64) for r in rows) for i in range(arrays)] if rows else None
-
-
 def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-3, train_rows: int = 200_000, seed: int = 7) -> Model | None:
-    """Model from ``stats`` (id, x) and ``labels`` (doc_id, quality); None where the labels don't show both classes.
+    """Model from ``stats`` (id, h, x) and ``labels`` (doc_id, quality); None where the labels don't show both classes.
 
-    Means and scales are those of all documents. Of the labelled documents about ``train_rows`` are used,
-    chosen by a hash of their id; a fifth of these calibrates. An id with several labels counts for each.
+    Means and scales are those of all documents. Of the labelled documents about ``train_rows`` are used, chosen by a hash of their
+    id and content; a fifth of these calibrates. An id with several labels counts for each, and so does a document that occurs
+    several times: equal ones are one row with a weight. Ids are compared as strings where the tables' types differ.
     """
     f = len(NAMES)
-    whole = _summed(stats.select("x"), lambda b: [np.concatenate(([len(x := _matrix(b.column(0)))], x.sum(0), (x * x).sum(0)))], 1)
+    whole = summed(stats.select("x"), lambda b: [np.concatenate(([len(x := _matrix(b.column(0)))], x.sum(0), (x * x).sum(0)))], 1)
     if whole is None:
         return None
     n, m = whole[0][0], whole[0][1 : f + 1] / whole[0][0]
     scale = np.sqrt(np.maximum(whole[0][f + 1 :] / n - m * m, 1e-8))
-    known = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") > 0).cast("double").alias("y"))
-    count = known.count()
-    if not count:
-        return None
-    h = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
-    known = known.filter(h < int(min(1.0, train_rows / count) * 1_000_000))
-    rows = Cut(stats.join(broadcast_if(known, min(count, train_rows)), "id").select("x", "y", (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5)) == 0).alias("held")), "labelled")
+    same = stats.schema["id"].dataType == labels.schema["doc_id"].dataType
+    key = F.col("doc_id") if same else F.col("doc_id").cast("string")
+    known = Cut(labels.filter("doc_id is not null and quality is not null").groupBy(key.alias("key")).agg(F.count("*").alias("k"), F.sum((F.col("quality") > 0).cast("double")).alias("good")), "labels")
+    size = known.df.agg(F.count("*"), F.avg(F.octet_length(F.col("key").cast("string")))).first()
+    rows = stats.withColumn("key", F.col("id") if same else F.col("id").cast("string")).join(broadcast_if(known.df, size[0], 24 + (size[1] or 0)), "key")
+    rows = rows.groupBy("key", "h").agg(F.any_value("x").alias("x"), F.sum("k").cast("double").alias("n"), F.sum("good").alias("good"))
+    h = F.xxhash64("key", "h", F.lit(seed))
+    every = Cut(rows.select("x", "n", "good", h.alias("hash"), (F.pmod(F.xxhash64("key", "h", F.lit(seed + 1)), F.lit(5)) == 0).alias("held")), "labelled")
+    known.drop()
+    rows = every.df.filter(sampled(F.col("hash"), train_rows, every.df.count()))
     rng = np.random.default_rng(seed)
     model = Model(m, scale, rng.normal(size=(f, features)) / width, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), np.zeros(1), np.ones(1))
 
     def equations(b):
-        z, y = model.features(_matrix(b.column(0))), b.column(1).to_numpy()
-        weight = np.ones(len(y))
-        return [((z * weight[:, None]).T @ z).ravel(), z.T @ y, np.array([len(y), y.sum()])]
+        z, weight, good = model.features(_matrix(b.column(0))), b.column(1).to_numpy(), b.column(2).to_numpy()
+        return [((z * weight[:, None]).T @ z).ravel(), z.T @ good, np.array([weight.sum(), good.sum()])]
 
-    got = _summed(rows.df.filter("not held").select("x", "y"), equations, 3)
+    got = summed(rows.filter("not held").select("x", "n", "good"), equations, 3)
     if got is None or not 0 < got[2][1] < got[2][0]:
-        rows.drop()
+        every.drop()
         return None
     a = got[0].reshape(features + 1, -1) + np.diag([ridge * got[2][0] / features] * features + [0.0])
     model.weights = np.linalg.solve(a + 1e-9 * np.eye(len(a)), got[1])
@@ -162,50 +148,51 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
     def bin_of(x: pa.Array) -> pa.Array:
         return pa.array(np.clip(np.round(model.scores(_matrix(x)) * 512), -2048, 2048).astype(np.int32))
 
-    bins = rows.df.filter("held").select(bin_of("x").alias("bin"), "y").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("good")).orderBy("bin").collect()
-    rows.drop()
+    bins = rows.filter("held").select(bin_of("x").alias("bin"), "n", "good").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
+    every.drop()
     if bins:
         model.knots, model.values = isotonic(*(np.array([r[i] for r in bins], dtype=np.float64) / (512 if i == 0 else 1) for i in range(3)))
     return model
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str, name: str) -> DataFrame:
-    """``docs`` with the struct ``name`` of score and probability."""
+def scored(stats: DataFrame, model: Model | None) -> DataFrame:
+    """``stats`` with the columns score and probability, null without a model."""
     if model is None:
-        return docs.withColumn(name, F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("probability")))
+        return stats.withColumns({"score": F.lit(None).cast("double"), "probability": F.lit(None).cast("double")})
 
     @F.arrow_udf("struct<score:double,probability:double>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in parts:
-            s = model.scores(statistics(texts)) if len(texts) else np.zeros(0)
-            null = texts.is_null().to_numpy(zero_copy_only=False)
-            yield pa.StructArray.from_arrays([pa.array(s, mask=null), pa.array(model.probabilities(s), mask=null)], ["score", "probability"])
-
-    return docs.withColumn(name, run(F.col(text_col).cast("string")))
+        for x in parts:
+            s = model.scores(_matrix(x)) if len(x) else np.zeros(0)
+            yield pa.StructArray.from_arrays([pa.array(s), pa.array(model.probabilities(s))], ["score", "probability"])
 
-
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> Model | None:
-    stats = Cut(_stats_table(docs, id_col, text_col), "stats")
-    model = fit(stats.df, labels, **params)
-    stats.drop()
-    return model
+    return stats.withColumn("s", run("x")).select("id", "h", F.col("s.score").alias("score"), F.col("s.probability").alias("probability"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One row per document: its id, ``score``, calibrated ``probability`` of good quality and ``keep``.
 
     keep: the probability is at least ``threshold``. A null text has null score and probability and isn't kept. An empty
-    text is scored like any other. Without usable labels (none, or one class only) no document is rejected but null texts.
-    Null ids are scored too but can't be labelled; repeated rows give a row each; other columns are left alone.
+    text is scored like any other, a very long one by statistics of all of it. Without usable labels (none, or one class only) no
+    document is rejected but null texts. Null ids are scored too but can't be labelled; ids are of any type; repeated rows give a row
+    each; other columns are left alone under any name. An empty table gives an empty table. Texts are read once: what is scored is the
+    written table of their statistics.
     """
-    s = free_name(docs, "scored")
-    out = scored(docs.select(id_col, text_col), fitted(docs, labels, id_col, text_col, **params), text_col, s)
-    p = F.col(s)["probability"]
-    return out.select(id_col, F.col(s)["score"].alias("score"), p.alias("probability"), (F.col(text_col).isNotNull() & (F.coalesce(p, F.lit(1.0)) >= threshold)).alias("keep"))
+    stats = Cut(_stats_table(docs, id_col, text_col), "stats").df
+    out = scored(stats, fit(stats, labels, **params)).select(F.col("id").alias(id_col), "score", "probability", (F.coalesce("probability", F.lit(1.0)) >= threshold).alias("keep"))
+    none = F.lit(None).cast("double")
+    return out.unionByName(docs.filter(F.col(text_col).isNull()).select(id_col, none.alias("score"), none.alias("probability"), F.lit(False).alias("keep")))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the documents that :func:`quality_scores` doesn't keep; all columns stay."""
-    s = free_name(docs, "scored")
-    out = scored(docs.filter(F.col(text_col).isNotNull()), fitted(docs, labels, id_col, text_col, **params), text_col, s)
-    return out.filter(F.coalesce(F.col(s)["probability"], F.lit(1.0)) >= threshold).select(*docs.columns)
+    """``docs`` without the documents that :func:`quality_scores` doesn't keep; all columns stay, under any name. Cases as there.
+
+    A score is a function of the text, so that what is rejected is a set of 128-bit content hashes: the texts are not scored again.
+    """
+    some = docs.filter(F.col(text_col).isNotNull())
+    stats = Cut(_stats_table(docs, id_col, text_col), "stats")
+    model = fit(stats.df, labels, **params)
+    bad = Cut(scored(stats.df, model).filter(F.coalesce("probability", F.lit(1.0)) < threshold).select("h").distinct(), "rejected")
+    stats.drop()
+    name = free_name(docs, "hash")
+    return without_keys(some.withColumn(name, content_hash(F.col(text_col).cast("string"))), name, bad.df, bad.df.count()).select(*docs.columns)
