@@ -1,10 +1,11 @@
 """BPE encoding and decoding with public byte-level vocabularies.
 
-Encoding is a backtracking encoder. An Aho-Corasick automaton of the vocabulary finds the longest token
-at each place; a token may follow another only if merging would not have crossed their bound, which a
-pair-compatibility table answers; where it fails, the next shorter token is tried and, where none is left,
-the one before is given up. A place that failed is never tried again, so time is linear. A sequence
-whose neighbours are all compatible is the one that merging by rank gives, so the result is exact.
+Encoding is a backtracking encoder, after the idea published with the Rust crate ``bpe``. An Aho-Corasick automaton of the vocabulary finds
+the longest token at each place, for the whole piece in one pass (the automaton holds the tokens backwards and reads the piece from its end,
+so that what ends at a place is what begins there); a token may follow another only if merging would not have crossed their bound, which a
+pair-compatibility table answers; where it fails, the next shorter token is tried and, where none is left, the one before is given up. A
+place that failed is never tried again, so time is linear. A sequence whose neighbours are all compatible is the one that merging by rank
+gives, so the result is exact.
 
 Decoding gathers bytes from one blob of all tokens by an offset table, for a whole batch at once.
 
@@ -17,6 +18,7 @@ compared byte by byte; one that differs is encoded anew piece by piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +27,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.kernels import CHUNK, chunks, mix
@@ -58,20 +61,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Encoder:
-    """The tables of one vocabulary."""
+class Decoder:
+    """The bytes of a vocabulary's tokens: one blob and an offset table."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        size = max(ranks.values()) + 1
-        if any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("the vocabulary lacks single bytes")
-        self.ranks = ranks
-        self.token = [b""] * size
+        self.token = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.token[i] = t
-        lens = np.array([len(t) for t in self.token], dtype=np.int64)
         self.blob = np.frombuffer(b"".join(self.token), dtype=np.uint8)
-        self.offsets, self.sizes = np.concatenate(([0], np.cumsum(lens))), lens.tolist()
+        self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.token], dtype=np.int64)))
+
+
+class Encoder(Decoder):
+    """The tables of one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        size = len(self.token)
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the vocabulary lacks single bytes")
+        self.ranks, self.sizes = ranks, np.diff(self.offsets).tolist()
         self.shorter = [-1] * size
         for i, t in enumerate(self.token):
             for n in range(len(t) - 1, 0, -1):
@@ -93,10 +102,10 @@ class Encoder:
                     break
                 a = self.shorter[a]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.longest = ahocorasick.Automaton()
+        self.backward = ahocorasick.Automaton()
         for t, i in ranks.items():
-            self.longest.add_word(t.decode("latin-1"), i)
-        self.longest.make_automaton()
+            self.backward.add_word(t[::-1].decode("latin-1"), i)
+        self.backward.make_automaton()
 
     def __getstate__(self):
         return self.ranks
@@ -138,28 +147,13 @@ class Encoder:
         if whole is not None:
             return [whole]
         s = data.decode("latin-1")
-        ids = [i for _, i in self.longest.iter_long(s)]
-        pairs, ok = self.pairs, True
-        for p in zip(ids, ids[1:]):  # noqa: B905
-            got = pairs.get(p)
-            if got is None:
-                got = self.compatible(*p)
-            if not got:
-                ok = False
-                break
-        if ok:
-            return ids
-        n, size, shorter, ranks, prefix = len(data), self.sizes, self.shorter, self.ranks, self.longest.longest_prefix
-
-        def first(at: int) -> int:
-            if at == n:
-                return -1
-            end = at + prefix(s[at:])
-            while (i := ranks.get(data[at:end], -1)) < 0:
-                end -= 1
-            return i
-
-        failed, out, pos, now, last = bytearray(n + 1), [], 0, first(0), -1
+        pairs = self.pairs
+        n, size, shorter = len(data), self.sizes, self.shorter
+        first = [-1] * (n + 1)  # the longest token that begins at each place: matches of one end come longest first
+        for end, i in self.backward.iter(s[::-1]):
+            if first[n - 1 - end] < 0:
+                first[n - 1 - end] = i
+        failed, out, pos, now, last = bytearray(n + 1), [], 0, first[0], -1
         while pos < n:
             while now >= 0:
                 end = pos + size[now]
@@ -174,7 +168,7 @@ class Encoder:
                 now = shorter[now]
             if now >= 0:
                 out.append(now)
-                pos, last, now = end, now, first(end)
+                pos, last, now = end, now, first[end]
             else:
                 failed[pos] = 1
                 now = out.pop()
@@ -357,9 +351,30 @@ class Batcher:
         return gather(self.enc.blob, self.enc.offsets[ids], lens), upto[np.cumsum(counts)]
 
 
-@lru_cache(1)
-def _batcher(path: str) -> Batcher:
-    return Batcher(Encoder(read_ranks(path)))
+_held: dict[str, Batcher] = {}
+
+
+def _batcher(sent: Broadcast) -> Batcher:
+    """This worker's tables of the vocabulary that was sent, made once."""
+    name, ranks = sent.value
+    if name not in _held:
+        _held.clear()
+        _held[name] = Batcher(Encoder(ranks))
+    return _held[name]
+
+
+def sent_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary file, read by the driver and sent to the workers once an application (fixed in size: about a megabyte)."""
+    sc = spark.sparkContext
+    with open(path, "rb") as f:
+        name = hashlib.sha256(f.read()).hexdigest()
+    key = (sc.applicationId, name)
+    if key not in _sent:
+        _sent[key] = sc.broadcast((name, read_ranks(path)))
+    return _sent[key]
+
+
+_sent: dict[tuple[str, str], Broadcast] = {}
 
 
 def _lists(ids: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -368,16 +383,18 @@ def _lists(ids: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
 
 
 def bpe_encode(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with ``ids_col``: the text's token ids (array<int>). ``path`` must be readable on all workers.
+    """``docs`` with ``ids_col``: the text's token ids (array<int>). ``path`` is read by the driver.
 
     A null text gives null, an empty text the empty array. No id is added: strings of special tokens are
     ordinary text. Texts of any length are encoded whole. A column of the table named ``ids_col`` is replaced;
     rows, repeated or not, each give one row. An empty table gives an empty table.
     """
 
+    sent = sent_vocabulary(docs.sparkSession, path)
+
     @F.arrow_udf("array<int>")
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        b = _batcher(path)
+        b = _batcher(sent)
         for texts in parts:
             ids, counts = b.encode(texts)
             yield _lists(ids, counts, texts.is_null().to_numpy(zero_copy_only=False))
@@ -389,12 +406,15 @@ def bpe_decode(docs: DataFrame, path: str = VOCABULARY, ids_col: str = "token_id
     """``docs`` with ``text_col``: the text of the ids.
 
     Null gives null, the empty array the empty text. Bytes that aren't UTF-8 (ids that no text gives)
-    become U+FFFD; null ids and ids outside the vocabulary are left out. A column named ``text_col`` is replaced.
+    become U+FFFD; null ids and ids outside the vocabulary are left out. Arrays of any length are decoded whole. A column named
+    ``text_col`` is replaced. Rows, repeated or not, give a row each; an empty table gives an empty table.
     """
 
+    sent = sent_vocabulary(docs.sparkSession, path)
+
     @F.arrow_udf("string")
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        b = _batcher(path)
+        b = _batcher(sent)
         for lists in parts:
             flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
@@ -411,11 +431,15 @@ def bpe_decode(docs: DataFrame, path: str = VOCABULARY, ids_col: str = "token_id
 def bpe_round_trip(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the decoded
     ids are the text, byte for byte (null for a null text, as are the others). The text is decoded from
-    the ids in the same pass, through the offset table."""
+    the ids in the same pass, through the offset table. An empty text has no ids and is its own round trip; texts of any length are
+    encoded whole; rows, repeated or not, give a row each; an empty table gives an empty table. Columns of the table with one of
+    these three names, ignoring case, are left out for the result's; all others stay."""
+
+    sent = sent_vocabulary(docs.sparkSession, path)
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        b = _batcher(path)
+        b = _batcher(sent)
         for texts in parts:
             texts = texts.cast(pa.large_string())
             null = texts.is_null().to_numpy(zero_copy_only=False)
