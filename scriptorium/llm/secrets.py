@@ -1,23 +1,24 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger, a folder of Parquet files,
-says which (blob, rule, rule version) have been scanned and what was found. A run scans only pairs that the
-ledger lacks, each blob once however many paths hold it, then joins findings back to all paths.
+says which (blob, rule, rule version) have been scanned and what was found. A run writes its paths' blobs, scans only pairs that the
+ledger lacks, each blob once however many paths hold it, then joins findings back to all paths. Of the ledger it keeps what concerns its own
+blobs before anything is shuffled; contents are shuffled only where a blob occurs more than once.
 
 Findings are written before the note that a pair was scanned: a run that dies in between is repeated, and repeated
 findings count once. Rules are plain regular expressions that Java, RE2 and Python read alike (no look-around,
-ASCII classes, bounded repeats); a literal that every match must hold lets most texts skip the expression.
+ASCII classes); a literal that every match must hold lets most texts skip the expression.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.runtime import broadcast_if, shared_dir
+from scriptorium.runtime import Cut, broadcast_if, own_folder, split_by_keys
 
 
 def _any_case(word: str) -> str:
@@ -42,40 +43,31 @@ class Rule:
 _START = r"(?:^|[^0-9A-Za-z_])"
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "api-key", "apikey")
 
+#: Repeats have no upper bound: secrets of any length are found, and found whole.
 RULES = (
     Rule("aws_access_key", 1, _START + r"((?:AKIA|ASIA)[0-9A-Z]{16})", ("AKIA", "ASIA")),
-    Rule("github_token", 1, _START + r"(gh[pousr]_[0-9A-Za-z]{36,255})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack_token", 1, _START + r"(xox[abprs]-[0-9A-Za-z-]{10,250})", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("github_token", 2, _START + r"(gh[pousr]_[0-9A-Za-z]{36,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", 2, _START + r"(xox[abprs]-[0-9A-Za-z-]{10,})", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("google_api_key", 1, _START + r"(AIza[0-9A-Za-z_-]{35})", ("AIza",)),
-    Rule("payment_key", 1, _START + r"([rs]k_(?:live|test)_[0-9A-Za-z]{10,99})", ("k_live_", "k_test_")),
-    Rule("private_key", 1, r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
-    Rule("json_web_token", 1, _START + r"(eyJ[0-9A-Za-z_-]{10,900}[.]eyJ[0-9A-Za-z_-]{10,900}[.][0-9A-Za-z_-]{10,900})", (".eyJ",)),
-    Rule("url_password", 1, r"[a-z]://([^ \t\n/:@]{1,100}:[^ \t\n/:@]{1,100})@", ("://",)),
-    Rule("assigned_secret", 1, "(?:" + "|".join(map(_any_case, _NAMES)) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([0-9A-Za-z+/_-]{12,200})", ("password", "passwd", "secret", "token", "api"), True),
+    Rule("payment_key", 2, _START + r"([rs]k_(?:live|test)_[0-9A-Za-z]{10,})", ("k_live_", "k_test_")),
+    Rule("private_key", 2, r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
+    Rule("json_web_token", 2, _START + r"(eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,})", (".eyJ",)),
+    Rule("url_password", 2, r"[a-z]://([^ \t\n/:@]+:[^ \t\n/:@]+)@", ("://",)),
+    Rule("assigned_secret", 2, "(?:" + "|".join(map(_any_case, _NAMES)) + r")[\"']?[ \t]*[:=][ \t]*[\"']?([0-9A-Za-z+/_-]{12,})", ("password", "passwd", "secret", "token", "api"), True),
 )
 
-#: Rules without upper repeat bounds: secrets of any length are found, and found whole. The bounded ``RULES`` stay as they are,
-#: since the registered SQL of op5_secrets is made from them.
-_OPEN = {
-    "github_token": _START + r"(gh[pousr]_[0-9A-Za-z]{36,})",
-    "slack_token": _START + r"(xox[abprs]-[0-9A-Za-z-]{10,})",
-    "payment_key": _START + r"([rs]k_(?:live|test)_[0-9A-Za-z]{10,})",
-    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
-    "json_web_token": _START + r"(eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,})",
-    "url_password": r"[a-z]://([^ \t\n/:@]+:[^ \t\n/:@]+)@",
-    "assigned_secret": "(?:" + "|".join(map(_any_case, _NAMES)) + r")[\"']?[ \t]*[:=][ \t]*[\"']?([0-9A-Za-z+/_-]{12,})",
-}
-WHOLE_RULES = tuple(replace(r, version=r.version + 1, pattern=_OPEN[r.name]) if r.name in _OPEN else r for r in RULES)
-
 FINDINGS = "blob binary, rule string, rule_version int, ordinal int, secret string"
 SCANS = "blob binary, scanned array<string>"
 
 
 def _has(text: Column, rule: Rule) -> Column:
-    out = F.lit(False)
-    for x in rule.literals:
-        out = out | F.contains(F.lower(text) if rule.folded else text, F.lit(x))
-    return out
+    def any_of(t: Column) -> Column:
+        out = F.lit(False)
+        for x in rule.literals:
+            out = out | F.contains(t, F.lit(x))
+        return out
+
+    return F.transform(F.array(F.lower(text)), any_of)[0] if rule.folded else any_of(text)  # lower-cased once, not for each literal
 
 
 def _hits(text: Column, rule: Rule) -> Column:
@@ -93,7 +85,7 @@ class Ledger:
     """Scans and findings under one folder; None takes a new one in the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/scriptorium-{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{own_folder(spark)}/ledger-{uuid.uuid4().hex}"
 
     def _read(self, part: str, schema: str) -> DataFrame:
         sc = self.spark.sparkContext
@@ -112,14 +104,11 @@ class Ledger:
         df.write.mode("append").parquet(f"{self.path}/{part}")
 
 
-def _once(contents: DataFrame) -> DataFrame:
-    """(blob, content) once for each blob. Blobs that occur once aren't shuffled; of the others the copies combine on the map side."""
-    counts = contents.groupBy("blob").agg(F.count("*").alias("n")).filter("n > 1").select("blob").persist()
-    rows = counts.count()
-    if not rows:
-        return contents
-    some = broadcast_if(counts, rows)
-    return contents.join(some, "blob", "left_anti").unionByName(contents.join(some, "blob", "left_semi").groupBy("blob").agg(F.any_value("content").alias("content")))
+def _once(contents: DataFrame, blobs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(blob, content, rest) once for each blob of ``blobs`` (blob, n). Blobs that occur once aren't shuffled; of the others the copies combine on the map side."""
+    twice = blobs.filter("n > 1").select(F.col("blob").alias("key"))
+    once, more = split_by_keys(contents, F.col("blob"), twice, F.col("key"), twice.count())
+    return once.unionByName(more.groupBy("blob").agg(*(F.any_value(c).alias(c) for c in ("content", *rest))))
 
 
 def secret_scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, path_cols: tuple[str, ...] = ("path", "version"), text_col: str = "content") -> DataFrame:
@@ -138,22 +127,31 @@ def secret_scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rul
     rows = versions.filter(F.col(text_col).isNotNull())
     blob = F.unhex(F.sha2(text, 256)).alias("blob")
     tags = F.array(*(F.lit(r.tag) for r in rules)) if rules else F.array().cast("array<string>")
-    contents = rows.select(blob, text.alias("content"))
-    seen = books.scans()
+    refs = Cut(rows.select(*(F.col(c).alias(n) for c, n in zip(path_cols, names, strict=True)), blob), "refs").df
+    blobs = Cut(refs.groupBy("blob").agg(F.count("*").alias("n")), "blobs")
+    count, contents, seen = blobs.df.count(), rows.select(blob, text.alias("content")), books.scans()
     if seen.isEmpty():
-        pending = _once(contents).withColumn("pending", tags)
-        noted = rows.select(blob).distinct().select("blob", tags.alias("scanned"))
+        todo = blobs
+        pending = _once(contents, blobs.df).withColumn("pending", tags)
+        noted = blobs.df.select("blob", tags.alias("scanned"))
     else:
-        done = seen.groupBy("blob").agg(F.flatten(F.collect_set("scanned")).alias("done"))
-        todo = rows.select(blob).distinct().join(done, "blob", "left").select("blob", F.array_except(tags, F.coalesce("done", F.array().cast("array<string>"))).alias("pending")).filter(F.size("pending") > 0).persist()
-        pending = _once(contents.join(broadcast_if(todo.select("blob"), todo.count()), "blob", "left_semi")).join(todo, "blob")
-        noted = todo.select("blob", F.col("pending").alias("scanned"))
+        _, near = split_by_keys(seen, F.col("blob"), blobs.df.select(F.col("blob").alias("key")), F.col("key"), count)
+        done = near.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("scanned"))).alias("done"))
+        left = F.array_except(tags, F.coalesce("done", F.array().cast("array<string>")))
+        todo = Cut(blobs.df.join(done, "blob", "left").select("blob", "n", left.alias("pending")).filter(F.size("pending") > 0), "todo")
+        rows_ = todo.df.count()
+        _, new = split_by_keys(contents, F.col("blob"), todo.df.select(F.col("blob").alias("key")), F.col("key"), rows_)
+        own = _once(new, todo.df)
+        pending = own.join(broadcast_if(todo.df.select("blob", "pending"), rows_, 64 + 32 * len(rules)), "blob")
+        noted = todo.df.select("blob", F.col("pending").alias("scanned"))
     books.add("findings", _found(pending, rules))
     books.add("scans", noted)
     known = F.array_contains(tags, F.concat_ws("@", "rule", F.col("rule_version").cast("string")))
-    found = books.findings().filter(known)
-    refs = rows.select(*(F.col(c).alias(n) for c, n in zip(path_cols, names, strict=True)), blob)
-    hit = refs.join(broadcast_if(found, found.count()), "blob")
+    _, near = split_by_keys(books._read("findings", FINDINGS).filter(known), F.col("blob"), blobs.df.select(F.col("blob").alias("key")), F.col("key"), count)
+    found = Cut(near.distinct(), "found").df
+    for t in {blobs, todo}:
+        t.drop()
+    hit = refs.join(broadcast_if(found, found.count(), 200), "blob")
     return hit.select(*(F.col(n).alias(c) for c, n in zip(path_cols, names, strict=True)), F.lower(F.hex("blob")).alias("blob"), "rule", "rule_version", "ordinal", "secret")
 
 
