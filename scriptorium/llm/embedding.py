@@ -9,6 +9,7 @@
 3. The linked sets, told apart by a hash of their members, get their vectors by one join, and all pairs of a
    set are compared by exact cosine in blocks. Equal vectors are collapsed first, by their bytes. Hits leave a
    task as a spanning star, so output is linear in the size of a group.
+   Ids that are repeated are merged first; only their vectors are shuffled for that.
 4. Connected components of the hits; the least id of a group stays.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components, stars
 from scriptorium.llm.kernels import mix
-from scriptorium.runtime import Cut, broadcast_if
+from scriptorium.runtime import Cut, split_by_keys, without_keys
 
 SKETCH = 64
 
@@ -97,24 +98,24 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.nda
         yield held, np.array([0, len(held[0])])
 
 
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Columns of each run of equal first columns, over the bounds of batches."""
-    for cols, edges in whole_keys(batches):
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            yield [c[lo:hi] for c in cols]
-
-
-def live_runs(sketch: np.ndarray, edges: np.ndarray, bound: int, few: int = 8) -> np.ndarray:
-    """Which runs hold a pair of sketches within ``bound``. Runs of up to ``few`` rows are compared all at once, by shifting;
-    longer ones count as live and are looked at one by one."""
+def near_pairs(sketch: np.ndarray, edges: np.ndarray, bound: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that join, within each run, the sketches within ``bound``. Runs of up to ``few`` rows are compared all at once,
+    by shifting; longer ones one by one."""
     size = np.diff(edges)
-    out, run = size > few, np.repeat(np.arange(len(size)), size)
+    run, held_a, held_b = np.repeat(np.arange(len(size)), size), [], []
+    small = size[run] <= few
     for s in range(1, few):
-        same = (run[s:] == run[:-s]) & ~out[run[s:]]
-        near = np.flatnonzero(same)
-        near = near[np.bitwise_count(sketch[near] ^ sketch[near + s]) <= bound]
-        out[run[near]] = True
-    return np.flatnonzero(out)
+        at = np.flatnonzero((run[s:] == run[:-s]) & small[s:])
+        at = at[np.bitwise_count(sketch[at] ^ sketch[at + s]) <= bound]
+        held_a.append(at)
+        held_b.append(at + s)
+    for r in np.flatnonzero(size > few):
+        lo = edges[r]
+        _, first, inv = np.unique(linked(sketch[lo : edges[r + 1]], bound), return_index=True, return_inverse=True)
+        at = np.flatnonzero(first[inv] != np.arange(len(inv)))
+        held_a.append(at + lo)
+        held_b.append(first[inv][at] + lo)
+    return np.concatenate(held_a), np.concatenate(held_b)
 
 
 def linked(sketch: np.ndarray, bound: int, cells: int = 1 << 22) -> np.ndarray:
@@ -154,22 +155,51 @@ def close_pairs(ids: np.ndarray, x: np.ndarray, threshold: float, cells: int = 1
     return stars(ids, a, b) if len(a) else (a, b)
 
 
-def _batch(cols: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+def close_in_runs(ids: np.ndarray, x: np.ndarray, run: np.ndarray, threshold: float, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) that join, within each run of equal ``run``, the ids whose unit vectors ``x`` have a cosine of at least ``threshold``."""
+    edges = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]))
+    size = np.diff(edges)
+    no, out_u, out_v = np.repeat(np.arange(len(size)), size), [], []
+    small = size[no] <= few
+    for s in range(1, few):
+        at = np.flatnonzero((no[s:] == no[:-s]) & small[s:])
+        for lo in range(0, len(at), 1 << 16):
+            p = at[lo : lo + (1 << 16)]
+            p = p[np.einsum("ij,ij->i", x[p], x[p + s]) >= threshold]
+            out_u.append(np.maximum(ids[p], ids[p + s]))
+            out_v.append(np.minimum(ids[p], ids[p + s]))
+    for r in np.flatnonzero(size > few):
+        u, v = close_pairs(ids[edges[r] : edges[r + 1]], x[edges[r] : edges[r + 1]], threshold)
+        out_u.append(u)
+        out_v.append(v)
+    return np.concatenate(out_u), np.concatenate(out_v)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal first columns, out of sorted batches."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        if sum(t.num_rows for t in held) < least:
+            continue
+        whole = pa.concat_tables(held).combine_chunks()
+        key = whole.column(0).to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1])
+        held = [whole]
+        if len(cut):
+            yield whole.slice(0, int(cut[-1]) + 1)
+            held = [whole.slice(int(cut[-1]) + 1)]
+    if held:
+        yield pa.concat_tables(held)
 
 
-def _emitted(groups: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    out, size = [[], []], 0
-    for x, y in groups:
-        if len(x):
-            out[0].append(x)
-            out[1].append(y)
-            size += len(x)
-        if size > 50_000:
-            yield _batch(out, names)
-            out, size = [[], []], 0
-    if size:
-        yield _batch(out, names)
+def whole_numbers(df: DataFrame, id_col: str) -> None:
+    """Ids are nodes of components and 64-bit numbers: an error says so where the column isn't of an integer type."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be of an integer type, not {kind}: number the rows first")
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.95, width: float = 2.0, recall: float = 0.97, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -177,13 +207,22 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, width: float =
 
     Near: cosine at least ``threshold``, and all that such links connect. Pairs exactly at the threshold are
     found with chance ``recall``, closer ones with more; what is found is checked exactly, so nothing further apart
-    is linked. Vectors of different numbers of dimensions are never near. A vector without a direction (null, empty, all
+    is linked. The number of rows sets how many projections a bucket has and how many tables there are, so that one pair may be found in one
+    table and missed in a larger one; the chance is the same. Ids are whole numbers; others are an error. Vectors of different numbers of dimensions are never near. A vector without a direction (null, empty, all
     zero, or with a null, NaN or infinite component) is near to none and keeps its own id. Rows with a null id are
-    left out here. An id stands for one vector: of rows that repeat it, the one with the least components counts.
+    left out here. An id stands for one vector: of rows that repeat it, the one with the least components counts. Equal vectors are near.
     Other columns are ignored under any name; an empty table gives an empty table.
     """
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    every = Cut(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    whole_numbers(vectors, id_col)
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind if kind in ("array<float>", "array<double>") else "array<double>").alias("v"))
+    repeated = Cut(rows.groupBy("id").count().filter("count > 1").select(F.col("id").alias("key")), "repeated")
+    again = repeated.df.count()
+    if again:
+        once, more = split_by_keys(rows, F.col("id"), repeated.df, F.col("key"), again)
+        rows = once.unionByName(more.groupBy("id").agg(F.min("v").alias("v")))
+    every = Cut(rows, "vectors")
+    repeated.drop()
     count = every.df.count()
     k, tables = planned(count, threshold, width, recall)
     bound = sketch_bound(threshold)
@@ -199,34 +238,27 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, width: float =
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[some], tables)), pa.array(np.repeat(sk[lo : lo + 2048], tables).view(np.int64))], ["key", "id", "sketch"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets():
-            for (_, every_id, every_sketch), bounds in whole_keys(batches):
-                every_sketch = every_sketch.view(np.uint64)
-                for r in live_runs(every_sketch, bounds, bound):
-                    ids, sk = every_id[bounds[r] : bounds[r + 1]], every_sketch[bounds[r] : bounds[r + 1]]
-                    label = linked(sk, bound)
-                    order = np.lexsort((ids, label))
-                    lab, own = label[order], ids[order]
-                    edges = np.concatenate(([0], np.flatnonzero(lab[1:] != lab[:-1]) + 1, [len(lab)]))
-                    size = np.diff(edges)
-                    with np.errstate(over="ignore"):
-                        sums = np.add.reduceat(mix(own.astype(np.uint64), 5), edges[:-1])
-                    live = np.repeat(size > 1, size)
-                    yield np.repeat(sums.view(np.int64), size)[live], own[live]
-
-        yield from _emitted(sets(), ["set", "id"])
+        for (_, ids, sk), edges in whole_keys(batches):
+            a, b = near_pairs(sk.view(np.uint64), edges, bound)
+            if not len(a):
+                continue
+            node, root = stars(np.arange(len(ids)), a, b)
+            top = np.unique(root)
+            node, root = np.concatenate((node, top)), np.concatenate((root, top))
+            order = np.lexsort((ids[node], root))
+            own, root = ids[node][order], root[order]
+            start = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1])))
+            with np.errstate(over="ignore"):
+                sums = np.add.reduceat(mix(own.astype(np.uint64), 5), start)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums.view(np.int64), np.diff(np.append(start, len(own))))), pa.array(own)], ["set", "id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def hits():
-            for _, ids, raw in by_key(batches):
-                sizes = np.array([len(r) for r in raw])
-                for s in np.unique(sizes):
-                    own = np.flatnonzero(sizes == s)
-                    if len(own) > 1:
-                        for at, x in unit_rows(pa.array([raw[i] for i in own], pa.list_(pa.float64()))):
-                            yield close_pairs(ids[own[at]], x, threshold)
-
-        yield from _emitted(hits(), ["u", "v"])
+        for t in _stretches(batches):
+            run, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
+            for at, x in unit_rows(t.column(2).combine_chunks()):
+                if len(at) > 1:
+                    u, v = close_in_runs(ids[at], x, run[at], threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     filed = every.df.mapInArrow(file, "key long, id long, sketch long").repartition(F.col("key")).sortWithinPartitions("key")
     sets = Cut(filed.mapInArrow(link, "set long, id long").distinct(), "sets")
@@ -240,5 +272,5 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, width: float =
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", **params) -> DataFrame:
     """``vectors`` without the rows whose id :func:`embedding_groups` maps to another id. Rows with a null id stay; so do
     all rows of an id that stays. All columns pass through under any name."""
-    gone = Cut(embedding_groups(vectors, id_col=id_col, vec_col=vec_col, **params).filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("gone")), "gone")
-    return vectors.join(broadcast_if(gone.df, gone.df.count()), F.col(id_col) == gone.df["gone"], "left_anti")
+    gone = Cut(embedding_groups(vectors, id_col=id_col, vec_col=vec_col, **params).filter(F.col(id_col) != F.col("keep_id")).select(id_col), "gone")
+    return without_keys(vectors, id_col, gone.df, gone.df.count())

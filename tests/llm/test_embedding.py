@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from scriptorium.llm.embedding import collision, embedding_dedup, embedding_groups, live_runs, planned, unit_rows
+from scriptorium.llm.embedding import close_in_runs, collision, embedding_dedup, embedding_groups, near_pairs, planned, unit_rows
 
 SHAPE = "vec_id long, embedding array<float>, key string, id int"
 
@@ -68,12 +69,38 @@ def test_unit_rows():
     assert {len(x[0]) for _, x in got if len(x)} == {1, 2}
 
 
-def test_live_runs_are_those_with_a_near_pair():
+def test_near_pairs_join_each_run_as_brute_force_does():
     r = np.random.default_rng(6)
     size = r.integers(1, 12, 400)
     edges = np.concatenate(([0], np.cumsum(size)))
     sk = r.integers(0, 2**63, edges[-1], dtype=np.uint64)
     for e in edges[:-1][size > 1][::3]:
         sk[e + 1] = sk[e] ^ np.uint64(5)
-    want = [i for i in range(400) if size[i] > 8 or any(int(sk[a] ^ sk[b]).bit_count() <= 10 for a in range(edges[i], edges[i + 1]) for b in range(edges[i], a))]
-    assert live_runs(sk, edges, 10).tolist() == want
+    run = np.repeat(np.arange(400), size)
+    want = {(i, j) for i in range(len(sk)) for j in range(i + 1, edges[run[i] + 1]) if int(sk[i] ^ sk[j]).bit_count() <= 10}
+    a, b = near_pairs(sk, edges, 10)
+    assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())} == want and any(size[run[i]] > 8 for i, _ in want)
+
+
+def test_cosines_within_runs_only():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(60, 8))
+    x[1::2] = x[::2] + r.normal(size=(30, 8)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, run = r.permutation(60), np.repeat([0, 1, 2, 3], [20, 4, 3, 33])
+    u, v = close_in_runs(ids, x, run, 0.9)
+    want = {(max(ids[i], ids[j]), min(ids[i], ids[j])) for i in range(60) for j in range(i) if run[i] == run[j] and x[i] @ x[j] >= 0.9}
+    assert set(zip(u.tolist(), v.tolist())) == want and len(want) > 20
+
+
+def test_ids_must_be_whole_numbers_and_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "gone int, embedding array<double>")
+    assert [r.gone for r in embedding_dedup(df, id_col="gone").collect()] == [1]
+    with pytest.raises(TypeError, match="integer"):
+        embedding_groups(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
+def test_huge_components_and_ids(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(top, [1e300, 1e300]), (-top, [1.0, 1.0]), (0, [2e-300, 2e-300])], "vec_id long, embedding array<double>")
+    assert {a: b for a, b in embedding_groups(df).collect()} == {top: -top, -top: -top, 0: -top}
