@@ -1,10 +1,10 @@
 """URL filter: gradient-boosted trees on lexical features, trained from labelled URLs.
 
-Features are byte-class counts, shares and entropy of the URL, and statistics of its host's suffixes (the last two
-and three labels): how often each occurs among all URLs and how many of its labelled ones are bad. Suffix counts are a
-groupBy over all URLs; they come back by a join that is broadcast only within the checked size. The labelled URLs are
-split by a hash: one half gives the suffixes' bad shares, the other trains the trees, so that no tree sees a share that its
-own label went into. Trees are grown on the driver from a bounded sample of binned features and sent as a few kilobytes.
+Features are byte-class counts, shares and entropy of the URL, and statistics of its host's suffixes (the last two and three labels): how
+many URLs have each, and how many of the labelled ones on *other* hosts are bad. So no score can be read off the labels of the URL's own host,
+and a new host is scored as a known one is. Suffix statistics are made per host, from a groupBy over all URLs; they come back by one join,
+broadcast only within the checked size. The labelled hosts are split by a hash: one half gives the bad shares, the other trains the
+trees. Trees are grown on the driver from a bounded sample of features and sent as a few kilobytes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.kernels import chunks, sums
+from scriptorium.llm.kernels import chunks, sampled, sums
 from scriptorium.runtime import Cut, broadcast_if
 
 #: Words that label a host bad when they stand alone between its dots and hyphens.
@@ -95,15 +95,16 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
-def boosted(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, smooth: float = 1.0) -> Trees:
-    """Second-order boosting of the logistic loss, with histograms of ``bins`` quantile bins."""
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, smooth: float = 1.0) -> Trees:
+    """Second-order boosting of the logistic loss, with histograms of ``bins`` quantile bins; ``y`` are shares of bad ones of ``weight``."""
+    weight = np.ones(len(x)) if weight is None else weight
     edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1])) for i in range(x.shape[1])]
-    p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    p = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
     model = Trees(edges, float(np.log(p / (1 - p))))
     b, f, margin, inner = model.binned(x).astype(np.int64), x.shape[1], np.full(len(x), model.start), (1 << depth) - 1
     for _ in range(trees):
         prob = 1 / (1 + np.exp(-margin))
-        g, h = prob - y, prob * (1 - prob)
+        g, h = weight * (prob - y), weight * prob * (1 - prob)
         node, feature, cut = np.zeros(len(x), dtype=np.int64), np.zeros(inner, dtype=np.int64), np.full(inner, bins)
         for level in range(depth):
             first, width = (1 << level) - 1, 1 << level
@@ -131,61 +132,67 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate:
     return model
 
 
-def _suffixes(host: Column) -> tuple[Column, Column]:
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-
-
-def _with_suffix_statistics(rows: DataFrame, counts: dict[str, DataFrame], prior: float) -> DataFrame:
-    for s, table in counts.items():
-        rows = rows.join(broadcast_if(table, table.count()), s, "left")
-        rows = rows.withColumns({f"log_{s}": F.log1p(F.coalesce(f"n_{s}", F.lit(0))), f"bad_{s}": (F.coalesce(f"b_{s}", F.lit(0)) + 2 * prior) / (F.coalesce(f"k_{s}", F.lit(0)) + 2)})
-    return rows
+def host_statistics(urls: DataFrame, known: DataFrame, prior: float) -> DataFrame:
+    """(host, log_s2, bad_s2, log_s3, bad_s3) of all hosts of ``urls`` (host) and ``known`` (host, n, bad, counted): for each suffix the log of its URLs,
+    and the bad share of its counted labels on other hosts, drawn towards ``prior`` as by two more labels."""
+    own = urls.groupBy("host").agg(F.count("*").alias("urls"))
+    own = own.unionByName(known.groupBy("host").agg(F.sum(F.when(F.col("counted"), F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(F.col("counted"), F.col("bad")).otherwise(0)).alias("b")), allowMissingColumns=True)
+    own = own.groupBy("host").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("urls", "k", "b")))
+    own = Cut(own, "own").df
+    for s, depth in (("s2", -2), ("s3", -3)):
+        part = F.substring_index("host", ".", depth).alias(s)
+        whole = own.groupBy(part).agg(F.sum("urls").alias("wu"), F.sum("k").alias("wk"), F.sum("b").alias("wb"))
+        own = own.withColumn(s, part).join(whole, s).withColumns({f"log_{s}": F.log1p("wu"), f"bad_{s}": (F.col("wb") - F.col("b") + 2 * prior) / (F.col("wk") - F.col("k") + 2)}).drop(s, "wu", "wk", "wb")
+    return own.select("host", "log_s2", "bad_s2", "log_s3", "bad_s3")
 
 
 def _matrix(cols: list[pa.Array]) -> np.ndarray:
     return np.column_stack((lexical(cols[0], cols[1]), *(c.to_numpy(zero_copy_only=False) for c in cols[2:])))
 
 
-def url_scores(pages: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 100_000, seed: int = 5, id_col: str = "page_id", url_col: str = "url", **growth) -> DataFrame:
+def url_scores(pages: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 10_000, seed: int = 5, id_col: str = "page_id", url_col: str = "url", **growth) -> DataFrame:
     """One row per page: its id, url, ``score`` (probability that it is bad) and ``keep`` (the score is under ``threshold``).
 
-    ``labels`` has (url, bad). Trees are trained on about ``train_rows`` of its rows, chosen by a hash of the URL. A null
-    URL has a null score and isn't kept; an empty one is scored like any other. Without labels of both classes all scores are null and
-    all URLs but null ones are kept. Repeated rows and null ids give a row each, URLs labelled several times count each time, other columns are ignored
-    under any name. An empty table gives an empty table.
+    ``labels`` has (url, bad). Trees are trained on about ``train_rows`` of its distinct URLs, chosen by a hash of the URL; a URL that is labelled
+    several times has that weight, and its share of bad labels as its label. A null URL has a null score and isn't kept; an empty one
+    is scored like any other, a very long one is read whole. Without labels of both classes, in all and among those that train, all
+    scores are null and all URLs but null ones are kept. Repeated rows and null ids give a row each, ids are of any type, other columns are
+    ignored under any name. An empty table gives an empty table.
     """
-    names = ("s2", "s3")
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url")).filter("url is not null").withColumn("host", host_of(F.col("url")))
-    rows = rows.withColumns(dict(zip(names, _suffixes(F.col("host")), strict=True)))
-    half = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(2)) == 0
-    known = labels.filter("url is not null and bad is not null").select(F.col("url").cast("string").alias("url"), (F.col("bad") > 0).cast("double").alias("bad")).withColumn("host", host_of(F.col("url")))
-    known = known.withColumns(dict(zip(names, _suffixes(F.col("host")), strict=True)))
-    n, good, bad = known.agg(F.count("*"), F.sum(1 - F.col("bad")), F.sum("bad")).first()
+    known = labels.filter("url is not null and bad is not null").groupBy(F.col("url").cast("string").alias("url")).agg(F.count("*").alias("n"), F.sum((F.col("bad") > 0).cast("double")).alias("bad")).withColumn("host", host_of(F.col("url")))
+    known = Cut(known.withColumn("counted", F.pmod(F.xxhash64("host", F.lit(seed)), F.lit(2)) == 0), "known")
+    n, bad, distinct = known.df.agg(F.sum("n"), F.sum("bad"), F.count_if(~F.col("counted"))).first()
     empty = pages.select(F.col(id_col), F.col(url_col), F.lit(None).cast("double").alias("score"), F.col(url_col).isNotNull().alias("keep"))
-    if not n or not good or not bad:
+    if not n or not 0 < bad < n:
+        known.drop()
         return empty
-    counts, held = {}, []
-    for s in names:
-        every = rows.groupBy(s).agg(F.count("*").alias(f"n_{s}"))
-        seen = known.filter(half).groupBy(s).agg(F.count("*").alias(f"k_{s}"), F.sum("bad").alias(f"b_{s}"))
-        held.append(Cut(every.join(seen, s, "left"), "suffixes"))
-        counts[s] = held[-1].df
-    prior = bad / n
-    cols = ["url", "host", *(f"{kind}_{s}" for s in names for kind in ("log", "bad"))]
-    share = min(1.0, 2 * train_rows / n)
-    sample = known.filter(~half & (F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    train = _with_suffix_statistics(sample, counts, prior).select(*cols, "bad").toArrow().combine_chunks()
-    y = train.column("bad").to_numpy()
-    if not 0 < y.sum() < len(y):
+    table = Cut(host_statistics(rows, known.df, bad / n), "hosts").df
+    size = table.agg(F.count("*"), F.avg(F.octet_length("host"))).first()
+    table = broadcast_if(table, size[0], 64 + (size[1] or 0))
+    names = ["log_s2", "bad_s2", "log_s3", "bad_s3"]
+
+    @F.arrow_udf("array<float>")
+    def features(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in parts:
+            x = _matrix(list(batch)).astype(np.float32)
+            yield pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))
+
+    sample = known.df.filter(~F.col("counted") & sampled(F.xxhash64("url", F.lit(seed + 1)), train_rows, distinct))
+    train = sample.join(table, "host").select(features("url", "host", *names).alias("x"), F.col("n").cast("double").alias("n"), "bad", F.xxhash64("url").alias("o")).toArrow().sort_by("o").combine_chunks()
+    known.drop()
+    weight, share = train.column("n").to_numpy(), train.column("bad").to_numpy()
+    if not len(weight) or not 0 < share.sum() < weight.sum():
         return empty
-    model = boosted(_matrix([train.column(c).combine_chunks() for c in cols]), y, **growth)
+    x = train.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
+    model = boosted(x, share / weight, weight, **growth)
 
     @F.arrow_udf("double")
     def score(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in parts:
-            yield pa.array(model.probability(_matrix(list(batch))) if len(batch[0]) else np.zeros(0))
+            yield pa.array(model.probability(_matrix(list(batch)).astype(np.float32).astype(np.float64)) if len(batch[0]) else np.zeros(0))
 
-    scored = _with_suffix_statistics(rows, counts, prior).select("id", "url", score(*cols).alias("score"))
-    out = scored.unionByName(pages.filter(F.col(url_col).isNull()).select(F.col(id_col).alias("id"), url.alias("url"), F.lit(None).cast("double").alias("score")))
+    done = rows.join(table, "host").select("id", "url", score("url", "host", *names).alias("score"))
+    out = done.unionByName(pages.filter(F.col(url_col).isNull()).select(F.col(id_col).alias("id"), url.alias("url"), F.lit(None).cast("double").alias("score")))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "score", F.coalesce(F.col("score") < threshold, F.lit(False)).alias("keep"))
