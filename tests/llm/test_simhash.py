@@ -1,8 +1,9 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from scriptorium.llm.components import components
-from scriptorium.llm.simhash import BITS, allotted, ball, grouped_bits, near_edges, signatures, signed, simhash_dedup
+from scriptorium.llm.simhash import BITS, KEY_COST, allotted, ball, chosen_parts, distances, group_hits, grouped_bits, near_edges, radii, signatures, signed, simhash_dedup, uniform, work
 
 SHAPE = "doc_id long, text string, copies int, keep string"
 
@@ -39,8 +40,15 @@ def test_search_is_exact_for_random_and_skewed_bits(spark):
     u = s.view(np.uint64)
     d = np.bitwise_count(u[:, None, 0] ^ u[None, :, 0]).astype(int) + np.bitwise_count(u[:, None, 1] ^ u[None, :, 1])
     want = groups_of(zip(*map(list, np.nonzero(np.triu(d <= k, 1)))), range(len(s)))
-    got = groups_of([(r.u, r.v) for r in near_edges(df, k).collect()], range(len(s)))
-    assert got == want and len(set(want.values())) < len(s) - 100
+    for settings in ({}, {"parts": 8}, {"parts": 7}, {"parts": 6}, {"parts": 8, "heavy_rows": 300}):
+        got = groups_of([(r.u, r.v) for r in near_edges(df, k, **settings).collect()], range(len(s)))
+        assert got == want and len(set(want.values())) < len(s) - 100, settings
+    few = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(s) if i % 3 == 0 or i >= 1500], "id long, s0 long, s1 long")
+    left = [i for i in range(len(s)) if i % 3 == 0 or i >= 1500]
+    at = np.array(left)
+    want = groups_of([(left[i], left[j]) for i, j in zip(*np.nonzero(np.triu(d[np.ix_(at, at)] <= k, 1)))], left)
+    for parts in (5, 4):
+        assert groups_of([(r.u, r.v) for r in near_edges(few, k, parts).collect()], left) == want, parts
 
 
 def test_copies_are_caught_and_others_left_alone(spark, prose):
@@ -66,8 +74,44 @@ def test_empty_table_and_nothing_near(spark, prose):
 
 def test_allotment_sums_and_prefers_even_partitions():
     h = [np.full(1 << 8, 1000.0) for _ in range(3)] + [np.concatenate(([256_000.0], np.zeros(255)))]
-    ts = allotted(h, 5)
+    ts = allotted([distances([x]) for x in h], 5)[1]
     assert sum(ts) == 5 - 4 + 1 and ts[3] == -1
+    with pytest.raises(ValueError):
+        allotted([uniform(100, 32)] * 2, 18)
+
+
+def test_distances_and_shared_keys_equal_counting():
+    r = np.random.default_rng(4)
+    v = r.integers(0, 256, 300)
+    h = np.bincount(v, minlength=256).astype(float)
+    want = np.bincount(np.bitwise_count(v[:, None] ^ v[None, :]).ravel(), minlength=9)
+    assert distances([h]).round().tolist() == want.tolist()
+    assert np.allclose(distances([np.full(16, 10.0), np.full(8, 20.0)]), uniform(160, 7) - np.eye(8)[0] * 160)
+    for t in range(5):
+        e, o = radii(t)
+        keys = [set((x ^ ball(8, o if x.bit_count() % 2 else e)).tolist()) for x in v[:80].tolist()]
+        met = sum(len(keys[i] & keys[j]) for i in range(80) for j in range(i))
+        pairs = distances([np.bincount(v[:80], minlength=256).astype(float)])
+        assert work(pairs, t) - KEY_COST * 40 * sum(len(ball(8, x)) for x in (e, o)) == pytest.approx(met, rel=0.15)
+        assert all(keys[i] & keys[j] for i in range(80) for j in range(i) if int(v[i] ^ v[j]).bit_count() <= t)
+
+
+def test_more_rows_take_fewer_partitions():
+    got = [chosen_parts(n, 18) for n in (1e4, 1e6, 1e8, 1e10)]
+    assert got == sorted(got, reverse=True) and got[0] > got[-1]
+
+
+def test_pivots_change_nothing():
+    r = np.random.default_rng(9)
+    centre = r.integers(0, 2**63, 2, dtype=np.uint64)
+    flips = np.packbits(r.random((900, 128)) < 0.06, axis=1).view(np.uint64)
+    far = r.integers(0, 2**63, (300, 2), dtype=np.uint64)
+    s = np.concatenate((centre ^ flips, far, far[:20] ^ np.uint64(7)))[r.permutation(1220)]
+    ids = r.permutation(5000)[:1220]
+    d = np.bitwise_count(s[:, None, 0] ^ s[None, :, 0]).astype(int) + np.bitwise_count(s[:, None, 1] ^ s[None, :, 1])
+    want = groups_of([(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(d <= 18, 1)))], ids.tolist())
+    u, v = group_hits(ids, s[:, 0].copy(), s[:, 1].copy(), 18)
+    assert groups_of(zip(u.tolist(), v.tolist()), ids.tolist()) == want
 
 
 def test_partitions_take_correlated_bits_together():
@@ -94,4 +138,13 @@ def test_components(spark):
 
 def test_rows_without_id_or_text_have_no_signature(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (2, "a b")], "doc_id long, text string")
-    assert [r.id for r in signed(df).collect()] == [2]
+    assert {r.id: r.s0 is None for r in signed(df).collect()} == {1: True, 2: False}
+
+
+def test_one_id_with_other_texts_and_clashing_names(spark, prose):
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    rows = [(5, a, 1), (5, b, 2), (5, None, 3), (5, " ", 4), (4, b, 5), (6, a + " x", 6), (7, c, 7), (8, c, 8), (8, a, 9), (8, None, 10)]
+    got = sorted(r.key for r in simhash_dedup(spark.createDataFrame(rows, "row long, text string, key int"), id_col="row").collect())
+    assert got == [1, 3, 4, 5, 7, 10]
+    names = spark.createDataFrame([(f"n{i}", t) for i, t, _ in rows], "gone string, text string")
+    assert sorted(r.gone for r in simhash_dedup(names, id_col="gone").collect()) == sorted(["n5", "n5", "n5", "n4", "n7", "n8"])
