@@ -1,9 +1,9 @@
 """Mixing sources to target weights in blocks of fixed length.
 
-1. Packing. A token is a run of non-blank characters with the blanks before it. Each source is one stream of the tokens of
-   its documents, ordered by a hash bucket of the id, then by id; every ``length`` tokens make a block. A counting pass
-   gives the tokens of each (source, bucket), their running sums give the place where a bucket begins, so that buckets
-   are packed independently and a hot source is spread like any other. Only the last block of a source may be shorter.
+1. Packing. Tokens are the ids of a byte-level BPE. Each source is one stream of the ids of its documents, ordered by a hash bucket of id and
+   text, then by id; every ``length`` ids make a block. Texts are encoded once, into a written table of packed ids; a sum over it gives the
+   tokens of each (source, bucket), and running sums in two levels give the place where a bucket begins, so that buckets are packed
+   independently and a hot source is spread like any other. Only the last block of a source may be shorter.
 2. Drawing. Each output shard draws its number of blocks per source from a multinomial of the target weights, by a
    generator seeded with the shard's number.
 3. Mapping. The slots of a source, counted through all shards, go through a pseudorandom permutation of the source's block
@@ -18,35 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from scriptorium.llm.kernels import chunks, mix, sums
+from scriptorium.llm.bpe import VOCABULARY, Decoder, _batcher, gather, read_ranks, sent_vocabulary
+from scriptorium.llm.kernels import mix
 from scriptorium.runtime import Cut, broadcast_if
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Documents in a packing bucket, on average.
 BUCKET = 2000
-
-
-def token_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, byte) where the non-blank part of each token of a chunk begins."""
-    ink = ~_BLANK[data]
-    first = ink.copy()
-    first[1:] &= ~ink[:-1]
-    edges = off[:-1][off[:-1] < len(data)]
-    first[edges] = ink[edges]
-    at = np.flatnonzero(first)
-    return np.searchsorted(off, at, side="right") - 1, at
-
-
-@F.arrow_udf(LongType())
-def token_count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in parts:
-        n = [sums(token_starts(data, off)[0], rows) for _, rows, data, off in chunks(texts)]
-        yield pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, dtype=np.int64))
+#: Tokens that are cut at once.
+CUT = 1 << 21
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -70,65 +54,78 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def _pieces(rows: DataFrame, length: int) -> DataFrame:
-    """Cuts (skey, bucket, base, text, rest), grouped by bucket and ordered, into (skey, block, seq, n_tokens, text, rest)."""
+def _tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, seed: int) -> DataFrame:
+    """(skey, id, h, n, ids, rest): source, id, hash of id and text, and the packed token ids of every text that isn't null."""
+    sent = sent_vocabulary(docs.sparkSession, path)
+
+    @F.arrow_udf("struct<n:bigint,ids:binary>")
+    def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        b = _batcher(sent)
+        for texts in parts:
+            ids, counts = b.encode(texts)
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), packs(ids.astype(id_type(len(b.enc.token))), np.concatenate(([0], np.cumsum(counts))))], ["n", "ids"])
+
+    text = F.col(text_col).cast("string")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(source_key(F.col(source_col)).alias("skey"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"), packed(text).alias("t"), rest.alias("rest"))
+    return rows.select("skey", "id", "h", F.col("t.n").alias("n"), F.col("t.ids").alias("ids"), "rest").filter("n > 0")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, used = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            base = b.column(2).to_numpy()
-            for a, n, data, off in chunks(b.column(3)):
-                doc, at = token_starts(data, off)
-                count = sums(doc, n).astype(np.int64)
-                begin = np.zeros(n, dtype=np.int64)
-                for i in range(n):
-                    if key[a + i] != group:
-                        group, used = key[a + i], int(base[a + i])
-                    begin[i] = used
-                    used += int(count[i])
-                upto = np.concatenate(([0], np.cumsum(count)))
-                place = begin[doc] + np.arange(len(at)) - upto[doc]  # of each token in its source's stream
-                head = place % length == 0
-                head[upto[:-1][count > 0]] = True  # the first token of a document begins a piece
-                token = np.flatnonzero(head)
-                if not len(token):
-                    continue
-                owner = doc[token]
-                start = at[token]
-                whole = np.concatenate(([True], owner[1:] != owner[:-1]))
-                start[whole] = off[owner[whole]]
-                start[~whole] = _after_ink(data, at, token[~whole])
-                last = np.append(whole[1:], True)
-                end = np.append(start[1:], off[-1])
-                end[last] = off[owner[last] + 1]
-                tokens = np.diff(np.append(token, len(at)))
-                texts = _slices(data, start, end)
-                take = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(place[token] // length), pa.array(place[token] % length), pa.array(tokens), texts, b.column(4).take(take)], ["skey", "block", "seq", "n_tokens", "text", "rest"])
-
-    out = StructType([StructField("skey", StringType()), *(StructField(c, LongType()) for c in ("block", "seq", "n_tokens")), StructField("text", StringType()), rows.schema["rest"]])
-    return rows.mapInArrow(cut, out)
 
+def id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.int32
 
-def _after_ink(data: np.ndarray, at: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Where the blanks before these tokens begin: just after the token before."""
-    if not len(token):
-        return token
-    ink = ~_BLANK[data]
-    ends = np.flatnonzero(ink & ~np.append(ink[1:], False)) + 1
-    return ends[np.searchsorted(ends, at[token], side="right") - 1]
 
+def packs(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each slice of the ids as bytes."""
+    off = np.asarray(bounds * ids.itemsize, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(ids.tobytes())])
 
-def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Strings of the slices. Neighbours mostly touch, so the bytes are taken over as they are where they do."""
-    if (start[1:] == end[:-1]).all():
-        buf, off = data[start[0] : end[-1]].tobytes(), np.append(start, end[-1]) - start[0]
-    else:
-        buf, off = b"".join(data[s:e].tobytes() for s, e in zip(start, end, strict=True)), np.concatenate(([0], np.cumsum(end - start)))
-    return pa.StringArray.from_buffers(len(start), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(buf))
+
+def unpacks(packed: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, number of each)."""
+    return np.frombuffer(b"".join(packed), dtype=kind), np.array([len(r) for r in packed], dtype=np.int64) // kind().itemsize
+
+
+def _pieces(rows: DataFrame, length: int, sent: Broadcast, as_text: bool) -> DataFrame:
+    """Cuts (skey, bucket, base, n, ids, rest), grouped by bucket and ordered, into (skey, block, seq, n_tokens, piece, rest). A piece is packed ids, or their
+    text: a character whose bytes lie in two blocks goes with the block in which it begins."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Decoder(sent.value[1])
+        lens, kind = np.diff(enc.offsets), id_type(len(enc.token))
+        group, used = None, 0
+        for whole in batches:
+            upto = np.concatenate(([0], np.cumsum(whole.column(3).to_numpy())))
+            lo = 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CUT, side="right")) - 1)
+                b = whole.slice(lo, min(hi, whole.num_rows) - lo)
+                lo += b.num_rows
+                n, base = b.column(3).to_numpy(), b.column(2).to_numpy()
+                begin = np.zeros(len(n), dtype=np.int64)
+                for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    if key != group:
+                        group, used = key, int(base[i])
+                    begin[i] = used
+                    used += int(n[i])
+                many = (begin + n - 1) // length - begin // length + 1
+                owner = np.repeat(np.arange(len(n)), many)
+                block = begin[owner] // length + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                start, end = np.maximum(begin[owner], block * length), np.minimum(begin[owner] + n[owner], (block + 1) * length)
+                flat = unpacks(b.column(4).to_pylist(), kind)[0]
+                bounds = np.append(start - begin[owner] + (np.cumsum(n) - n)[owner], len(flat))
+                if as_text:
+                    data = gather(enc.blob, enc.offsets[flat], lens[flat])
+                    place = np.concatenate(([0], np.cumsum(lens[flat])))[bounds]
+                    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                    made = pa.StringArray.from_buffers(len(owner), pa.py_buffer(lead[np.searchsorted(lead, place)].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+                else:
+                    made = packs(flat, bounds)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(block), pa.array(start % length), pa.array(end - start), made, b.column(5).take(take)], ["skey", "block", "seq", "n_tokens", "piece", "rest"])
+
+    out = StructType([StructField("skey", StringType()), *(StructField(c, LongType()) for c in ("block", "seq", "n_tokens")), StructField("piece", StringType() if as_text else BinaryType()), rows.schema["rest"]])
+    return rows.mapInArrow(cut, out)
 
 
 def tempered(tokens: dict[str, int], power: float) -> dict[str, float]:
@@ -140,28 +137,29 @@ def drawn(shard: int, slots: int, weights: np.ndarray, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, shard)).multinomial(slots, weights)
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7, length: int = 512, shard_slots: int = 4096, ratio: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per output slot: shard, slot, source, epoch, block, n_tokens, and ``pieces``, an array of (text, rest) in stream order;
-    rest is a struct of the document's other columns.
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.7, length: int = 512, shard_slots: int = 4096, ratio: float = 1.0, seed: int = 17, buckets: int | None = None, as_text: bool = False, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per output slot: shard, slot, source, epoch, block, n_tokens, and ``pieces``, an array of (seq, piece, rest) in stream order: where in
+    the block a document's part begins, its packed token ids (see :func:`unpacks`; 2 bytes each for vocabularies up to 65,536, else 4) or, ``as_text``, its text, and a struct of
+    the document's other columns.
 
     ``weights`` are the targets by source (sources it lacks get none); without them a source's target is its number of tokens to
     the ``power``. As many blocks are drawn as there are, times ``ratio``; shards have ``shard_slots`` of them, the last the rest.
     epoch counts how often the source had been used up before.
 
-    Texts that are null, empty or blank hold no token and are in no block. A null source is a source of its own. Null ids come first in their
-    bucket; rows with the same id follow by a hash of their text, and each counts. A piece of a very long text is as long as a block.
-    Further columns go along in ``rest`` under any name. An empty table gives an empty table. All sources' names and totals are
-    on the driver; a weighted source without tokens is ignored, and where no weighted source has tokens there are no rows.
+    Texts that are null or empty hold no token and are in no block. A null source is a source of its own. Null ids come first in their
+    bucket; rows with the same id follow by a hash of their text, and each counts; ids are of any type that sorts. A piece of a very long text is as
+    long as a block, whatever its script. Further columns go along in ``rest`` under any name. An empty table gives an empty table. All sources' names
+    and totals are on the driver; a weighted source without tokens is ignored, and where no weighted source has tokens there are no rows.
+    ``buckets`` is the number of packing buckets; by default one for ``BUCKET`` documents, so that the order of the streams, not their content,
+    changes with the number of documents: name it to keep the order. Rows equal in id and text share a bucket, which is streamed through one task.
     """
     if length < 1 or shard_slots < 1:
         raise ValueError("length and shard_slots must be at least 1")
-    spark = docs.sparkSession
-    others = [c for c in docs.columns if c != text_col]
-    buckets = max(1, -(-docs.count() // BUCKET))
-    skey = source_key(F.col(source_col))
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets))
-    text = F.col(text_col).cast("string")
-    counted = Cut(docs.filter(F.col(text_col).isNotNull()).select(skey.alias("skey"), bucket.alias("bucket"), token_count(text).alias("n")).groupBy("skey", "bucket").agg(F.sum("n").alias("n")), "counted")
+    spark, sent = docs.sparkSession, sent_vocabulary(docs.sparkSession, path)
+    packed = Cut(_tokenized(docs, id_col, text_col, source_col, path, seed), "tokens")
+    buckets = buckets or max(1, -(-packed.df.count() // BUCKET))
+    rows = packed.df.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    counted = Cut(rows.groupBy("skey", "bucket").agg(F.sum("n").alias("n")), "counted")
     tokens = {r.skey: r.n for r in counted.df.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
     wanted = tempered(tokens, power) if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
     names = sorted(s for s, w in wanted.items() if w > 0 and tokens.get(s, 0) > 0)
@@ -197,29 +195,45 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     plan = draws.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).mapInArrow(slots, "shard long, slot long, skey string, epoch long, block long")
 
-    up = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.df.select("skey", "bucket", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("base"))
-    rest = F.struct(*(F.col(c) for c in others))
-    rows = docs.filter(F.col(text_col).isNotNull()).select(skey.alias("skey"), bucket.alias("bucket"), F.col(id_col).alias("id"), text.alias("text"), rest.alias("rest"))
-    rows = rows.join(broadcast_if(base, buckets * len(tokens)), ["skey", "bucket"]).repartition("skey", "bucket").sortWithinPartitions("skey", "bucket", "id", F.xxhash64("text"))
-    pieces = _pieces(rows.select("skey", "bucket", "base", "text", "rest"), length)
-    used = pieces.filter(F.col("skey").isin(names)) if len(names) < len(tokens) else pieces
-    blocks = used.groupBy("skey", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "text", "rest")), lambda p, q: (p["seq"] - q["seq"]).cast("int")).alias("pieces"))
-    blocks = blocks.withColumn("pieces", F.transform("pieces", lambda p: F.struct(p["text"].alias("text"), p["rest"].alias("rest"))))
+    high = F.floor(F.col("bucket") / 1024).alias("high")  # running sums in two levels, so that no task sees all buckets of a source
+    groups = counted.df.groupBy("skey", high).agg(F.sum("n").alias("n"))
+    groups = groups.select("skey", "high", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    up = Window.partitionBy("skey", "high").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.df.withColumn("high", high).select("skey", "high", "bucket", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("within"))
+    base = base.join(groups, ["skey", "high"]).select("skey", "bucket", (F.col("before") + F.col("within")).alias("base"))
+    wide = max((len(s) for s in tokens), default=0)
+    rows = rows.filter(F.col("skey").isin(names)) if len(names) < len(tokens) else rows
+    rows = rows.join(broadcast_if(base, buckets * len(tokens), 32 + wide), ["skey", "bucket"]).repartition("skey", "bucket").sortWithinPartitions("skey", "bucket", "id", "h")
+    used = _pieces(rows.select("skey", "bucket", "base", "n", "ids", "rest"), length, sent, as_text)
+    blocks = used.groupBy("skey", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "piece", "rest")), lambda p, q: (p["seq"] - q["seq"]).cast("int")).alias("pieces"))
     # the plan has a row for every block: it is hashed part by part, never broadcast on the strength of an estimate
     out = blocks.join(plan.hint("shuffle_hash"), ["skey", "block"])
     return out.select("shard", "slot", F.expr("CASE WHEN skey <> 'null' THEN substring(skey, 2) END").alias("source"), "epoch", "block", "n_tokens", "pieces")
 
 
-def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """:func:`mixed` with the blocks as ``doc_ids`` (array, in stream order) and ``text``, documents set apart by an empty line."""
-    out = mixed(docs, id_col=id_col, **params)
-    return out.select("shard", "slot", "source", "epoch", "block", "n_tokens", F.transform("pieces", lambda p: p["rest"][id_col]).alias("doc_ids"), F.array_join(F.transform("pieces", lambda p: p["text"]), "\n\n").alias("text"))
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", path: str = VOCABULARY, **params) -> DataFrame:
+    """:func:`mixed` with the blocks as ``token_ids`` (array, ``length`` of them but in a source's last block), ``doc_ids`` and ``doc_starts`` (arrays: the
+    documents in the block, and where each one's part begins)."""
+    size = max(read_ranks(path).values()) + 1
+    kind = id_type(size)
+
+    @F.arrow_udf("array<int>")
+    def unpacked(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in parts:
+            flat, sizes = unpacks(lists.flatten().to_pylist(), kind)
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            yield pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+    out = mixed(docs, id_col=id_col, path=path, **params)
+    ids = unpacked(F.transform("pieces", lambda p: p["piece"]))
+    return out.select("shard", "slot", "source", "epoch", "block", "n_tokens", F.transform("pieces", lambda p: p["rest"][id_col]).alias("doc_ids"), F.transform("pieces", lambda p: p["seq"]).alias("doc_starts"), ids.alias("token_ids"))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **params) -> DataFrame:
     """:func:`mixed` as rows with the columns of ``docs``: each is the part of a document that lies in a drawn block, once for every
-    time that block was drawn. ``length_col``, where the table has it, is the part's number of characters."""
-    out = mixed(docs, text_col=text_col, **params).select(F.explode("pieces").alias("p"))
-    text = F.col("p.text")
+    time that block was drawn. A character goes with the block in which it begins; parts that hold no whole character's beginning
+    have no row. ``length_col``, where the table has it, is the part's number of characters."""
+    out = mixed(docs, text_col=text_col, as_text=True, **params).select(F.explode("pieces").alias("p")).filter(F.col("p.piece") != "")
+    text = F.col("p.piece")
     return out.select(*(text.alias(c) if c == text_col else F.length(text).cast("long").alias(c) if c == length_col else F.col("p.rest")[c].alias(c) for c in docs.columns))

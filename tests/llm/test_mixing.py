@@ -1,10 +1,12 @@
-import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
-from scriptorium.llm.mixing import drawn, mixed, mixed_blocks, mixed_documents, permuted, tempered
+from scriptorium.llm import bpe
+from scriptorium.llm.mixing import drawn, mixed, mixed_blocks, mixed_documents, permuted, tempered, unpacks
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, Block int, pieces map<string,int>"
 
@@ -13,8 +15,15 @@ def make(prose, n=120):
     return [(i, prose(i, 5 + i * 7 % 90), "en", f"s{i % 3}" if i % 10 else "s0", 1, 2, {"a": 1}) for i in range(n)]
 
 
+ENC = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
+
+
 def tokens(text):
-    return re.findall(r"[^ \t-\r]+", text or "")
+    return ENC.encode_ordinary(text or "")
+
+
+def ids(piece):
+    return unpacks([bytes(piece)], np.uint16)[0].tolist()
 
 
 def test_blocks_are_the_stream_and_slots_follow_the_draws(spark, prose):
@@ -44,7 +53,7 @@ def test_blocks_are_the_stream_and_slots_follow_the_draws(spark, prose):
         assert all(sum(e == x for x, _ in used) == sizes[s] for e in range(top))
     # blocks are full but the last, and hold the tokens of their documents in order
     for (s, b), r in by.items():
-        assert r.n_tokens == sum(len(tokens(p.text)) for p in r.pieces)
+        assert r.n_tokens == sum(len(ids(p.piece)) for p in r.pieces)
         assert r.n_tokens == 32 or b == sizes[s] - 1
 
 
@@ -57,9 +66,76 @@ def test_one_full_epoch_gives_every_text_back(spark, prose):
         assert [r.epoch for r in out] == [0] * n
         parts = {}
         for r in sorted(out, key=lambda r: r.block):
+            assert [p.seq for p in r.pieces] == np.cumsum([0] + [len(ids(p.piece)) for p in r.pieces])[:-1].tolist()
             for p in r.pieces:
-                parts.setdefault(p.rest.doc_id, []).append(p.text)
-        assert {i: "".join(p) for i, p in parts.items()} == {r[0]: r[1] for r in own}
+                parts.setdefault(p.rest.doc_id, []).extend(ids(p.piece))
+        assert parts == {r[0]: tokens(r[1]) for r in own}
+
+
+def test_the_whole_result_equals_a_plain_program(spark, prose):
+    """Counts, streams, draws and permutations by plain loops: a multinomial by its seed, a Feistel walk written out."""
+    rows, length, slots, seed, buckets = make(prose, 80), 24, 30, 5, 7
+    df = spark.createDataFrame(rows, SHAPE)
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).collect()}
+    streams = {}
+    for r in sorted(rows, key=lambda r: (h[r[0]] % buckets, r[0], h[r[0]])):
+        streams.setdefault(r[3], []).extend((r[0], i) for i in tokens(r[1]))
+    names = sorted(streams)
+    blocks = {s: [x[i : i + length] for i in range(0, len(x), length)] for s, x in streams.items()}
+    weight = np.array([len(streams[s]) ** 0.7 for s in names])
+    total = sum(map(len, blocks.values()))
+
+    def splitmix(x, k):
+        x = (x + 0x9E3779B97F4A7C15 * (k + 1)) % 2**64
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    def place(j, n, key):
+        bits = 0
+        while 4**bits < max(n, 2):
+            bits += 1
+        while True:
+            a, b = j >> bits, j % 2**bits
+            for k in range(4):
+                a, b = b, a ^ (splitmix(b ^ splitmix(key, k), k + 9) % 2**bits)
+            j = a << bits | b
+            if j < n:
+                return j
+
+    want, used = [], [0] * len(names)
+    for shard in range(-(-total // slots)):
+        full = min(slots, total - shard * slots)
+        within = 0
+        for s, n in enumerate(np.random.default_rng((seed, shard)).multinomial(full, weight / weight.sum())):
+            for _ in range(n):
+                size = len(blocks[names[s]])
+                epoch, at = divmod(used[s], size)
+                block = place(at, size, splitmix(s, seed) ^ splitmix(epoch, seed + 1))
+                slot = place(within, full, splitmix(shard, seed + 2))
+                want.append((shard, slot, names[s], epoch, block, [i for _, i in blocks[names[s]][block]]))
+                used[s] += 1
+                within += 1
+    out = mixed_blocks(df, length=length, shard_slots=slots, seed=seed, buckets=buckets).collect()
+    assert sorted((r.shard, r.slot, r.source, r.epoch, r.block, r.token_ids) for r in out) == sorted(want)
+    for r in out:
+        held = [d for d, _ in blocks[r.source][r.block]]
+        assert r.doc_ids == list(dict.fromkeys(held)) and r.doc_starts == [held.index(d) for d in r.doc_ids]
+        assert r.n_tokens == len(r.token_ids) and (r.n_tokens == length or r.block == len(blocks[r.source]) - 1)
+
+
+def test_scripts_without_blanks_are_cut_like_others(spark):
+    r = np.random.default_rng(1)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FFF, 700))), "é" * 900, "😀🎉" * 300]
+    df = spark.createDataFrame([(i, t, "x", "s", 1, 1, None) for i, t in enumerate(texts)], SHAPE)
+    out = mixed_blocks(df, length=64, shard_slots=10_000).collect()
+    last = max(x.block for x in out)
+    assert all(len(x.token_ids) == 64 for x in out if x.block != last) and len(out) == -(-sum(len(tokens(t)) for t in texts) // 64)
+    whole = {}
+    for x in sorted(mixed(df, length=64, shard_slots=10_000, as_text=True).collect(), key=lambda x: x.block):
+        for p in x.pieces:
+            whole[p.rest.doc_id] = whole.get(p.rest.doc_id, "") + p.piece
+    assert whole == dict(enumerate(texts))
 
 
 def test_weights(spark, prose):
@@ -86,9 +162,9 @@ def test_nulls_blank_long_repeats_and_clashes(spark, prose):
     out = mixed_documents(df, length=64, weights={"s": 1.0}, ratio=2.0, shard_slots=1000)
     assert out.columns == df.columns and out.dtypes == df.dtypes
     got = out.collect()
-    assert {r.doc_id for r in got} == {4, 5} and all(r.n_chars == len(r.text) for r in got)
+    assert {r.doc_id for r in got} == {3, 4, 5} and all(r.n_chars == len(r.text) for r in got)
     both = mixed_blocks(df, length=64).collect()
-    assert {r.source for r in both} == {None, "s"} and any(r.doc_ids == [None] and r.text == "one two" for r in both)
+    assert {r.source for r in both} == {None, "s"} and any(r.doc_ids == [None] and r.token_ids == tokens("one two") for r in both)
 
 
 def test_order_of_rows_does_not_matter(spark, prose):
