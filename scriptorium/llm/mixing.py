@@ -68,7 +68,7 @@ def _tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, pat
     text = F.col(text_col).cast("string")
     rest = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
     rows = docs.filter(F.col(text_col).isNotNull()).select(source_key(F.col(source_col)).alias("skey"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"), packed(text).alias("t"), rest.alias("rest"))
-    return rows.select("skey", "id", "h", F.col("t.n").alias("n"), F.col("t.ids").alias("ids"), "rest").filter("n > 0")
+    return rows.select("skey", "id", "h", F.col("t.n").alias("n"), F.col("t.ids").alias("ids"), "rest")
 
 
 def id_type(size: int) -> type:
@@ -158,7 +158,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     spark, sent = docs.sparkSession, sent_vocabulary(docs.sparkSession, path)
     packed = Cut(_tokenized(docs, id_col, text_col, source_col, path, seed), "tokens")
     buckets = buckets or max(1, -(-packed.df.count() // BUCKET))
-    rows = packed.df.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    rows = packed.df.filter("n > 0").withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counted = Cut(rows.groupBy("skey", "bucket").agg(F.sum("n").alias("n")), "counted")
     tokens = {r.skey: r.n for r in counted.df.groupBy("skey").agg(F.sum("n").alias("n")).collect()}
     wanted = tempered(tokens, power) if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
