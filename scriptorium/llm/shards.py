@@ -64,7 +64,7 @@ def _below(key: Column, name: str, below: Tree | None, path: str, depth: int) ->
 def placed(docs: DataFrame, tree: Tree = TREE, id_col: str = "doc_id", names: tuple[str, str, str] = LEVELS) -> DataFrame:
     """``docs`` with region, rack and shard of every row (columns of these names are replaced).
 
-    Rows with the same id go to the same shard, repeated rows too. Null ids share one place, that of the key "null".
+    Rows with the same id go to the same shard, repeated rows too; of equal draws the first child by name wins. Null ids share one place, that of the key "null".
     Texts aren't read, so they may be null, empty or long. An empty table gives an empty table. Weights of zero get no
     keys; a tree without leaves at the third level, or with negative weights, is a ValueError.
     """
@@ -77,7 +77,11 @@ def placed(docs: DataFrame, tree: Tree = TREE, id_col: str = "doc_id", names: tu
 
 def write_shards(docs: DataFrame, path: str, tree: Tree = TREE, id_col: str = "doc_id", files: int = 1, names: tuple[str, str, str] = LEVELS) -> None:
     """Writes ``placed`` rows as Parquet folders region/rack/shard, about ``files`` files in each; one shuffle, in which a
-    shard's rows are spread over ``files`` tasks."""
+    shard's rows are spread over ``files`` tasks by their ids.
+
+    Cases as for :func:`placed`: null ids go to one place, repeated rows are written each, texts of any length or null are passed on, columns
+    named like the levels are replaced. An empty table gives a folder without shards. What ``path`` held before is replaced.
+    """
     spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(files))
     placed(docs, tree, id_col, names).repartition(*names, spread).write.mode("overwrite").partitionBy(*names).parquet(path)
 

@@ -23,3 +23,22 @@ def test_colliding_hashes_are_told_apart_by_bytes(spark):
 def test_empty_table(spark):
     out = exact_dedup(spark.createDataFrame([], SHAPE))
     assert out.count() == 0 and out.columns == ["doc_id", "text", "Hash", "count"]
+
+
+def test_rows_of_one_id_and_text_are_chosen_by_their_json(spark):
+    rows = [(1, "a", 2, "x"), (1, "a", 1, "z"), (1, "a", 1, "y"), (2, "b", 5, "q")]
+    got = sorted(tuple(r) for r in exact_dedup(spark.createDataFrame(rows, SHAPE)).collect())
+    assert got == [(1, "a", 1, "y"), (2, "b", 5, "q")]
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "t"), ("a", "t"), ("c", "u")]
+    assert sorted(r.doc_id for r in exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()) == ["a", "c"]
+
+
+def test_only_repeated_hashes_are_shuffled(spark):
+    df = spark.createDataFrame([(i, f"text {i % 900}") for i in range(1000)], "doc_id long, text string")
+    out = exact_dedup(df)
+    assert out.count() == 900
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("__words") >= 2 and "SortMergeJoin" not in plan

@@ -1,8 +1,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.llm.kernels import mix
+from scriptorium.llm.kernels import mix, sampled
 from scriptorium.llm.langid import BUCKETS, ORDERS, fit, identified, language_ids
 
 SHAPE = "doc_id long, text string, lang string, language string, predicted_lang int"
@@ -71,3 +72,20 @@ def test_no_labels_and_empty_table(spark):
 def test_bounded_sample_still_reads_every_document(spark, rows):
     got = language_ids(spark.createDataFrame(rows, SHAPE), train_rows=60).collect()
     assert len(got) == len(rows) and np.mean([r.predicted_lang == r.lang for r in got]) > 0.95
+
+
+def test_equal_languages_and_too_many(spark):
+    df = spark.createDataFrame([(1, "aba", "zz"), (2, "aba", "yy"), (3, "aba", "xx")], "doc_id long, text string, lang string")
+    assert {r.predicted_lang for r in language_ids(df).collect()} == {"xx"}
+    with pytest.raises(ValueError, match="languages"):
+        language_ids(df, most_languages=2)
+
+
+@pytest.mark.parametrize(("most", "rows"), [(100, 100_000), (20_000, 3 * 10**10), (1, 10**18), (5, 5)])
+def test_samples_have_their_share_at_every_size(spark, most, rows):
+    low, whole = -(2**63), 2**64
+    edge = low + most * whole // rows
+    h = spark.createDataFrame([(low,), (edge - 2,), (min(edge + 2, 2**63 - 1),)], "h long")
+    assert [r[0] for r in h.select(sampled(F.col("h"), most, rows)).collect()] == [True, True, most >= rows]
+    n = spark.range(200_000).filter(sampled(F.xxhash64("id"), 20_000, 200_000)).count()
+    assert 19_000 < n < 21_000

@@ -2,11 +2,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import tiktoken
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe
 from scriptorium.llm.mixing import drawn, mixed, mixed_blocks, mixed_documents, permuted, tempered, unpacks
+from tests.llm.plain_mixing import mixed_plainly, tokens
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, Block int, pieces map<string,int>"
 
@@ -15,13 +14,6 @@ def make(prose, n=120):
     return [(i, prose(i, 5 + i * 7 % 90), "en", f"s{i % 3}" if i % 10 else "s0", 1, 2, {"a": 1}) for i in range(n)]
 
 
-ENC = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
-
-
-def tokens(text):
-    return ENC.encode_ordinary(text or "")
-
-
 def ids(piece):
     return unpacks([bytes(piece)], np.uint16)[0].tolist()
 
@@ -73,53 +65,16 @@ def test_one_full_epoch_gives_every_text_back(spark, prose):
 
 
 def test_the_whole_result_equals_a_plain_program(spark, prose):
-    """Counts, streams, draws and permutations by plain loops: a multinomial by its seed, a Feistel walk written out."""
     rows, length, slots, seed, buckets = make(prose, 80), 24, 30, 5, 7
     df = spark.createDataFrame(rows, SHAPE)
     h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).collect()}
-    streams = {}
-    for r in sorted(rows, key=lambda r: (h[r[0]] % buckets, r[0], h[r[0]])):
-        streams.setdefault(r[3], []).extend((r[0], i) for i in tokens(r[1]))
-    names = sorted(streams)
-    blocks = {s: [x[i : i + length] for i in range(0, len(x), length)] for s, x in streams.items()}
-    weight = np.array([len(streams[s]) ** 0.7 for s in names])
-    total = sum(map(len, blocks.values()))
-
-    def splitmix(x, k):
-        x = (x + 0x9E3779B97F4A7C15 * (k + 1)) % 2**64
-        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
-        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
-        return x ^ (x >> 31)
-
-    def place(j, n, key):
-        bits = 0
-        while 4**bits < max(n, 2):
-            bits += 1
-        while True:
-            a, b = j >> bits, j % 2**bits
-            for k in range(4):
-                a, b = b, a ^ (splitmix(b ^ splitmix(key, k), k + 9) % 2**bits)
-            j = a << bits | b
-            if j < n:
-                return j
-
-    want, used = [], [0] * len(names)
-    for shard in range(-(-total // slots)):
-        full = min(slots, total - shard * slots)
-        within = 0
-        for s, n in enumerate(np.random.default_rng((seed, shard)).multinomial(full, weight / weight.sum())):
-            for _ in range(n):
-                size = len(blocks[names[s]])
-                epoch, at = divmod(used[s], size)
-                block = place(at, size, splitmix(s, seed) ^ splitmix(epoch, seed + 1))
-                slot = place(within, full, splitmix(shard, seed + 2))
-                want.append((shard, slot, names[s], epoch, block, [i for _, i in blocks[names[s]][block]]))
-                used[s] += 1
-                within += 1
+    want, blocks = mixed_plainly([(r[0], r[1], r[3], h[r[0]]) for r in rows], length, slots, seed, buckets)
     out = mixed_blocks(df, length=length, shard_slots=slots, seed=seed, buckets=buckets).collect()
-    assert sorted((r.shard, r.slot, r.source, r.epoch, r.block, r.token_ids) for r in out) == sorted(want)
+    assert sorted((r.shard, r.slot, r.source, r.epoch, r.block) for r in out) == sorted(want)
     for r in out:
-        held = [d for d, _ in blocks[r.source][r.block]]
+        block = blocks[r.source][r.block]
+        held = [rows[i][0] for i, _, _ in block]
+        assert r.token_ids == [t for _, _, t in block]
         assert r.doc_ids == list(dict.fromkeys(held)) and r.doc_starts == [held.index(d) for d in r.doc_ids]
         assert r.n_tokens == len(r.token_ids) and (r.n_tokens == length or r.block == len(blocks[r.source]) - 1)
 

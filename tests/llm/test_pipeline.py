@@ -1,8 +1,10 @@
 import numpy as np
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from scriptorium.llm import bpe
+from tests.llm.plain_mixing import mixed_plainly, parts
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,7 +39,12 @@ def test_stages_against_brute_force(spark, prose, tmp_path):
     assert ids["exact dedup"] & set(range(3000)) == set(range(200))
     assert len(ids["SimHash near-dedup"] & set(range(3000, 3040))) == 0 and ids["SimHash near-dedup"] >= set(range(200))
     texts = {r[0]: r[1] for r in rows}
-    assert seen["mixing sources"] and all(r.text in texts[r.doc_id] for r in seen["mixing sources"])
+    before = spark.read.parquet(f"{path}/SimHash near-dedup").select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit(17)).alias("h"))
+    before = [tuple(r) for r in before.collect() if r.text]
+    slots, blocks = mixed_plainly(before, 512, 4096, 17, 1)
+    want = [(before[i][0], part) for _, _, s, _, b in slots for i, part in parts(blocks[s][b], before)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in seen["mixing sources"]))) == sorted(map(str, want)) and len(want) > 50
+    assert all(r.text in texts[r.doc_id] for r in seen["mixing sources"])
     enc = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
     want = sorted((str(r.doc_id), enc.encode_ordinary(r.text)) for r in seen["mixing sources"])
     got = sorted((str(r.doc_id), r.token_ids) for r in pipeline.run(spark, path).collect())
@@ -50,3 +57,14 @@ def test_empty_and_null_tables(spark, tmp_path):
         path = f"file://{tmp_path}/e{i}"
         write(spark, path, rows, [])
         assert pipeline.run(spark, path).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, prose, tmp_path):
+    path = f"file://{tmp_path}/c"
+    rows = [(i % 30, prose(i % 30, 100), "en", "s", 1, "h", i, "r") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __hash string, n_tokens int, `row` string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    out = pipeline.run(spark, path)
+    assert {"__hash", "row", "token_ids", "n_tokens"} <= set(out.columns)
+    got = out.collect()
+    assert {r.doc_id for r in got} <= set(range(30)) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm.urls import NAMES, boosted, lexical, seed_labels, url_scores
 
@@ -74,3 +75,54 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     model = boosted(x[:2000], y[:2000])
     assert np.mean((model.probability(x[2000:]) > 0.5) == y[2000:]) > 0.97
+
+
+def plain_trees(x, y, trees, depth, rate, bins, smooth):
+    """Margins by a search over all features and cuts, node by node."""
+    edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1])) for i in range(x.shape[1])]
+    b = np.column_stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)])
+    margin = np.full(len(x), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level):
+            best = (1e-6, None)
+            if level < depth:
+                for f in range(x.shape[1]):
+                    for c in range(bins):
+                        left, right = rows[b[rows, f] <= c], rows[b[rows, f] > c]
+                        if h[left].sum() > 1e-3 and h[right].sum() > 1e-3:
+                            gain = sum(s * g[r].sum() ** 2 / (h[r].sum() + smooth) for s, r in ((1, left), (1, right), (-1, rows)))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (left, right))
+            if best[1] is None:
+                margin[rows] -= rate * g[rows].sum() / (h[rows].sum() + smooth)
+            else:
+                grow(best[1][0], level + 1)
+                grow(best[1][1], level + 1)
+
+        grow(np.arange(len(x)), 0)
+    return margin
+
+
+def test_trees_equal_a_plain_split_search():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(150, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] * (x[:, 2] > 0) + r.normal(size=150) * 0.3 > 0).astype(float)
+    model = boosted(x, y, trees=4, depth=2, rate=0.3, bins=12)
+    assert np.allclose(model.margin(x), plain_trees(x, y, 4, 2, 0.3, 12, 1.0), atol=1e-9)
+
+
+def test_new_hosts_are_scored_like_known_ones(spark):
+    """No host's score rests on its own labels: accuracy on hosts that aren't labelled, by lexical features alone."""
+    r = np.random.default_rng(2)
+    hosts = [("".join(r.choice(list("abcdefgh"), 6)) + ("-" + "".join(r.choice(list("xyz"), 4)) if i % 3 == 0 else ""), i % 3 == 0) for i in range(90)]
+    rows = [(i * 20 + k, f"https://{h}.example{i % 4}.com/en/{r.integers(900)}", "k", 1, bad) for i, (h, bad) in enumerate(hosts) for k in range(20)]
+    df = spark.createDataFrame([x[:4] for x in rows], "page_id long, url string, keep string, bad int")
+    labels = spark.createDataFrame([(x[1], int(x[4])) for x in rows if x[0] // 20 < 60], "url string, bad int")
+    got = {x.page_id: x.keep for x in url_scores(df, labels).collect()}
+    assert len(got) == len(rows) and np.mean([got[x[0]] != x[4] for x in rows if x[0] // 20 >= 60]) > 0.97
+    first = url_scores(df, labels.withColumn("bad", F.when(labels.url.contains(hosts[0][0]), 0).otherwise(labels.bad)), seed=5)
+    own = [x.score for x in first.filter(F.col("url").contains(hosts[0][0])).collect()]
+    assert min(own) > 0.5  # though all its own labels now say that it is good
