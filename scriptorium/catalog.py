@@ -732,10 +732,11 @@ def fixed_threshold(spark: SparkSession, d: str) -> DataFrame:
     return done.select("stem", (F.length(F.hex("pixels")) / 2 - F.length(F.regexp_replace(F.hex("pixels"), "FF", "")) / 2).cast("long").alias("bright"))
 
 
-@_query("SELECT CAST(doc_id AS VARCHAR) AS stem, round((sum(CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END) / 255.0::DOUBLE - 0.5 * count(*)) / 0.25, 2) AS total FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id")
+@_query("SELECT CAST(doc_id AS VARCHAR) AS stem, CAST(sum(CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END) AS BIGINT) AS total FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY doc_id")
 def standardized_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Standardised pixels, undone and summed as the levels that they came from: whole numbers, whatever the order of summing."""
     done = imaging.standardized(_images(spark, d), 0.5, 0.25)
-    return done.select("stem", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return done.select("stem", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + F.round((x * 0.25 + 0.5) * 255).cast("long")).alias("total"))
 
 
 @_query("SELECT avg(v / 255.0::DOUBLE) AS mean, stddev_pop(v / 255.0::DOUBLE) AS std FROM (SELECT CASE WHEN regexp_matches(ch, '^[0-9A-Za-z]$') THEN ascii(ch) ELSE 0 END AS v FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '')")
