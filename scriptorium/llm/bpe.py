@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.kernels import CHUNK, chunks, mix
+from scriptorium.llm.kernels import chunks, mix
 
 #: The published cut of texts for these vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,6 +39,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Slots for pieces that a worker keeps between chunks (16 bytes each, and as much again for their ids).
 SLOTS = 1 << 21
+#: Pairs of tokens that a worker keeps with their compatibility, some 100 bytes each.
+PAIRS = 1 << 18
 
 
 def _byte_letters() -> dict[str, int]:
@@ -136,7 +138,7 @@ class Encoder(Decoder):
         """Whether token b may follow token a; kept in the pair table."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self._apart(a, b)
         return got
@@ -309,9 +311,13 @@ class Batcher:
             size = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
             fresh = np.fromiter((i for x in out for i in x), dtype=np.int32, count=int(size.sum()))
             per[new] = size[inv]
-            begin[new] = len(self.pool) + (np.cumsum(size) - size)[inv]
-            ids = gather(np.concatenate((self.pool, fresh)) if len(fresh) else self.pool, begin, per)
-            self._learn(uniq, fresh, size)
+            begin[new] = self.used + (np.cumsum(size) - size)[inv]
+            if self.used + len(fresh) > len(self.pool):  # it will be emptied, so what is known is read before
+                ids = gather(np.concatenate((self.pool[: self.used], fresh)), begin, per)
+                self._learn(uniq, fresh, size)
+            else:
+                self._learn(uniq, fresh, size)
+                ids = gather(self.pool, begin, per)
         else:
             ids = gather(self.pool, begin, per)
         upto = np.concatenate(([0], np.cumsum(per)))
@@ -319,8 +325,13 @@ class Batcher:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); nulls count as empty texts."""
-        ids, counts = [], []
-        for _, _, data, off in chunks(texts, limit=4 * CHUNK):
+        parts = list(self.encoded(texts))
+        none = np.zeros(0, dtype=np.int64)
+        return (np.concatenate([i for i, _ in parts]), np.concatenate([c for _, c in parts])) if parts else (none.astype(np.int32), none)
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same in parts of whole documents, about ``CHUNK`` bytes each, so that a caller need not hold the ids of a whole batch."""
+        for _, _, data, off in chunks(texts):
             i, c = self._chunk(data, off)
             wrong = self._differs(i, c, data, off)
             if len(wrong):
@@ -332,10 +343,7 @@ class Batcher:
                         c[d] = len(own)
                     parts.append(own)
                 i = np.concatenate(parts)
-            ids.append(i)
-            counts.append(c)
-        none = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (none.astype(np.int32), none)
+            yield i, c
 
     def _differs(self, ids, counts, data, off) -> set[int]:
         got, ends = self.decode(ids, counts)
@@ -445,7 +453,7 @@ def bpe_round_trip(docs: DataFrame, path: str = VOCABULARY, text_col: str = "tex
             null = texts.is_null().to_numpy(zero_copy_only=False)
             ids, counts = b.encode(texts)
             same, at = np.ones(len(texts), dtype=bool), np.concatenate(([0], np.cumsum(counts)))
-            for a, n, data, off in chunks(texts, limit=4 * CHUNK):
+            for a, n, data, off in chunks(texts):
                 same[list(a + d for d in b._differs(ids[at[a] : at[a + n]], counts[a : a + n], data, off))] = False
             yield pa.StructArray.from_arrays([_lists(ids, counts, null), pa.array(same, mask=null)], ["ids", "same"])
 

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from scriptorium.llm.bpe import VOCABULARY, Decoder, _batcher, gather, read_ranks, sent_vocabulary
+from scriptorium.llm.bpe import VOCABULARY, Batcher, Decoder, _batcher, gather, read_ranks, sent_vocabulary
 from scriptorium.llm.kernels import mix
 from scriptorium.runtime import Cut, broadcast_if
 
 #: Documents in a packing bucket, on average.
 BUCKET = 2000
-#: Tokens that are cut at once.
-CUT = 1 << 21
+#: Tokens that are cut at once: some 30 MB of a worker's memory as text. What is cut doesn't depend on it.
+CUT = 1 << 17
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -63,8 +63,8 @@ def _tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, pat
     def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         b = _batcher(sent)
         for texts in parts:
-            ids, counts = b.encode(texts)
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), packs(ids.astype(id_type(len(b.enc.token))), np.concatenate(([0], np.cumsum(counts))))], ["n", "ids"])
+            counts, ids = encoded_packs(b, texts)
+            yield pa.StructArray.from_arrays([counts, ids], ["n", "ids"])
 
     text = F.col(text_col).cast("string")
     rest = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
@@ -82,6 +82,15 @@ def packs(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([pack(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())  # noqa: B905
 
 
+def encoded_packs(b: Batcher, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(number of ids, packed ids) of each text; ids are packed part by part, so that those of a whole batch are never held at once."""
+    counts, packed, kind = [pa.array([], pa.int64())], [pa.array([], pa.binary())], id_type(len(b.enc.token))
+    for ids, n in b.encoded(texts):
+        counts.append(pa.array(n, pa.int64()))
+        packed.append(packs(ids.astype(kind), np.concatenate(([0], np.cumsum(n)))))
+    return pa.concat_arrays(counts), pa.concat_arrays(packed)
+
+
 def unpacks(packed: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, number of each)."""
     unpack = zstandard.ZstdDecompressor().decompress

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -63,3 +65,22 @@ def test_empty_table_and_other_vocabularies(spark):
     want = tiktoken.Encoding("m", pat_str=bpe.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
     assert all(enc.text(t) == want.encode_ordinary(t) for t in ODD)
     assert bpe.read_ranks(bpe.VOCABULARY.replace(".tiktoken", ".json")) == bpe.read_ranks(bpe.VOCABULARY)
+
+
+def test_pairs_that_a_worker_keeps_are_bounded():
+    enc = bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY))
+    pairs = np.random.default_rng(2).integers(0, len(enc.token), (300_000, 2)).tolist()
+    first = [enc.compatible(a, b) for a, b in pairs]
+    assert len(enc.pairs) <= 1 << 18  # some 30 MB
+    assert [enc.compatible(a, b) for a, b in pairs[:5000]] == first[:5000]
+
+
+def test_a_full_pool_is_emptied_between_chunks(prose, plain):
+    some = texts(prose)
+    b = bpe.Batcher(bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY)), slots=1 << 12)
+    used = []
+    parts = [(ids, n) for ids, n in b.encoded(pa.array(some * 3)) if used.append(b.used) is None]
+    assert len(parts) > 1 and any(y < x for x, y in zip(used, used[1:]))  # noqa: B905
+    whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    at = np.concatenate(([0], np.cumsum(whole[1])))
+    assert [whole[0][x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [plain.encode_ordinary(t) for t in some] * 3

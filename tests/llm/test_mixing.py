@@ -1,9 +1,14 @@
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
+from scriptorium.llm import bpe, mixing
 from scriptorium.llm.mixing import drawn, mixed, mixed_blocks, mixed_documents, permuted, tempered, unpacks
 from tests.llm.plain_mixing import mixed_plainly, tokens
 
@@ -133,3 +138,38 @@ def test_empty_table_and_bad_sizes(spark):
     assert mixed_blocks(df).count() == 0 and mixed_documents(df).columns == df.columns
     with pytest.raises(ValueError):
         mixed(df, length=0)
+
+
+def peak(run):
+    """(result, MB of Python and numpy at the most while it ran)."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_cutting_does_not_follow_the_batch(prose):
+    ranks, text = bpe.read_ranks(bpe.VOCABULARY), prose(3, 2000)
+    own = np.array(tokens(text), dtype=np.uint16)
+    n = 2_000_000 // len(own)
+    batch = pa.RecordBatch.from_arrays([pa.array(["=s"] * n), pa.array([0] * n), pa.array([0] * n), pa.array([len(own)] * n), mixing.packs(np.tile(own, n), np.arange(n + 1) * len(own)), pa.array(range(n))], ["skey", "bucket", "base", "n", "ids", "rest"])
+    rows = SimpleNamespace(schema={"rest": StructField("rest", LongType())}, mapInArrow=lambda cut, _: cut)
+    cut = mixing._pieces(rows, 512, SimpleNamespace(value=("own", ranks)), True)
+    made, mb = peak(lambda: sum(b.column(3).to_numpy().sum() for b in cut([batch])))
+    assert made == n * len(own) and mb < 40
+    parts = [(b.column(5).to_pylist(), b.column(4).to_pylist()) for b in cut([batch])]
+    whole = dict.fromkeys(range(n), "")
+    for docs, pieces in parts:
+        for d, p in zip(docs, pieces, strict=True):
+            whole[d] += p
+    assert set(whole.values()) == {text}
+
+
+def test_memory_of_encoding_does_not_follow_the_batch(prose):
+    b, text = bpe.Batcher(bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY))), prose(3, 2000)
+    texts = pa.array([text] * 300 + [None, ""])
+    b.encode(texts)  # all pieces are known from here on
+    (n, packed), mb = peak(lambda: mixing.encoded_packs(b, texts))
+    assert mb < 30
+    assert n.to_pylist() == [len(tokens(text))] * 300 + [0, 0] and {tuple(ids(p)) for p in packed.to_pylist()[:300]} == {tuple(tokens(text))}
