@@ -119,3 +119,41 @@ def test_best_lines_are_those_of_all_conversations(spark, tmp_path):
             want.append((c, t, k, x, -i, s))
     got = [(x.conv_id, x.turn, x.at, x.ocr_text, x.item_id, x.similarity) for x in catalog.QUERIES["line_best_match"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_word_pairs_are_compared_all_at_once(monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.choice([1, 3, 6, 12, 40])))
+    def one_by_one(a, b):
+        raise AssertionError("a pair of words was compared alone")
+
+    monkeypatch.setattr(A, "similarity", one_by_one)
+    for _ in range(20):
+        a, b = [word() for _ in range(15)], [word() for _ in range(25)] + ["ab" * 150, "x" * 250]
+        assert A.align_words([*a, "x" * 250], b) == plain_dp([*a, "x" * 250], b)
+
+
+@pytest.mark.parametrize("letters, long", [("ab", 40), ("abcde ", 330), ("abcdefghijklmnop ", 420), ("aaaaab\0", 460), ("", 3)])
+def test_many_block_ratios_at_once(letters, long):
+    import numpy as np
+
+    from scriptorium.functions.blocks import Blocks, block_ratios
+
+    r = random.Random(11)
+    text = lambda: "".join(r.choice(letters) for _ in range(r.randint(0, long) if letters else 0))
+    a, b = [text() for _ in range(40)] + ["", "ab" * 150], [text() for _ in range(40)] + ["", "ab" * 150]
+    of, to = np.repeat(np.arange(42), 42), np.tile(np.arange(42), 42)
+    got = Blocks(b).ratios(a, of, to).tolist()
+    assert got == [SequenceMatcher(None, a[i], b[j]).ratio() for i, j in zip(of, to, strict=True)]
+    assert block_ratios([None, *a], ["x", *b]) == [None, *(1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True))]
+
+
+def test_best_texts_of_many_lines_in_parts():
+    r = random.Random(13)
+    text = lambda: "".join(r.choice("abcdé ") for _ in range(r.randint(0, 260)))
+    lines, refs = [text() for _ in range(30)], [text() for _ in range(25)]
+    lines, refs = [*lines, refs[9], "", "ab" * 150], [*refs, refs[3], "ab" * 150]
+    at, top = A.BlockIndex(refs, part=7).best(lines, pairs=20)
+    for x, i, s in zip(lines, at, top, strict=True):
+        want = max((1.0 if x == y else SequenceMatcher(None, x, y).ratio(), -k) for k, y in enumerate(refs))
+        assert (s, -i) == want
