@@ -121,3 +121,32 @@ def test_stream(spark, tmp_path):
         assert {r.word: r.n for r in spark.table("words_so_far").collect()} == {"lo": 2, "rei": 3}
     finally:
         q.stop()
+
+
+def test_packs_keep_every_file(spark, tmp_path):
+    from scriptorium import catalog
+
+    rows = [(1, "a\r\nb"), (2, ""), (3, None), (1, "again"), (4, "é\n"), (None, "no name")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["text_scan"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((f"{i}.txt" if i else None, f"{i}" if i else None, t) for i, t in rows if t is not None), key=str)
+    lines = [tuple(r) for r in catalog.QUERIES["line_scan"](spark, str(tmp_path)).collect()]
+    want = [(f"{i}" if i else None, k, x) for i, t in rows if t is not None for k, x in enumerate(t.replace("\r\n", "\n").split("\n"))]
+    assert sorted(lines, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("ns", ["", ' xmlns="http://www.loc.gov/standards/alto/ns-v4#"'])
+def test_page_xml_of_a_pack(spark, tmp_path, ns):
+    empty = "<alto><Layout><Page/></Layout></alto>"
+    sinks.write_pack(spark.createDataFrame([("p1.xml", XML.format(ns=ns)), ("p2.xml", empty)], "name string, content string"), f"{tmp_path}/pack")
+    (tmp_path / "p1.xml").write_text(XML.format(ns=ns))
+    got = readers.blocks_of(readers.packed_files(spark, f"{tmp_path}/pack"))
+    assert got.collect() == readers.page_blocks(spark, str(tmp_path)).collect() and got.count() == 2
+
+
+def test_page_xml_scan_takes_no_file_for_each_page(spark, tmp_path, monkeypatch):
+    from scriptorium import catalog
+
+    made = []
+    monkeypatch.setattr(catalog.sinks, "write_files", lambda files, path: made.append(path))
+    assert catalog.QUERIES["page_xml_scan"](spark, "/root/testdata/sf0.001").count() > 1000 and not made
