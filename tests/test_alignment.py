@@ -157,3 +157,20 @@ def test_best_texts_of_many_lines_in_parts():
     for x, i, s in zip(lines, at, top, strict=True):
         want = max((1.0 if x == y else SequenceMatcher(None, x, y).ratio(), -k) for k, y in enumerate(refs))
         assert (s, -i) == want
+
+
+def test_candidates_of_many_pages_need_no_rows_of_windows(spark):
+    r = random.Random(17)
+    text = lambda n: " ".join("".join(r.choice("abcé-7\n") for _ in range(r.randint(1, 5))) for _ in range(n))
+    refs = {0: text(700), 1: text(25), 2: "", 3: text(300), 5: None}
+    rows = [(e, i, text(r.choice([1, 3, 20, 60, 120]))) for e in (0, 1, 2, 3, 4, 5, None) for i in range(5)] + [(0, 9, None), (0, 8, "—")]
+    got = A.anchor_candidates(spark.createDataFrame(rows, "ed long, page int, text string"), spark.createDataFrame(list(refs.items()), "ed long, text string"), "ed", "page")
+    plan = got._jdf.queryExecution().toString()
+    assert "char_ngrams" not in plan and "sequence(" not in plan.lower()
+    want = {}
+    for e, i, t in rows:
+        w, ref = A.plain_words(t or ""), A.plain_words(refs.get(e) or "")
+        if w:
+            at, score = A.find_anchor(w, ref, 0, min(30, len(w)), least=-2)
+            want[e, i] = (at if score >= 0 else 0, score)
+    assert {(x.ed, x.page): (x.at, x.score) for x in got.collect()} == want
