@@ -90,3 +90,11 @@ def test_whole_texts_are_cut_into_slices(spark):
     rows = corpus.chunk_text(spark.createDataFrame(list(texts.items()), "doc int, text string"), "doc").collect()
     assert sorted((r.doc, r.chunk, r.text) for r in rows) == [(k, i // 500, t[i : i + 500]) for k, t in texts.items() for i in range(0, len(t or ""), 500)]
     assert max(r.chunk for r in rows) == 24
+
+
+def test_plain_text_is_cut_in_one_pass(spark):
+    """Runs of all that is no letter or digit, blanks or not, are one blank; no expression looks ahead at every character."""
+    df = spark.createDataFrame([(1, " É—  \t!á-\n b😀9\U0001d400z\x00_\x85"), (2, "—!—"), (3, ""), (4, None), (5, "x-　\n y")], "i int, t string")
+    out = df.select("i", T.plain_text(F.col("t")).alias("p"), T.plain_words(F.col("t")).alias("w"))
+    assert "(?!" not in out._jdf.queryExecution().toString() and "filter(" not in out._jdf.queryExecution().toString()
+    assert {r.i: (r.p, r.w) for r in out.collect()} == {1: ("e ab 9 z", ["e", "ab", "9", "z"]), 2: ("", []), 3: ("", []), 4: (None, None), 5: ("xy", ["xy"])}
