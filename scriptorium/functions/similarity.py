@@ -64,6 +64,9 @@ class Forms:
                 if p < 64:
                     self.masks[i, self.code[c]] |= _ONE << np.uint64(p)
         self.by_len = {int(m): np.flatnonzero(self.lens == m) for m in np.unique(self.lens)}
+        small = np.uint8 if n and self.lens.max() < 256 else np.int16
+        #: counts of each letter in the forms of each length: letters in rows
+        self.rows = {m: np.ascontiguousarray(self.counts[at].T.astype(small)) for m, at in self.by_len.items()}
 
     def best(self, words: list[str], least: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
         """(index of the most similar form or -1, its ratio) of each word, where the ratio is at least ``least``; the smallest form
@@ -84,15 +87,20 @@ class Forms:
                 step = max(1, cells // (len(forms) * (k + 1)))
                 for lo in range(0, len(live), step):
                     rows = live[lo : lo + step]
-                    common = np.zeros((len(rows), len(forms)), dtype=np.int16)
-                    for c in np.flatnonzero(counts[rows].any(axis=0)).tolist():
-                        common += np.minimum(counts[rows, c][:, None], self.counts[forms, c][None, :])
+                    table = self.rows[fl]
+                    own = np.minimum(counts[rows], 255).T.astype(table.dtype) if table.dtype == np.uint8 else counts[rows].T
+                    common = np.zeros((len(rows), len(forms)), dtype=table.dtype)  # no letter is common more often than the form has it
+                    for c in np.flatnonzero(own.any(axis=1) & table.any(axis=1)).tolist():
+                        common += np.minimum(own[c][:, None], table[c][None, :])
                     need = np.maximum(least[of_len[rows]], score[of_len[rows]])
                     if fl <= 64:
                         top = common.argmax(axis=1)
                         seed = lcs_small(codes[rows], np.full(len(rows), m), self.masks[forms[top]], np.full(len(rows), fl))
                         need = np.maximum(need, 200.0 * seed / (m + fl))
-                    a, b = np.nonzero(200.0 * common / (m + fl) >= need[:, None] - 1e-9)
+                    enough = np.clip(np.ceil((need - 1e-9) * (m + fl) / 200.0 - 1e-9), 0, None)
+                    sure = np.flatnonzero(enough <= fl)
+                    a, b = np.nonzero(common[sure] >= enough[sure].astype(table.dtype)[:, None])
+                    a = sure[a]
                     if not len(a):
                         continue
                     if fl <= 64:

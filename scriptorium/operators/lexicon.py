@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from scriptorium.functions import text as T
 from scriptorium.functions.geometry import share
@@ -65,39 +66,43 @@ def unknown_words(vocab: DataFrame, forms: DataFrame) -> DataFrame:
 
 def _searched(unknown: DataFrame, forms: list[str], least: Column) -> DataFrame:
     index = Forms(forms)
+    rows = unknown.withColumn("_least", least).filter("_least is not null")
+    names, kinds = unknown.columns, unknown.schema.fields
+    norm = names.index("norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b.column(0).to_pylist()
+            words = b.column(norm).to_pylist()
             if words:
-                at, score = index.best(words, b.column(1).to_numpy().astype(np.float64))
+                at, score = index.best(words, b.column(len(names)).to_numpy().astype(np.float64))
                 hit = np.flatnonzero(at >= 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([index.forms[i] for i in at[hit]], pa.string()), pa.array(score[hit])], ["norm", "matched_form", "fuzzy_score"])
+                own = b.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(names)], pa.array([index.forms[i] for i in at[hit]], pa.string()), pa.array(score[hit])], [*names, "matched_form", "fuzzy_score"])
 
-    return spread(unknown.select("norm", least.alias("least")).filter("least is not null"), "norm").mapInArrow(run, "norm string, matched_form string, fuzzy_score double")
+    return spread(rows, "norm").mapInArrow(run, StructType([*kinds, StructField("matched_form", StringType()), StructField("fuzzy_score", DoubleType())]))
 
 
 def best_forms(unknown: DataFrame, forms: DataFrame, least: Column) -> DataFrame:
-    """(norm, matched_form, fuzzy_score): the most similar form of each word whose ratio is at least ``least``; the smallest
-    form on ties. Words stay where they are; the forms go to them in parts of a checked size, each part a pass over the words."""
+    """``unknown`` (norm, ...) with matched_form and fuzzy_score: the most similar form of each word whose ratio is at least ``least``; the smallest
+    form on ties. Words and what belongs to them pass the search once; the forms go to them in parts of a checked size, each part a pass over the words."""
     count = forms.count()
     if count <= FORMS:
         return _searched(unknown, [r.form for r in forms.select("form").collect()], least)
     parts = -(-count // FORMS)
-    unknown = Cut(unknown.select("norm"), "words").df  # each part reads it
+    unknown = Cut(unknown, "words").df  # each part reads it
     slot = F.pmod(F.xxhash64("form"), F.lit(parts))
     found = None
     for i in range(parts):
         some = _searched(unknown, [r.form for r in forms.filter(slot == i).select("form").collect()], least)
         found = some if found is None else found.union(some)
-    return found.groupBy("norm").agg(F.min_by("matched_form", F.struct(-F.col("fuzzy_score"), "matched_form")).alias("matched_form"), F.max("fuzzy_score").alias("fuzzy_score"))
+    others = [F.first(c).alias(c) for c in unknown.columns if c != "norm"]
+    return found.groupBy("norm").agg(*others, F.min_by("matched_form", F.struct(-F.col("fuzzy_score"), "matched_form")).alias("matched_form"), F.max("fuzzy_score").alias("fuzzy_score"))
 
 
 def fuzzy_candidates(unknown: DataFrame, forms: DataFrame, threshold: float = 82.0) -> DataFrame:
     """Unknown words whose best form reaches the threshold for their length, with the headword it suggests."""
     used = T.length_aware_threshold(F.col("norm"), threshold)
-    best = best_forms(unknown, forms, used)
-    out = unknown.join(best, "norm").join(forms, F.col("matched_form") == F.col("form"), "left")
+    out = best_forms(unknown.select("norm", "original", "n"), forms, used).join(forms, F.col("matched_form") == F.col("form"), "left")
     return out.select(F.col("original").alias("ocr_original"), F.col("norm").alias("ocr_normalized"), F.col("n").alias("frequency"), "matched_form", F.coalesce("headword", "matched_form").alias("suggested_headword"), "fuzzy_score", F.length("norm").alias("word_length"), used.alias("threshold_used"))
 
 
@@ -135,8 +140,8 @@ def dictionary_metrics(freq: DataFrame, forms: DataFrame, threshold: float = 82.
 def fuzzy_scores(unknown: DataFrame, forms: DataFrame, least: float = 0.0) -> DataFrame:
     """(norm, n, matched_form, fuzzy_score) of unknown words over four letters whose best ratio is at least ``least``: by default all of
     them. Histogram and rank curve need every best score; coverage from a threshold on needs those that reach it."""
-    best = best_forms(unknown, forms, F.when(F.length("norm") > 4, F.lit(least)))
-    return unknown.select("norm", "n").join(best, "norm")
+    found = best_forms(unknown.select("norm", "n"), forms, F.when(F.length("norm") > 4, F.lit(least)))
+    return found.select("norm", "n", "matched_form", "fuzzy_score")
 
 
 def coverage_by_threshold(scores: DataFrame, low: int = 60, high: int = 100) -> DataFrame:

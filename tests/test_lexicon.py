@@ -166,3 +166,24 @@ def test_empty_corpus(spark, frames):
     empty = lexicon.token_frequency(spark.createDataFrame([], "text string"))
     m = lexicon.dictionary_metrics(empty, frames[1]).first()
     assert m.total_tokens == 0 and m.word_accuracy_exact == 0 and m.oov_words == 0
+
+
+def test_scores_pass_the_search_once(spark, frames):
+    """Words and their counts go through the search together: no join back to the words, whose making would be run twice."""
+    from scriptorium import catalog
+
+    for name in ("fuzzy_scores", "score_rank", "score_histogram", "coverage_by_threshold", "fuzzy_candidates"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [doc_id#") == 1, name
+
+
+def test_long_words_and_long_forms(spark):
+    import numpy as np
+
+    from scriptorium.functions import similarity
+
+    words, forms = ["a" * 300, "ab" * 150, "b" * 40, "xyz"], ["a" * 290, "ab" * 140, "b" * 41, "a"]
+    for some in (forms, forms[2:]):
+        at, score = similarity.Forms(some).best(words, np.zeros(4))
+        got = [(sorted(set(some))[i], s) for i, s in zip(at, score, strict=True)]
+        assert got == [min(((f, similarity.ratio(w, f)) for f in some), key=lambda x: (-x[1], x[0])) for w in words]
