@@ -11,10 +11,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of pixels that are worked on, and sent back, at once: batches of rows are cut into such parts.
+PIXELS = 2 << 20
+
+
+def _parts(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """Rows of a batch whose first column, pixels, has some ``PIXELS`` bytes together; a larger image is a part of its own. Empty batches are one part."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(columns[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while True:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIXELS, side="right"))) if len(upto) else 0
+        yield tuple(c.slice(lo, hi - lo) for c in columns)
+        lo = hi
+        if lo >= len(upto):
+            return
+
+
 def _image(data: bytes | None, h: int | None, w: int | None) -> np.ndarray | None:
     if data is None or not h or not w or len(data) < h * w:
         return None
@@ -49,7 +66,7 @@ def binary(img: np.ndarray, method: str = "otsu_gaussian", level: int = 127) ->
         raise ValueError(f"unknown method: {method}")
     img = blurred(img) if method == "otsu_gaussian" else img
     t = level if method == "fixed" else otsu(img)
-    return t, np.where(img > t, 255, 0).astype(np.uint8)
+    return t, (img > t).astype(np.uint8) * np.uint8(255)
 
 
 def gray(rgb: np.ndarray) -> np.ndarray:
@@ -185,7 +202,7 @@ def line_measures(images: DataFrame) -> DataFrame:
 
     @F.arrow_udf("double")
     def density(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for data, h, w in parts:
+        for data, h, w in (p for batch in parts for p in _parts(batch)):
             yield pa.array([ink_share(_image(*x)) for x in zip(data.to_pylist(), h.to_pylist(), w.to_pylist(), strict=True)])
 
     size = (F.coalesce(F.col("height"), F.lit(0)) * F.coalesce(F.col("width"), F.lit(0))).cast("long")
@@ -198,7 +215,7 @@ def binarized(images: DataFrame, method: str = "otsu_gaussian", level: int = 127
 
     @F.arrow_udf("struct<threshold:int,pixels:binary>")
     def run(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for data, h, w in parts:
+        for data, h, w in (p for batch in parts for p in _parts(batch)):
             out = [(None if img is None else binary(img, method, level)) for img in (_image(*x) for x in zip(data.to_pylist(), h.to_pylist(), w.to_pylist(), strict=True))]
             yield pa.array([None if o is None else {"threshold": o[0], "pixels": o[1].tobytes()} for o in out], pa.struct([("threshold", pa.int32()), ("pixels", pa.binary())]))
 
@@ -212,7 +229,7 @@ def _each(images: DataFrame, kind: str, of: Callable, *inputs: str):
     @F.arrow_udf(kind)
     def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         shape = pa.list_(pa.float32()) if kind.startswith("array") else pa.binary()
-        for cols in parts:
+        for cols in (p for batch in parts for p in _parts(batch)):
             rows = zip(*(c.to_pylist() for c in cols), strict=True)
             yield pa.array([None if (img := _image(*r[:3])) is None else of(img, *r[3:]) for r in rows], shape)
 
@@ -229,7 +246,8 @@ def enhanced(images: DataFrame, method: str = "clahe", **settings) -> DataFrame:
 
 def standardized(images: DataFrame, mean: float = 0.0, std: float = 1.0, name: str = "values") -> DataFrame:
     """``images`` with ``name``: pixels as shares of 255, less ``mean``, over ``std`` (array<float>, row by row)."""
-    return images.withColumn(name, _each(images, "array<float>", lambda img: ((img.ravel() / 255.0 - mean) / std).astype(np.float32)))
+    values = ((np.arange(256) / 255.0 - mean) / std).astype(np.float32)
+    return images.withColumn(name, _each(images, "array<float>", lambda img: values[img.ravel()]))
 
 
 def channel_sums(images: DataFrame) -> DataFrame:
@@ -237,7 +255,7 @@ def channel_sums(images: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<float>")
     def levels(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for cols in parts:
+        for cols in (p for batch in parts for p in _parts(batch)):
             rows = zip(*(c.to_pylist() for c in cols), strict=True)
             yield pa.array([None if (img := _image(*r)) is None else np.bincount(img.ravel(), minlength=256).astype(np.float32) for r in rows], pa.list_(pa.float32()))
 

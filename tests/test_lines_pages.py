@@ -331,3 +331,22 @@ def test_files_and_runs(spark, tmp_path):
         runs.export_tokenizer(spark, readers.tokenizer_files(spark, os.path.dirname(tokenizer.VOCABULARY)), "byte_bpe_50k", 30, f"{tmp_path}/tok", ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[EOS]"))
         t = Tokenizer.from_file(str(tmp_path / "tok/tokenizer.json"))
         assert t.encode("the").tokens[-1] == "[EOS]" and t.get_vocab_size() == 5 + 256 + 30 and t.decode(t.encode(" the cat").ids) == " the cat"
+
+
+def test_images_are_worked_on_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [("a", f"{i:03d}", 1, n, bytes(k % 256 for k in range(n)) if n else None) for i, n in enumerate([0, 3, 900, 2, 5000, 1, 0, 700, 700])]
+    monkeypatch.setattr(imaging, "PIXELS", 1_000)
+    cols = tuple(pa.array([r[k] for r in rows]) for k in (4, 2, 3))
+    parts = list(imaging._parts(cols))
+    assert [x for p in parts for x in p[0].to_pylist()] == [r[4] for r in rows] and len(parts) == 4
+    assert [len(p[0]) for p in imaging._parts(tuple(c.slice(0, 0) for c in cols))] == [0]
+    images = spark.createDataFrame(rows, "folder string, stem string, height int, width int, pixels binary").coalesce(1)
+    many = images.unionByName(images.sparkSession.range(3000).select(F.lit("b").alias("folder"), F.col("id").cast("string").alias("stem"), F.lit(1).alias("height"), F.lit(3000).alias("width"), F.repeat(F.lit("ab "), 1000).cast("binary").alias("pixels"))).coalesce(1)
+    black = {r.stem: r.threshold for r in imaging.binarized(many, "fixed", 97).filter("folder = 'b'").select("stem", "threshold", F.length("pixels").alias("n")).filter("n = 3000").collect()}
+    assert len(black) == 3000
+    got = {r.stem: r["values"] for r in imaging.standardized(images, 0.5, 0.25).collect()}
+    for _, stem, _, n, p in rows:
+        assert got[stem] == (None if p is None else pytest.approx([(x / 255.0 - 0.5) / 0.25 for x in p], abs=1e-6))
+    assert imaging.standardized(many).filter("folder = 'b' and size(values) = 3000").count() == 3000
