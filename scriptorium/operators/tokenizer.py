@@ -7,7 +7,10 @@ later one, so that applying the first n merges in order gives what a tokenizer o
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +137,46 @@ def encoded(texts: DataFrame, merges: DataFrame, count: int, text_col: str = "te
     return texts.withColumn(name, F.flatten(each))
 
 
+def _counter(rules: list[tuple[str, str]], counts: list[int]):
+    """(i, c): how many symbols pieces (piece, n) have together, each n times, after the first ``counts[i]`` merges: a row for each part. Each merge is applied to the symbols of all pieces of a part at once, wherever it applies, from the left."""
+    number = {f"{b:02X}": b for b in range(256)}
+    steps = [tuple(number.setdefault(x, len(number)) for x in (a, b, a + b)) for a, b in rules]  # a token that two pairs make has one number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _PIECES):
+                part = batch.slice(lo, _PIECES)
+                data = [x.encode() for x in part.column("piece").to_pylist()]
+                n = part.column("n").to_numpy()
+                s = np.frombuffer(b"".join(x + b"\0" for x in data), dtype=np.uint8).astype(np.int32)
+                lens = np.array([len(x) for x in data], dtype=np.int64)
+                s[np.cumsum(lens + 1) - 1] = -1  # between pieces nothing merges
+                weight = np.repeat(n, lens + 1)
+                weight[s < 0] = 0
+                done, sums = 0, []
+                for k in counts:
+                    for a, b, new in steps[done:k]:
+                        at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+                        if not len(at):
+                            continue
+                        if a == b:  # of a run of overlapping pairs, every second one from its first
+                            first = np.concatenate(([True], at[1:] != at[:-1] + 1))
+                            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+                        s[at] = new
+                        keep = np.ones(len(s), dtype=bool)
+                        keep[at + 1] = False
+                        s, weight = s[keep], weight[keep]
+                    done = max(done, k)
+                    sums.append(int(weight.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(sums, pa.int64())], ["i", "c"])
+
+    return run
+
+
+#: Pieces whose symbols are merged at once.
+_PIECES = 20_000
+
+
 def size_sweep(texts: DataFrame, merges: DataFrame, sizes: tuple[int, ...] = (50, 100, 150, 200, 250, 300), specials: int = 4, alphabet: int | None = None, end: bool = True, text_col: str = "text") -> DataFrame:
     """(vocab_size_requested, vocab_size_actual, chars, tokens, compression_ratio) for every size: the specials, the alphabet (that of the
     texts, or ``alphabet`` symbols) and as many of the first merges as then fit. With ``end`` every text has one more token.
@@ -144,21 +187,10 @@ def size_sweep(texts: DataFrame, merges: DataFrame, sizes: tuple[int, ...] = (50
     seen = Cut(pieces(texts, text_col), "pieces")
     if alphabet is None:
         alphabet = seen.df.select(F.explode(F.regexp_extract_all(F.hex("piece"), F.lit(".."), F.lit(0))).alias("b")).distinct().count()
-    rules, before, steps = hex_merges(merges, max(0, sizes[-1] - specials - alphabet)), 0, []
+    rules = hex_merges(merges, max(0, sizes[-1] - specials - alphabet))
     counts = [min(len(rules), max(0, s - specials - alphabet)) for s in sizes]
-    for k in counts:
-        steps += [(f"<{a}><{b}>", f"<{a}{b}>") for a, b in rules[before:k]] + [("", "")]  # the empty rule notes the number of symbols
-        before = k
-    fold = _rules(steps)
-
-    def step(acc: Column, r: Column) -> Column:
-        s, note = acc["s"], r["find"] == ""
-        n = F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))
-        return F.struct(F.when(note, s).otherwise(F.replace(s, r["find"], r["put"])).alias("s"), F.when(note, F.concat(acc["c"], F.array(n))).otherwise(acc["c"]).alias("c"))
-
-    start = F.struct(symbols(F.col("piece")).alias("s"), F.array().cast("array<int>").alias("c"))
-    rows = spread(seen.df, "piece").select("n", F.posexplode(F.aggregate(fold, start, step, lambda acc: acc["c"])).alias("i", "c"))
-    sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("n") * F.col("c"))), F.lit(0)).alias(f"t{i}") for i in range(len(sizes))))
+    rows = spread(seen.df, "piece").mapInArrow(_counter(rules, counts), "i int, c long")
+    sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("c"))), F.lit(0)).alias(f"t{i}") for i in range(len(sizes))))
     whole = texts.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.count(text_col).alias("texts"))
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.lit(specials + alphabet + k).alias("actual"), F.col(f"t{i}").alias("t")) for i, (s, k) in enumerate(zip(sizes, counts, strict=True)))))
     out = sums.crossJoin(F.broadcast(whole)).select("chars", "texts", each.alias("e"))  # one row each

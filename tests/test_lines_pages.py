@@ -350,3 +350,26 @@ def test_images_are_worked_on_in_parts(spark, monkeypatch):
     for _, stem, _, n, p in rows:
         assert got[stem] == (None if p is None else pytest.approx([(x / 255.0 - 0.5) / 0.25 for x in p], abs=1e-6))
     assert imaging.standardized(many).filter("folder = 'b' and size(values) = 3000").count() == 3000
+
+
+def test_merges_are_applied_to_all_pieces_at_once(spark):
+    import random
+
+    r = random.Random(3)
+    letters = {b: c for c, b in tokenizer.byte_letters().items()}
+    rules, known = [], [bytes([b]) for b in "abé".encode()]
+    while len(rules) < 25:
+        a, b = r.choice(known), r.choice(known)
+        if len(a + b) < 7 and (a, b) not in rules:
+            rules.append((a, b))
+            known.append(a + b)
+    texts = ["".join(r.choice("aabbé\0 ") for _ in range(r.randint(0, 60))) for _ in range(80)] + ["aaaaa aaaa", "", None]
+    shown = lambda x: "".join(letters[c] for c in x)
+    m = spark.createDataFrame([(i, shown(a), shown(b)) for i, (a, b) in enumerate(rules)], "rank int, left string, right string")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sweep = tokenizer.size_sweep(df, m, (260, 265, 272, 285), alphabet=256)
+    assert "lambdafunction" not in sweep._jdf.queryExecution().toString()
+    got = {x.vocab_size_requested: x.tokens for x in sweep.collect()}
+    for size, k in ((260, 0), (265, 5), (272, 12), (285, 25)):
+        each = tokenizer.encoded(df.filter("text is not null"), m, k).collect()
+        assert got[size] == sum(len(x.tokens) for x in each) + len(each)
