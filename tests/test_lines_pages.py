@@ -373,3 +373,17 @@ def test_merges_are_applied_to_all_pieces_at_once(spark):
     for size, k in ((260, 0), (265, 5), (272, 12), (285, 25)):
         each = tokenizer.encoded(df.filter("text is not null"), m, k).collect()
         assert got[size] == sum(len(x.tokens) for x in each) + len(each)
+
+
+def test_joins_of_inventories_take_as_many_tasks_as_rows_need(spark, monkeypatch):
+    from scriptorium import runtime
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 50)
+    inv = spark.range(600).select((F.col("id") % 3).cast("string").alias("folder"), F.concat_ws("_", (F.col("id") % 3).cast("string"), F.lit("line"), F.col("id").cast("string")).alias("stem"))
+    files = inv.filter("cast(substring_index(stem, '_', -1) as int) % 2 = 0")
+    out = pages.with_images(inv, files.union(files))
+    assert out.rdd.getNumPartitions() == 12 and out.count() == 600 and out.filter("image_found").count() == 300
+    texts = files.select("folder", "stem", F.lit("t").alias("text"), F.lit(None).cast("string").alias("error"))
+    done = pages.transcribed(out.withColumns({"idx": F.lit(0), "found": F.lit(True)}), texts)
+    assert done.rdd.getNumPartitions() == 12 and {r.status: r["count"] for r in done.groupBy("status").count().collect()} == {"ok": 300, "failed": 300}
+    assert pages.with_images(inv.limit(40), files).count() == 40
