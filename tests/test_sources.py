@@ -150,3 +150,16 @@ def test_page_xml_scan_takes_no_file_for_each_page(spark, tmp_path, monkeypatch)
     made = []
     monkeypatch.setattr(catalog.sinks, "write_files", lambda files, path: made.append(path))
     assert catalog.QUERIES["page_xml_scan"](spark, "/root/testdata/sf0.001").count() > 1000 and not made
+
+
+def test_a_folder_is_one_text_without_collecting_its_parts(spark, tmp_path):
+    from scriptorium import catalog
+
+    rows = [(i, f"é{i}\n" * (i % 7)) for i in range(300)] + [(300, None)]
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows[-1:], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = catalog.QUERIES["corpus_file"](spark, str(tmp_path))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert [r.text for r in out.collect()] == ["".join(f"{t}\n\n<doc>\n\n" for _, t in rows[:-1])]
+    assert [r.text for r in catalog.QUERIES["corpus_file"](spark, f"{tmp_path}/none").collect()] == [None]
